@@ -1,0 +1,4 @@
+"""Intentionally empty: every input is a finished recording, so there is no
+unbounded source, watermark or window trigger to express.  Newly arrived
+recordings are independent keys and are processed by running the batch plan on
+the new partitions only."""
