@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_signal(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Layout]:
     """``events`` as one signal per user, one sample per row, fs = 1."""
     e = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("segment_no"), "ts", "event_id", F.col("value").alias("x"), F.lit(1.0).alias("fs"), *extra
+        F.col("user_id").alias("segment_no"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("x"), F.lit(1.0).alias("fs"), *extra
     )
     lay = Layout.measure(e.select("segment_no", "fs"), SEG)
     s = lay.index_rows(e, SEG, ["ts", "event_id"], F.date_trunc("day", "ts"))
