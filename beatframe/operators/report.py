@@ -89,7 +89,7 @@ def label_counts(trace: DataFrame, keys: list[str]) -> DataFrame:
 def fixed_text(c: Column, digits: int) -> Column:
     """Fixed-decimal text, blank for null or text that is not a number."""
     v = c.try_cast("double")
-    return F.coalesce(F.when(~F.isnan(v), F.format_string(f"%.{digits}f", v)), F.lit(""))
+    return F.coalesce(F.when(v.isNotNull() & ~F.isnan(v), F.format_string(f"%.{digits}f", v)), F.lit(""))
 
 
 def finite_or(c: Column, default: float | None = None) -> Column:

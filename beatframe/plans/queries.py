@@ -140,7 +140,7 @@ def sheet_rows(spark, sf) -> DataFrame:
 
 @query
 def s1_trace_scan(spark, sf):
-    t = IO.scan_traces(sheet_rows(spark, sf))
+    t = IO.scan_traces(settle(sheet_rows(spark, sf)))
     t = T.compact(t)
     return t.select("segment_no", "row_no", "tid", "fs", "t0", F.round("begin_s", 6).alias("begin_s"), F.size("y").alias("n"),
                     F.round(F.array_max("y"), 6).alias("y_max"), F.round(F.element_at("y", 4), 6).alias("y4"))
@@ -188,7 +188,7 @@ def s4_session_json(spark, sf):
     items = d.select("segment_no", "segment_index", "segment_name", *J.CORNERS, "status")
     doc = J.session_documents(items, d.drop("segment_no").withColumn("segment_no", F.col("segment_index")), F.lit("events"), ["segment_no"])
     J.write_sessions(doc, path)
-    back = J.read_sessions(spark, path)
+    back = J.read_sessions(spark, path, multi_line=False)
     dec = J.upgrade_decisions(back, [])
     return dec.select("segment_index", "segment_name", "status", "schema_version", *J.CORNERS[:2], F.size("manual_afc_times_s").alias("n_points"))
 
@@ -620,21 +620,21 @@ def p3_peaks_per_transient(spark, sf):
 @query
 def p4_thresholds(spark, sf):
     s, raw, lay = li_raw(spark, sf)
-    return rounded(S.thresholds(raw, SEG, lay), 6, "strong_thr", "weak_thr", "p95", "p50", "small_med", "small_mad")
+    return rounded(S.thresholds(raw, SEG, lay), 10, "strong_thr", "weak_thr", "p95", "p50", "small_med", "small_mad")
 
 
 def _adjusted(spark, sf):
     s, raw, lay = li_raw(spark, sf)
     raw = settle(raw)
     m = A.noise_mad(s, SEG, lay).withColumns({
-        "noise_mad": F.when(F.col("segment_no") % 3 == 0, 0.6).otherwise(F.col("noise_mad") / 10), "drift_ratio": F.col("segment_no") / 50.0,
+        "noise_mad": F.when(F.col("segment_no") % 3 == 0, 0.6).otherwise(F.col("noise_mad") / 10), "drift_ratio": (F.col("segment_no") % 50) / 47.3,
         "applied": F.col("segment_no") % 2 == 0})
     return raw, S.adjust_thresholds(S.thresholds(raw, SEG, lay), raw, m, SEG, lay)
 
 
 @query
 def p5_adjust_thresholds(spark, sf):
-    return rounded(_adjusted(spark, sf)[1].select("segment_no", "strong_thr", "weak_thr", "retried"), 6, "strong_thr", "weak_thr")
+    return rounded(_adjusted(spark, sf)[1].select("segment_no", "strong_thr", "weak_thr", "retried"), 10, "strong_thr", "weak_thr")
 
 
 @query
@@ -713,7 +713,7 @@ def _rescue_inputs(spark, sf):
 def p16_rescue_peaks(spark, sf):
     s, raw, m, c, b, lay = _rescue_inputs(spark, sf)
     d = S.rescue_peaks(c, m, b, SEG, lay)
-    return rounded(d, 6, "amp", "prom", "width_s", "amp_rel", "prom_rel", "width_rel", "gap_before_s", "gap_after_s").drop("fs")
+    return rounded(d, 8, "amp", "prom", "width_s", "amp_rel", "prom_rel", "width_rel", "gap_before_s", "gap_after_s").drop("fs")
 
 
 @query
@@ -750,7 +750,7 @@ def p16c_assign_windows(spark, sf):
 def p16d_local_reference(spark, sf):
     c, m, lay = _assigned(spark, sf)
     d = S.local_reference(settle(c), m, SEG)
-    return rounded(d, 7, "ref_prom", "ref_amp", "ref_width").select("segment_no", "idx", "ref_prom", "ref_amp", "ref_width")
+    return rounded(d, 9, "ref_prom", "ref_amp", "ref_width").select("segment_no", "idx", "ref_prom", "ref_amp", "ref_width")
 
 
 def _scored(spark, sf):
@@ -780,7 +780,7 @@ def _rescues(raw):
 def p17_build_events(spark, sf):
     s, raw, m, lay = li_mains(spark, sf)
     e = E.build_events(m, _rescues(raw), raw.where("idx % 2 = 0"), seg_const(raw, time_origin_s=2.5), SEG)
-    return rounded(e, 6, "time_s", "amp", "prom", "width_s", *[c for c in E.EVENT_COLS if c.startswith("rescue_") and c != "rescue_type"]).drop("idx")
+    return rounded(e, 8, "time_s", "amp", "prom", "width_s", *[c for c in E.EVENT_COLS if c.startswith("rescue_") and c != "rescue_type"]).drop("idx")
 
 
 def _audit_rows(spark, sf):
@@ -800,7 +800,7 @@ def _audit_rows(spark, sf):
 
 @query
 def p18_peak_trace(spark, sf):
-    return rounded(_audit_rows(spark, sf), 6, "time_s", "amplitude", "prominence", "width_s").drop("idx")
+    return rounded(_audit_rows(spark, sf), 8, "time_s", "amplitude", "prominence", "width_s").drop("idx")
 
 
 @query
@@ -808,7 +808,7 @@ def p19_beat_totals(spark, sf):
     s, raw, m, lay = li_mains(spark, sf)
     t = E.beat_totals(m, raw.where("idx % 5 = 0"), SEG, lay)
     t = E.score_totals(t.withColumns({"noise_mad": F.lit(0.05), "duration_s": F.lit(2.4)}))
-    return rounded(t, 6, "ibi_cv", "main_prom_med", "main_amp_med", "bpm", "prom_snr", "quality_score")
+    return rounded(t, 9, "ibi_cv", "main_prom_med", "main_amp_med", "bpm", "prom_snr", "quality_score")
 
 
 @query
@@ -873,7 +873,7 @@ def r4_beat_items(spark, sf):
     s, m, span, lay = _windows(spark, sf)
     s = settle(s)
     d = R.beat_items(m, s, span, SEG, lay)
-    return rounded(d, 6, "main_t", "main_amp", "start_s", "end_s", "lower", "upper").drop("candidates")
+    return rounded(d, 9, "main_t", "main_amp", "start_s", "end_s", "lower", "upper").drop("candidates")
 
 
 @query
@@ -907,7 +907,7 @@ def r7_refresh_segment_items(spark, sf):
     s = settle(s)
     i = _segment_corners(s).withColumn(J.CORNERS[2], F.when(F.col("segment_no") % 2 == 0, 0.9)).withColumn(J.CORNERS[1], F.lit(0.4))
     d = R.refresh_segment_items(i, s, s.where("idx % 60 = 7"), SEG, lay)
-    return d.select("segment_no", *[F.round(c, 7).alias(c) for c in J.CORNERS], F.size("helper").alias("n_helper"))
+    return d.select("segment_no", *[F.round(c, 10).alias(c) for c in J.CORNERS], F.size("helper").alias("n_helper"))
 
 
 @query
@@ -1072,13 +1072,13 @@ def r21_normalize_range(spark, sf):
     s, m, lay = _review_samples(spark, sf)
     i = _segment_corners(s).withColumn(J.CORNERS[2], F.when(F.col("segment_no") % 2 == 0, 0.9)).withColumn("x_end_s", F.when(F.col("segment_no") % 5 == 0, -3.0).otherwise(F.col("x_end_s")))
     d = R.normalize_range(i, R.time_span(s, SEG), R.signal_caps(s, SEG, lay, use_config=False), SEG)
-    return rounded(d, 7, *J.CORNERS)
+    return rounded(d, 10, *J.CORNERS)
 
 
 # ---- reports ----------------------------------------------------------------------
 @query
 def g1_segment_summary(spark, sf):
-    return rounded(G.segment_summary(user_segments(spark, sf), 1.5, 10.0), 6, "bpm_user", "detected_total_expected_ratio")
+    return rounded(G.segment_summary(user_segments(spark, sf), 1.5, 10.0), 9, "bpm_user", "detected_total_expected_ratio")
 
 
 @query
@@ -1112,7 +1112,7 @@ def g5_clean_summary(spark, sf):
     e, s, lay = user_events(spark, sf)
     ev = e.withColumn("segment", F.concat(F.lit("PixelCorrelation Segment "), F.col("segment_no")))
     d = G.clean_summary(G.segment_summary(seg, 1.5, 10.0), ev, seg)
-    return rounded(d, 6, "bpm_user", "detected_total_expected_ratio", "average_prom", "average_amp")
+    return rounded(d, 9, "bpm_user", "detected_total_expected_ratio", "average_prom", "average_amp")
 
 
 @query

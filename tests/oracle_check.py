@@ -26,7 +26,7 @@ def canon(df: pd.DataFrame) -> pd.DataFrame:
         if isinstance(v, bool):
             return str(v)
         if isinstance(v, float):
-            return repr(v + 0.0 if v else 0.0)
+            return str(int(v)) if v.is_integer() and abs(v) < 1e15 else repr(v)
         if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
             v = v.tolist()
             if not isinstance(v, list):
