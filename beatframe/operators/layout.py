@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -33,6 +35,7 @@ PKEYS = KEYS + ["polarity"]
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session options the plans rely on (all are runtime SQL options)."""
+    ship_package(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # joins on (segment, more) keep a partitioning by segment instead of re-shuffling
@@ -41,6 +44,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_beatframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="beatframe-pkg-")) / "beatframe.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._beatframe_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the
     cluster names one; a local folder only where it is unset, as in tests."""

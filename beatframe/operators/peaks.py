@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels as K
 from ..params import DETECTOR, DetectorParams
-from .layout import Layout, Scan, settle
+from .layout import Layout, Scan, settle, ship_package
 
 SPEC = ["_prom", "_dist", "_wmin", "_wmax"]
 
@@ -24,6 +24,7 @@ def arrow_groups(df: DataFrame, group: list[str], keep: list[str], fields: list[
     ``columns`` maps value names to NumPy arrays ordered by ``idx``; ``keep`` key
     columns are repeated on the output.
     """
+    ship_package(df.sparkSession)
     schema = T.StructType(key_fields(df, keep) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
     values = [c for c in df.columns if c not in group]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,6 +90,7 @@ def seek(queries: DataFrame, samples: DataFrame, keys: list[str], lay: Layout, h
     step back.  A query meets its own chunk, then at most one other chunk, found
     from per-chunk minima and maxima.
     """
+    ship_package(samples.sparkSession)
     reach, _, group = lay.frame(samples.select(*keys, "idx", "x"), keys, 1)
     reach = reach.select(*group, "idx", "x", "_core")
     out_fields = [

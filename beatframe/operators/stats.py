@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels as K
 from ..params import DETECTOR, MAD_SCALE, DetectorParams
-from .layout import Layout, Scan, clip, null_if_nan, samples_of
+from .layout import Layout, Scan, clip, null_if_nan, samples_of, ship_package
 from .peaks import arrow_groups, find_peaks
 
 TINY = 1e-12
@@ -154,6 +154,7 @@ def dominant_period(samples: DataFrame, keys: list[str], lay: Layout) -> DataFra
     Lagged products are summed per chunk (right halo = longest lag) and added up
     by lag, so no pair of samples is ever a row.
     """
+    ship_package(samples.sparkSession)
     d = lay.with_quantiles(samples.select(*keys, "idx", "x", "fs"), keys, F.col("x"), {"_m": 0.5})
     d = lay.with_aggs(d, keys, _n=F.count(F.lit(1)), _sd=F.stddev_pop(F.col("x") - F.col("_m")))
     d = d.withColumn("x", F.col("x") - F.col("_m"))
