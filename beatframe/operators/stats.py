@@ -113,6 +113,11 @@ def rolling_trend(
     return samples.join(out, keys + ["idx"], "left")
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation, null without variance (``corr`` would divide by zero)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def remove_drift(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR, row_corr: str | None = None):
     """Detect and subtract slow drift.  Returns ``(samples, drift)``.
 
@@ -124,7 +129,7 @@ def remove_drift(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorPa
     qx = lay.quantiles(s, keys, F.col("x"), {"x5": 0.05, "x95": 0.95})
     rc = F.first(row_corr) if row_corr else F.lit(None).cast("double")
     m = s.groupBy(*keys).agg(
-        null_if_nan(F.corr(F.col("idx").cast("double"), F.col("trend"))).alias("trend_time_corr"), rc.alias("row_corr")
+        _correlation(F.when(F.col("trend").isNotNull(), F.col("idx").cast("double")), F.col("trend")).alias("trend_time_corr"), rc.alias("row_corr")
     )
     m = m.join(q, keys).join(qx, keys)
     span, sig = F.col("t95") - F.col("t5"), F.col("x95") - F.col("x5")
