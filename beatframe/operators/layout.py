@@ -259,6 +259,16 @@ class Layout:
             out = one if out is None else out.join(one, keys)
         return settle(out)
 
+    def quantile_table(self, df: DataFrame, keys: list[str], **named: tuple[Column, float]) -> DataFrame:
+        """Quantiles of several values per key (short groups: one aggregation)."""
+        if not self.long:
+            return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(float(q))).alias(n) for n, (v, q) in named.items()])
+        out, df = None, settle(df)
+        for n, (v, q) in named.items():
+            one = self.quantiles(df, keys, v, {n: q})
+            out = one if out is None else out.join(one, keys, "full")
+        return out
+
     @staticmethod
     def _quantile_long(d, keys, q):
         eps, acc = 2e-4, 20000

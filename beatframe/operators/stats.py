@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import kernels as K
 from ..params import DETECTOR, MAD_SCALE, DetectorParams
-from .layout import Layout, Scan, clip, null_if_nan, samples_of, ship_package
+from .layout import Layout, Scan, clip, null_if_nan, samples_of, settle, ship_package
 from .peaks import arrow_groups, find_peaks
 
 TINY = 1e-12
@@ -42,11 +42,10 @@ def global_snr(samples: DataFrame, keys: list[str], lay: Layout) -> DataFrame:
     """``snr, noise_mad, signal_mad`` per key."""
     d = _quiet_mad(samples, keys, lay)
     d = lay.with_quantiles(d, keys, F.col("x"), {"_mx": 0.5})
-    a = lay.quantiles(d, keys, F.abs(F.col("_q") - F.col("_med")), {"_mad": 0.5})
-    b = lay.quantiles(d, keys, F.abs(F.col("x") - F.col("_mx")), {"_sig": 0.5})
+    t = lay.quantile_table(d, keys, _mad=(F.abs(F.col("_q") - F.col("_med")), 0.5), _sig=(F.abs(F.col("x") - F.col("_mx")), 0.5))
     noise = F.greatest(F.col("_mad") * MAD_SCALE, F.lit(TINY))
     sig = F.col("_sig") * MAD_SCALE
-    return a.join(b, keys).select(*keys, (sig / noise).alias("snr"), noise.alias("noise_mad"), sig.alias("signal_mad"))
+    return t.select(*keys, (sig / noise).alias("snr"), noise.alias("noise_mad"), sig.alias("signal_mad"))
 
 
 def differences(samples: DataFrame, keys: list[str], lay: Layout) -> DataFrame:
@@ -124,14 +123,15 @@ def remove_drift(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorPa
     ``row_corr`` names an optional column with the median trace correlation: very
     similar traces keep their drift unless it is strong.
     """
-    s = rolling_trend(samples, keys, lay, p.drift_window_s, p.drift_quantile)
-    q = lay.quantiles(s, keys, F.col("trend"), {"t5": 0.05, "t50": 0.5, "t95": 0.95})
-    qx = lay.quantiles(s, keys, F.col("x"), {"x5": 0.05, "x95": 0.95})
+    # the trend is the costly part: computed once, then read by every branch below
+    s = settle(rolling_trend(samples, keys, lay, p.drift_window_s, p.drift_quantile))
+    tr, x = F.col("trend"), F.col("x")
+    q = lay.quantile_table(s, keys, t5=(tr, 0.05), t50=(tr, 0.5), t95=(tr, 0.95), x5=(x, 0.05), x95=(x, 0.95))
     rc = F.first(row_corr) if row_corr else F.lit(None).cast("double")
     m = s.groupBy(*keys).agg(
         _correlation(F.when(F.col("trend").isNotNull(), F.col("idx").cast("double")), F.col("trend")).alias("trend_time_corr"), rc.alias("row_corr")
     )
-    m = m.join(q, keys).join(qx, keys)
+    m = m.join(q, keys)
     span, sig = F.col("t95") - F.col("t5"), F.col("x95") - F.col("x5")
     ratio = F.coalesce(span / F.greatest(sig, F.lit(TINY)), F.lit(0.0))
     strong = F.col("drift_ratio") >= 1.35 * p.drift_apply_min_ratio
@@ -232,7 +232,7 @@ def polarity_score(samples: DataFrame, keys: list[str], lay: Layout, p: Detector
         distance=F.greatest(F.lit(1), (p.orient_min_sep_s * F.col("fs")).cast("int")), min_width=F.lit(2.0),
     ).withColumn("width_s", F.col("width") / F.col("fs"))
     ok = (F.col("width_s") >= 0.008) & (F.col("width_s") <= 0.90)
-    pk = lay.with_aggs(pk, keys, _ok=F.count_if(ok)).where((F.col("_ok") < 3) | ok)
+    pk = settle(lay.with_aggs(pk, keys, _ok=F.count_if(ok)).where((F.col("_ok") < 3) | ok))
     # the strongest n_events peaks: ranked by value counts, not by collecting the group
     top = pk.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("prom"), F.desc("idx")))).where(F.col("_r") <= p.orient_n_events)
     top = top.groupBy(*keys).agg(F.median("prom").alias("top_prom"))
@@ -321,7 +321,7 @@ def mixed_direction_flip(samples: DataFrame, keys: list[str], lay: Layout, p: De
     """Do upward and downward peaks dominate different halves of the signal?"""
     fs = F.col("fs")
     s = lay.with_quantiles(samples.select(*keys, "idx", "x", "fs"), keys, F.col("x"), {"_m": 0.5})
-    s = lay.with_aggs(s.withColumn("x", F.col("x") - F.col("_m")).drop("_m"), keys, _n=F.count(F.lit(1)))
+    s = settle(lay.with_aggs(s.withColumn("x", F.col("x") - F.col("_m")).drop("_m"), keys, _n=F.count(F.lit(1))))
     every = s.groupBy(*keys).agg(F.first("_n").alias("_n"))
     s = s.where(F.col("_n") >= F.greatest(F.lit(40), (0.8 * fs).cast("int")))
     s = s.join(noise_mad(s, keys, lay), keys)
@@ -332,11 +332,10 @@ def mixed_direction_flip(samples: DataFrame, keys: list[str], lay: Layout, p: De
         distance=samples_of(0.10, fs), min_width=F.lit(2.0),
     )
     w = F.col("width") / F.greatest(fs, F.lit(1e-9))
-    pk = pk.where((w >= 0.014) & (w <= 0.80))
+    pk = settle(pk.where((w >= 0.014) & (w <= 0.80)))
     mid = F.floor(F.col("_n") / 2)
     g = pk.groupBy(*kk).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("idx") < mid).cast("double")).alias("early"))
-    g = g.join(lay.quantiles(pk, kk, F.col("prom"), {"prom": 0.5}), kk)
-    g = g.join(lay.quantiles(pk, kk, F.col("idx").cast("double"), {"pos": 0.5}), kk)
+    g = g.join(lay.quantile_table(pk, kk, prom=(F.col("prom"), 0.5), pos=(F.col("idx").cast("double"), 0.5)), kk)
     g = g.groupBy(*keys).pivot("sgn", [1, -1]).agg(
         *[F.first(c).alias(c) for c in ("n", "early", "prom", "pos")]
     )
