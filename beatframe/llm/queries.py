@@ -44,6 +44,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
+def op6_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import language_scores
+
+    prepare(spark)
+    return language_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -74,7 +81,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_personal_data, op4_quality_classifier, op5_mixing, op7_substring_dedup, op8_warc_round_trip, op9_packing, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_personal_data, op4_quality_classifier, op5_mixing, op6_language_scores, op7_substring_dedup, op8_warc_round_trip, op9_packing, op10_embedding_near_dedup)}
 
 #: SQL that DuckDB can run on the given tables.
 ORACLE = {
