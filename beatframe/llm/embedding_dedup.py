@@ -34,7 +34,9 @@ def _units(batches):
 
 def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     """Unit centres; starts from vectors spread over the sample."""
-    c = x[np.unique(np.linspace(0, len(x) - 1, k).astype(int))] if len(x) else x
+    if not x.size:
+        return np.zeros((1, max(1, x.shape[1])))
+    c = x[np.unique(np.linspace(0, len(x) - 1, k).astype(int))]
     for _ in range(ROUNDS):
         near = (x @ c.T).argmax(axis=1)
         total = np.zeros_like(c)
@@ -101,8 +103,6 @@ def similar_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     picked = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("unit").collect()
     sample = unpacked([pa.scalar(r.unit, pa.binary()) for r in picked])
     centres = spherical_kmeans(sample, max(1, min(len(sample) // 8, total // CELL)))
-    if not len(centres):
-        centres = np.zeros((1, 1))
     near = settle(one.mapInArrow(_cells(centres), "vec_id long, copies long, unit binary, cells array<int>"), "cells")
     put = near.withColumn("cell", F.explode("cells"))
     size = settle(put.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
