@@ -32,8 +32,8 @@ from .quality import held_out as held
 UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 200_000
 #: Bits of the slot numbers of each predictor; those that see the whole word so far also keep
 #: a check of what a slot belongs to.
-BITS = (20, 20, 20, 20, 22, 22)
-PREDICTORS, CHECKED, SLICES = len(BITS), 4, 96
+BITS = (20, 20, 20, 20, 21, 21)
+PREDICTORS, CHECKED, SLICES = len(BITS), 4, 64
 FIRST = np.cumsum([0, *(1 << b for b in BITS)])
 OWNED = int(FIRST[-1] - FIRST[CHECKED])
 END = np.uint64(0x9D8F_37A1_55C3_0E21)  # stands for the end of a text among the words' hashes
@@ -251,6 +251,11 @@ def _sum(batches):
 GATES = 8 * 6 * 4
 
 
+def _open(tables) -> tuple[np.ndarray, np.ndarray]:
+    counter, owner = tables.value
+    return _unzip((4 * int(FIRST[-1]), counter), np.float16).reshape(-1, 2), _unzip((2 * OWNED, owner), np.uint16)
+
+
 def _seen(n: np.ndarray, levels: int) -> np.ndarray:
     return np.minimum(np.log2(n + 1).astype(np.int64), levels - 1)
 
@@ -286,7 +291,7 @@ def _learn(tables):
     and what bits followed each mixed probability."""
 
     def run(batches):
-        table = tables.value
+        table = _open(tables)
         w = np.full((GATES, PREDICTORS), 1.5 / PREDICTORS)
         curve = np.tile(np.eye(PREDICTORS), (GATES, 1, 1))  # what the words so far say of the weights
         seen = np.zeros((GATES, PREDICTORS))
@@ -325,7 +330,7 @@ def _predict(tables, w: np.ndarray, after: np.ndarray, total: int, distinct: int
     follow = after.sum(axis=1)
 
     def run(batches):
-        table = tables.value
+        table = _open(tables)
         for b in batches:
             cost = np.zeros((b.num_rows, CLASSES))
             for row, cls, _, _, text, size in _blocks([b]):
@@ -403,7 +408,7 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     parts_ = {r.slice: _unzip((2 * r.n, r.part), np.float16 if r.slice < SLICES else np.uint16) for r in slices.toLocalIterator()}  # of a fixed size
     counter = np.concatenate([parts_[s] for s in range(SLICES)]) if parts_ else np.zeros(2 * FIRST[-1], np.float16)
     owner = np.concatenate([parts_[s] for s in range(SLICES, 2 * SLICES)]) if parts_ else np.zeros(OWNED, np.uint16)
-    tables = spark.sparkContext.broadcast((counter.reshape(-1, 2), owner))
+    tables = spark.sparkContext.broadcast((_zip(counter), _zip(owner)))  # packed: it lies on the disk of every executor
     learned = vocabulary.mapInArrow(_learn(tables), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 * GATES * PREDICTORS + 2 * 256 * LEVELS)
     for r in learned:
