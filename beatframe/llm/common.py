@@ -59,7 +59,7 @@ def fresh(spark: SparkSession, what: str) -> str:
 def settle(df: DataFrame, what: str = "table") -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder."""
     path = fresh(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

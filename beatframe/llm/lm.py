@@ -57,10 +57,10 @@ def _unzip(col, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), dtype) if size else np.zeros(0, dtype)
 
 
-UNITS = "unit string, docs binary, n_docs int, codes binary, n_codes int, hashes binary, counts binary, bytes binary, n_bytes int, n_words int"
+UNITS = "unit long, docs binary, n_docs int, codes binary, n_codes int, hashes binary, counts binary, bytes binary, n_bytes int, n_words int"
 
 
-def _pack(name: str, parts: list) -> pa.RecordBatch:
+def _pack(name: int, parts: list) -> pa.RecordBatch:
     """One unit of (ids, known, held, hashes, lengths, classes, words of chunk...) parts."""
     ids = np.concatenate([p["id"] for p in parts])
     flag = np.concatenate([p["flag"] for p in parts])
@@ -80,7 +80,7 @@ def _pack(name: str, parts: list) -> pa.RecordBatch:
     docs = np.concatenate([ids, flag.astype(np.int64), n])
     body = np.concatenate([np.frombuffer(size.astype(np.int32).tobytes(), np.uint8), text])
     row = {"unit": name, "docs": _zip(docs), "n_docs": len(ids), "codes": _zip(code.astype(np.int32)), "n_codes": len(code), "hashes": distinct.tobytes(), "counts": _zip(counts), "bytes": _zip(body), "n_bytes": len(body), "n_words": len(distinct)}
-    types = {"unit": pa.string(), **{k: pa.int32() for k in ("n_docs", "n_codes", "n_bytes", "n_words")}}
+    types = {"unit": pa.int64(), **{k: pa.int32() for k in ("n_docs", "n_codes", "n_bytes", "n_words")}}
     return pa.RecordBatch.from_pydict({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
 
 
@@ -117,10 +117,10 @@ def _units(batches):
         parts.append({"id": ids.fill_null(0).to_numpy(), "flag": flag, "n": n + 1, "h": h, "cls": cls, "size": size, "at": start, "buf": w.buf})
         held_words += total
         if held_words >= UNIT:
-            yield _pack(f"{task}-{k}", parts)
+            yield _pack((task << 24) + k, parts)
             k, parts, held_words = k + 1, [], 0
     if parts:
-        yield _pack(f"{task}-{k}", parts)
+        yield _pack((task << 24) + k, parts)
 
 
 def _distinct(batches):
@@ -147,7 +147,7 @@ def _places(batches):
             h = np.frombuffer(r["hashes"], np.int64)
             for a in range(0, len(h), 100_000):
                 part = h[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([r["unit"]] * len(part)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], names=["h", "unit", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), r["unit"])), pa.array(np.arange(a, a + len(part), dtype=np.int32))], names=["h", "unit", "i"])
 
 
 # ---- bits --------------------------------------------------------------------
@@ -261,21 +261,26 @@ def _seen(n: np.ndarray, levels: int) -> np.ndarray:
 
 
 def _inputs(table: tuple, ctx, step: int, node, y=None):
-    """Log odds of every predictor (without one sighting of the bit itself if y is given), and the gate."""
-    odds, total = [], []
+    """Log odds of every predictor (without one sighting of the bit itself if y is given), in the
+    order of their gates; that order; and (gate, from, to) of each."""
+    odds, total = np.empty((len(node), PREDICTORS), np.float32), {}
     counts, owner = table
     for k in range(PREDICTORS):
         at, check = _slots(ctx[k], node, k)
         n = counts[at].astype(np.float32)
         if k >= CHECKED:
             n[owner[at - FIRST[CHECKED]] != check] = 0
-        n0, n1 = n[:, 0], n[:, 1]
         if y is not None:
-            n0, n1 = np.maximum(n0 - (1 - y), 0), np.maximum(n1 - y, 0)
-        odds.append(np.log((n1 + PRIOR) / (n0 + PRIOR)))
-        total.append(n0 + n1)
-    gate = (step * 6 + _seen(total[4], 6)) * 4 + _seen(total[2] / 4, 4)
-    return np.column_stack(odds).astype(np.float64), gate
+            n[np.arange(len(y)), y] -= 1
+            np.maximum(n, 0, out=n)
+        if k in (2, 4):
+            total[k] = n[:, 0] + n[:, 1]
+        n += np.float32(PRIOR)
+        odds[:, k] = np.log(n[:, 1] / n[:, 0])
+    gate = (_seen(total[4], 6) * 4 + _seen(total[2] / 4, 4)).astype(np.uint8)
+    order = np.argsort(gate, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=24))]).tolist()
+    return odds[order], order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -303,22 +308,18 @@ def _learn(tables):
             value, item, _, ctx = _bytes_of(text[np.repeat(on, size)], size[on], cls[on])
             c = count[on][item].astype(float)
             for step, node, y in _bits(value):
-                x, gate = _inputs(table, ctx, step, node, y)
-                z = (x * w[gate]).sum(axis=1)
-                p = _squash(z)
-                g, h = c * (y - p), c * p * (1 - p)
-                at = node * LEVELS + _level(z)
-                after[:, 0] += np.bincount(at, c * (1 - y), len(after))
-                after[:, 1] += np.bincount(at, c * y, len(after))
-                push, bend = np.zeros((GATES, PREDICTORS)), np.zeros_like(curve)
-                for k in range(PREDICTORS):
-                    push[:, k] = np.bincount(gate, g * x[:, k], GATES)
-                    for m in range(k, PREDICTORS):
-                        bend[:, k, m] = bend[:, m, k] = np.bincount(gate, h * x[:, k] * x[:, m], GATES)
-                on = np.flatnonzero(np.bincount(gate, minlength=GATES))
-                curve[on] = FORGET * curve[on] + bend[on] + 1e-3 * np.eye(PREDICTORS)
-                w[on] = np.clip(w[on] + np.linalg.solve(curve[on], push[on, :, None])[:, :, 0], -8, 8)
-                seen += np.bincount(gate, c, GATES)[:, None]
+                x, order, parts = _inputs(table, ctx, step, node, y)
+                z, cs, ys = np.empty(len(x)), c[order], y[order]
+                for gate, a, b in parts:
+                    xs = x[a:b].astype(np.float64)
+                    z[a:b] = xs @ w[gate]
+                    p = _squash(z[a:b])
+                    push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
+                    curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
+                    w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
+                    seen[gate] += cs[a:b].sum()
+                at = node[order] * LEVELS + _level(z)
+                after += np.bincount(2 * at + ys, cs, after.size).reshape(after.shape)
         out = np.concatenate([(w * seen).ravel(), seen.ravel(), after.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "v"])
 
@@ -337,8 +338,10 @@ def _predict(tables, w: np.ndarray, after: np.ndarray, total: int, distinct: int
                 value, item, _, ctx = _bytes_of(text, size, cls)
                 bits = np.zeros(len(value))
                 for step, node, y in _bits(value):
-                    x, gate = _inputs(table, ctx, step, node)
-                    z = (x * w[gate]).sum(axis=1)
+                    x, order, parts = _inputs(table, ctx, step, node)
+                    z = np.empty(len(x))
+                    for gate, f, t in parts:
+                        z[order[f:t]] = x[f:t] @ w[gate]
                     p = _squash(z)
                     at = node * LEVELS + _level(z)
                     p = (p + (after[at, 1] + MAP_PRIOR * p) / (follow[at] + MAP_PRIOR)) / 2
@@ -397,7 +400,7 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     total, distinct = int(row.n or 0), int(row.v or 0)
     # the commonest words that the counters of whole words have room for
     level = F.floor(F.log2(c.cast("double")) * 8)
-    room, least = int(0.6 * (1 << BITS[CHECKED])), 1.0
+    room, least = int(0.25 * (1 << BITS[CHECKED])), 1.0
     sizes = vocabulary.where(c > 0).groupBy(level.alias("level")).agg(F.sum(8 * (F.octet_length("word") + 1)).alias("bits"))
     for r in sorted(sizes.collect(), key=lambda r: -r.level):  # at most 8 * 64 levels
         room -= r.bits
@@ -417,7 +420,7 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     w = np.divide(ws, seen, out=np.full_like(ws, 1.5 / PREDICTORS), where=seen > 0)
     after = flat[2 * GATES * PREDICTORS :].reshape(-1, 2)
     costs = settle(vocabulary.mapInArrow(_predict(tables, w, after, total, distinct), "h long, c long, cost binary"), "costs")
-    places = units.select("unit", "hashes").mapInArrow(_places, "h long, unit string, i int")
+    places = units.select("unit", "hashes").mapInArrow(_places, "h long, unit long, i int")
     back = places.join(costs, "h").select("unit", "i", "c", "cost")
     nothing = {k: F.lit(None).cast(t) for k, t in (("docs", "binary"), ("n_docs", "int"), ("codes", "binary"), ("n_codes", "int"), ("n_words", "int"))}
     heads = units.select("unit", F.lit(-1).alias("i"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("cost"), *nothing)
