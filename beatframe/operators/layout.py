@@ -24,7 +24,7 @@ import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..params import MAD_SCALE
 
@@ -60,9 +60,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the
-    cluster names one; a local folder only where it is unset, as in tests."""
+    cluster names one; a local folder only where it is unset in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.environ.get("BEATFRAME_LOCAL_SCRATCH")
         if not root:
             root = tempfile.mkdtemp(prefix="beatframe-")
@@ -228,7 +230,9 @@ class Layout:
         if not self.long:
             u = self.scan(u, keys, order, prev=Scan("ffill", F.col("_m")), next=Scan("bfill", F.col("_m")))
         else:
-            u = self.scan(u.withColumn("_at", F.floor(pos).cast("long")), keys, ["_at", *order],
+            # times become sample positions, so that a chunk of them is as large as any other
+            at = F.col(pos) * self.max_fs if isinstance(u.schema[pos].dataType, (T.DoubleType, T.FloatType)) else F.col(pos)
+            u = self.scan(u.withColumn("_at", F.floor(at).cast("long")), keys, ["_at", *order],
                           prev=Scan("ffill", F.col("_m")), next=Scan("bfill", F.col("_m")))
         u = u.where("_k = 1")
         return u.select(*keys, pos, *([F.col("_p")[c].alias(c) for c in rest]), "prev", "next")

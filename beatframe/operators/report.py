@@ -98,10 +98,11 @@ def finite_or(c: Column, default: float | None = None) -> Column:
     return F.when(ok, v).otherwise(F.lit(default).cast("double"))
 
 
-def report_rows(events: DataFrame, keys: list[str], max_rows: int = 120, with_transient: bool = True) -> DataFrame:
-    """The first ``max_rows`` events of each segment as report text."""
+def report_rows(events: DataFrame, keys: list[str], max_rows: int | None = None, with_transient: bool = True) -> DataFrame:
+    """The events of each segment (the first ``max_rows`` if given) as numbered report text."""
     w = W.partitionBy(*keys).orderBy("time_s", "idx")
-    d = events.withColumn("row", F.row_number().over(w)).where(F.col("row") <= max_rows)
+    d = events.withColumn("row", F.row_number().over(w))
+    d = d if max_rows is None else d.where(F.col("row") <= max_rows)
     out = [fixed_text(F.col("time_s"), 3).alias("time_s"), *[fixed_text(F.col(c), 5).alias(c) for c in ("amp", "prom", "width_s")]]
     if with_transient:
         out.append(F.coalesce(F.col("transient").cast("int").cast("string"), F.lit("")).alias("transient"))

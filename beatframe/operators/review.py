@@ -273,11 +273,11 @@ def merge_beat_decisions(segments: DataFrame, decisions: DataFrame, samples: Dat
     become events unless the decision is skipped.
     """
     s = segments.select(*keys, F.col("segment_name").alias("_name"))
-    by_no = decisions.withColumnRenamed("segment_index", keys[-1]).join(s, keys, "left")
+    by_no = decisions.withColumn("_own", F.col("segment_index")).withColumnRenamed("segment_index", keys[-1]).join(s, keys, "left")
     unmatched = by_no.where("_name is null").drop("_name", keys[-1])
     alt = unmatched.join(s.withColumn("segment_name", F.col("_name")), keys[:-1] + ["segment_name"])
     d = by_no.where("_name is not null").unionByName(alt).withColumn("segment_name", F.col("_name")).drop("_name")
-    d = d.withColumns({"review_id": F.concat_ws(":", keys[-1], "main_peak_index"), "beat": F.col("main_peak_index")})
+    d = d.withColumns({"review_id": F.concat_ws(":", "_own", "main_peak_index"), "beat": F.col("main_peak_index")}).drop("_own")
     lists = {}
     pieces = []
     for col, src in (("accepted_times_s", "auto_accepted"), ("manual_added_times_s", "manual_added"), ("rejected_times_s", "rejected")):
@@ -320,7 +320,7 @@ def merge_segment_decisions(segments: DataFrame, decisions: DataFrame, events: D
         k = d.select(*keys, F.posexplode(z).alias("pos", "z")).select(
             *keys, F.struct(F.lit(rank).alias("r"), "pos").alias("o"), time_key(F.col("z.t")).alias("_k"), F.col("z.a").alias("a"))
         known = k if known is None else known.unionByName(k)
-    known = known.where("_k is not null and a is not null").groupBy(*keys, "_k").agg(F.max_by("a", "o").alias("a"))
+    known = known.where("_k is not null and a is not null and not isnan(a) and abs(a) < double('infinity')").groupBy(*keys, "_k").agg(F.max_by("a", "o").alias("a"))
     logged = pts.withColumn("_k", time_key(F.col("t_s"))).join(known, keys + ["_k"], "left")
     item = F.array_sort(F.collect_list(F.struct("t_s", "a")))
     logged = logged.groupBy(*keys).agg(item.alias("z")).select(

@@ -90,7 +90,8 @@ def rolling_trend(
     q = float(np.clip(quantile, 0.01, 0.99))
     d = samples.withColumn("_ws", ws)
     d = lay.with_aggs(d, keys, _n=F.count(F.lit(1)))
-    reach = int(round(12.0 * lay.max_fs)) // 2 + 16 if isinstance(window_s, Column) else max(31, round(float(window_s) * lay.max_fs)) // 2 + 1
+    widest = (samples.agg(F.max(ws)).first()[0] or 0.0) if isinstance(window_s, Column) else 0.0
+    reach = max(31, round(float(widest) * lay.max_fs)) // 2 + 16 if isinstance(window_s, Column) else max(31, round(float(window_s) * lay.max_fs)) // 2 + 1
     rows, _, group = lay.frame(d.select(*keys, "idx", "x", "fs", "_ws", "_n"), keys, reach)
 
     def run(c):
@@ -105,7 +106,10 @@ def rolling_trend(
         h = win // 2
         j = np.arange(int(at[0]) - h, int(at[-1]) + h + 1)
         j = np.where(j < 0, -1 - j, np.where(j >= n, 2 * n - 1 - j, j))
-        padded = c["x"][j - int(c["idx"][0])]
+        x, known = c["x"], np.isfinite(c["x"])
+        if known.any() and not known.all():  # gaps are bridged, as one NaN would spoil every window after it
+            x = np.interp(c["idx"], c["idx"][known], x[known])
+        padded = x[j - int(c["idx"][0])]
         return {"idx": at, "trend": K.sliding_rank(padded, win, int(win * (100.0 * q) / 100.0))}
 
     out = arrow_groups(rows, group, keys, [("idx", "int"), ("trend", "double")], run)

@@ -32,7 +32,6 @@ class DetectorParams:
     orient_smooth_ms: float = 7.0
     orient_conf_min: float = 0.65
     orientation_sanity_rescue_ratio_penalty: float = 1.00
-    orientation_sanity_promoted_fail_penalty: float = 0.35
 
     drift_window_s: float = 6.0
     drift_quantile: float = 0.20
@@ -204,7 +203,6 @@ class ReviewParams:
     max_secondary_width_s: float = 0.400
     min_secondary_distance_s: float = 0.050
     main_peak_exclusion_window_s: float = 0.060
-    resume_existing_session: bool = False
 
 
 DETECTOR = DetectorParams()

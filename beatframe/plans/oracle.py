@@ -349,10 +349,10 @@ dr AS (SELECT segment_no, r, ai, bi, CASE WHEN near AND w.prom <= 0.48 * greates
   AND least(w.amp - low, s.amp - low) / greatest(greatest(w.amp - low, s.amp - low), 1e-12) >= 0.16) THEN w.idx END AS weak FROM pr),
 f AS (SELECT segment_no, r, weak AS gone, bi FROM dr WHERE r = 1 UNION ALL SELECT d.segment_no, d.r, CASE WHEN f.gone IS NOT DISTINCT FROM d.ai THEN NULL ELSE d.weak END, d.bi FROM f JOIN dr d ON d.segment_no = f.segment_no AND d.r = f.r + 1)
 SELECT segment_no, idx FROM cv WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.segment_no = cv.segment_no AND f.gone = cv.idx)""")
-sql("p10_prune_local_weak", f"""WITH {RAW}, rr AS (SELECT * FROM raw WHERE prom >= 0.2), {BES.format(s='rr')}, z AS (SELECT bs.*, ibi, (lp + rp) / 2 AS fp, (la + ra) / 2 AS fa, (lw + rw) / 2 AS fw FROM bs JOIN mi USING (segment_no))
+sql("p10_prune_local_weak", f"""WITH {RAW}, rr AS (SELECT * FROM raw), {BES.format(s='rr')}, z AS (SELECT bs.*, ibi, (lp + rp) / 2 AS fp, (la + ra) / 2 AS fa, (lw + rw) / 2 AS fw FROM bs JOIN mi USING (segment_no))
 SELECT segment_no, idx FROM z WHERE NOT coalesce(n >= 3 AND ibi > 0 AND least(idx - li_, CASE WHEN ri_ IS NOT NULL AND li_ IS NOT NULL THEN ri_ - idx END) <= greatest(1, round_even(0.58::DOUBLE * ibi * 250, 0)) AND fp > 1e-12 AND fa > 1e-12 AND fw > 1e-12
  AND ((prom <= 0.28 * fp AND amp <= 0.55 * fa AND width_s <= 0.70 * fw) OR (prom <= 0.60 * fp AND amp <= 0.62 * fa AND width_s <= 0.55 * fw)), FALSE)""")
-sql("p11_prune_interbeat_tiny", f"""WITH {RAW}, rr AS (SELECT * FROM raw WHERE prom >= 0.1), {BES.format(s='rr')}, gl AS (SELECT segment_no, quantile_cont(amp, 0.8) AS ga, quantile_cont(prom, 0.8) AS gp FROM rr GROUP BY 1),
+sql("p11_prune_interbeat_tiny", f"""WITH {RAW}, rr AS (SELECT * FROM raw), {BES.format(s='rr')}, gl AS (SELECT segment_no, quantile_cont(amp, 0.8) AS ga, quantile_cont(prom, 0.8) AS gp FROM rr GROUP BY 1),
 z AS (SELECT bs.*, ga, gp, (la + ra) / 2 AS fa, (lp + rp) / 2 AS fp, idx - li_ AS lg, ri_ - idx AS rg, li_ IS NOT NULL AND ri_ IS NOT NULL AS inn, width_s <= 0.14 AS nw FROM bs JOIN gl USING (segment_no)),
 t AS (SELECT *, ga > 1e-12 AND gp > 1e-12 AND ((amp <= 0.55 * ga AND prom <= 0.60 * gp AND nw) OR (amp <= 0.40 * ga AND prom <= 0.42 * gp)) AS gt,
  coalesce(fa > 1e-12 AND fp > 1e-12 AND ((lg >= 75 AND rg >= 75 AND amp <= 0.42 * fa AND prom <= 0.46 * fp AND nw) OR (lg >= 37 AND rg >= 37 AND amp <= 0.38 * fa AND prom <= 0.40 * fp)), FALSE) AS lt FROM z)
@@ -471,9 +471,9 @@ sql("r13_nearest_peak_features", f"""WITH {EV}, {NS}, {NF}, {shaped('np_', 'ev',
 sql("r14_dedup_times", f"""WITH {EV}, p AS (SELECT segment_no, idx AS pos, round(x, 0) AS t FROM ev WHERE idx % 9 <> 0) SELECT segment_no, pos, round(t + pos * 1e-9, 6) AS t_s FROM p QUALIFY row_number() OVER (PARTITION BY segment_no, t ORDER BY pos) = 1""")
 sql("r15_point_log", f"""WITH {EV}, p AS (SELECT segment_no, idx, round(x, 0) AS t_s, x AS amp, event_type FROM ev), l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY segment_no, t_s ORDER BY idx DESC) = 1) SELECT segment_no, t_s, amp FROM l WHERE event_type <> 'error'""")
 sql("r15_align_amplitudes", f"WITH {EV} SELECT segment_no, round(t_s, 6) AS t_s, round(CASE WHEN idx % 2 = 0 THEN x + 1 ELSE x END, 6) AS amp FROM ev WHERE event_type = 'error'")
-sql("r16_merge_beat_decisions", f"""WITH {EV}, {NF.replace('nj JOIN', 'nj JOIN')[:0]} k AS (SELECT segment_no, idx, t_s, x, CASE event_type WHEN 'error' THEN 'auto_accepted' ELSE 'manual_added' END AS source FROM ev WHERE event_type IN ('error', 'view') AND segment_no % 5 <> 0),
+sql("r16_merge_beat_decisions", f"""WITH {EV}, k AS (SELECT segment_no, idx, t_s, x, CASE event_type WHEN 'error' THEN 'auto_accepted' ELSE 'manual_added' END AS source FROM ev WHERE event_type IN ('error', 'view') AND segment_no % 5 <> 0),
 nl AS (SELECT segment_no, max(idx) AS last FROM ev GROUP BY 1), np_ AS (SELECT k.segment_no, k.idx, k.x AS amp FROM k JOIN nl USING (segment_no) WHERE k.idx > 0 AND k.idx < last), {shaped('np_', 'ev', 'segment_no', 'sh')}
-SELECT k.segment_no, 'PixelCorrelation Segment ' || k.segment_no AS segment_name, (k.segment_no % 4)::INTEGER AS main_peak_index, round(t_s, 6) AS time_s, k.x AS amplitude, source, k.segment_no || ':' || (k.segment_no % 4) AS review_id, round(prom, 6) AS prominence FROM k LEFT JOIN sh USING (segment_no, idx)""")
+SELECT k.segment_no, 'PixelCorrelation Segment ' || k.segment_no AS segment_name, (k.segment_no % 4)::INTEGER AS main_peak_index, round(t_s, 6) AS time_s, k.x AS amplitude, source, CASE WHEN k.segment_no % 9 = 0 THEN -k.segment_no ELSE k.segment_no END || ':' || (k.segment_no % 4) AS review_id, round(prom, 6) AS prominence FROM k LEFT JOIN sh USING (segment_no, idx)""")
 sql("r17_merge_segment_decisions", f"""WITH {EV}, k AS (SELECT segment_no, idx, t_s, x FROM ev WHERE event_type = 'error' AND segment_no % 5 <> 0), m AS (SELECT segment_no, t_s, row_number() OVER (PARTITION BY segment_no ORDER BY t_s) - 1 AS o FROM ev WHERE event_type = 'purchase'),
 a AS (SELECT k.*, coalesce(m.o, -1) AS o FROM k ASOF LEFT JOIN m ON k.segment_no = m.segment_no AND k.t_s >= m.t_s), nl AS (SELECT segment_no, max(idx) AS last FROM ev GROUP BY 1), np_ AS (SELECT k.segment_no, k.idx, k.x AS amp FROM k JOIN nl USING (segment_no) WHERE k.idx > 0 AND k.idx < last), {shaped('np_', 'ev', 'segment_no', 'sh')}
 SELECT a.segment_no, 'PixelCorrelation Segment ' || a.segment_no AS segment_name, o::INTEGER AS main_peak_index, round(t_s, 6) AS time_s, a.x AS amplitude, 'manual_curated' AS source, a.segment_no::VARCHAR AS review_id, round(prom, 6) AS prominence FROM a LEFT JOIN sh USING (segment_no, idx)""")
@@ -492,12 +492,12 @@ sql("r20_apply_status", "SELECT DISTINCT user_id AS segment_no, CASE WHEN user_i
 SUM = US + """, sm AS (SELECT segment, CASE WHEN qc_pass THEN 'PASS' ELSE 'REJECT' END AS qc, qc_reason, round(n_main / 10.0::DOUBLE * 60, 9) AS bpm_user, n_main_primary AS primary_main_beats, n_rescue AS rescue_peaks, n_main AS total_detected_events, 15.0::DOUBLE AS expected_beats, round(n_main / 15.0::DOUBLE, 9) AS detected_total_expected_ratio FROM us)"""
 sql("g1_segment_summary", f"WITH {SUM} SELECT * FROM sm")
 sql("g2_main_events", f"""WITH {UE} SELECT segment_no, round(time_s, 6) AS time_s, type, amp, CASE WHEN type = 'Rescue' THEN 0.5::DOUBLE ELSE round(prom, 6) END AS prom, CASE WHEN type = 'Rescue' THEN 0.25::DOUBLE ELSE round(width_s, 6) END AS width_s, CASE WHEN type <> 'Rescue' THEN transient END AS transient, (segment_no % 9)::VARCHAR AS sample_id FROM ue""")
-sql("g3_rescue_rows", f"""WITH {LI}, {maxima('li', 'segment_no', 'mx')}, m3 AS (SELECT * FROM mx WHERE idx % 3 = 0), {shaped('m3', 'li', 'segment_no', 'sh')} SELECT segment_no, round(idx / 250.0::DOUBLE, 7) AS time_s, 'Rescue' AS type, round(amp, 7) AS amp, round(prom, 7) AS prom, round(width / 250.0::DOUBLE, 7) AS width_s FROM sh""")
+sql("g3_rescue_rows", f"""WITH {LI}, {maxima('li', 'segment_no', 'mx')}, {shaped('mx', 'li', 'segment_no', 'sh')} SELECT segment_no, round(idx / 250.0::DOUBLE, 7) AS time_s, 'Rescue' AS type, round(amp, 7) AS amp, round(prom, 7) AS prom, round(width / 250.0::DOUBLE, 7) AS width_s FROM sh""")
 sql("g4_afc_events", f"WITH {UE} SELECT CASE WHEN segment_no % 6 <> 0 THEN segment_no END AS segment_index, 'PixelCorrelation Segment ' || segment_no AS segment_name, round(time_s, 6) AS time_s, amp, (segment_no % 9)::VARCHAR AS sample_id FROM ue WHERE type = 'Rescue'")
 sql("g5_clean_summary", f"""WITH {SUM}, {UE}, av AS (SELECT 'PixelCorrelation Segment ' || segment_no AS segment, avg(prom) AS ap, avg(amp) AS aa FROM ue GROUP BY 1)
 SELECT sm.segment, qc, sm.qc_reason, CASE WHEN qc = 'PASS' THEN bpm_user END AS bpm_user, CASE WHEN qc = 'PASS' THEN primary_main_beats END AS primary_main_beats, CASE WHEN qc = 'PASS' THEN rescue_peaks END AS rescue_peaks, CASE WHEN qc = 'PASS' THEN total_detected_events END AS total_detected_events, expected_beats,
  CASE WHEN qc = 'PASS' THEN detected_total_expected_ratio END AS detected_total_expected_ratio, us.sample_id, CASE WHEN qc = 'PASS' THEN round(ap, 9) END AS average_prom, CASE WHEN qc = 'PASS' THEN round(aa, 9) END AS average_amp FROM sm JOIN us ON us.segment = sm.segment LEFT JOIN av ON av.segment = sm.segment""")
-sql("g9_report_rows", f"""WITH {UE}, r AS (SELECT *, row_number() OVER (PARTITION BY segment_no ORDER BY idx) AS row FROM ue QUALIFY row <= 12) SELECT segment_no, row::INTEGER AS row, printf('%.3f', idx / 8) AS time_s, printf('%.5f', amp) AS amp, CASE WHEN idx % 5 <> 0 THEN printf('%.5f', prom) ELSE '' END AS prom,
+sql("g9_report_rows", f"""WITH {UE}, r AS (SELECT *, row_number() OVER (PARTITION BY segment_no ORDER BY idx) AS row FROM ue) SELECT segment_no, row::INTEGER AS row, printf('%.3f', idx / 8) AS time_s, printf('%.5f', amp) AS amp, CASE WHEN idx % 5 <> 0 THEN printf('%.5f', prom) ELSE '' END AS prom,
  printf('%.5f', width_s) AS width_s, CASE WHEN idx % 4 <> 0 THEN transient::VARCHAR ELSE '' END AS transient FROM r""")
 sql("g10_review_counts", f"WITH {UD} SELECT count(*) FILTER (status <> 'skipped') AS reviewed, count(*) FILTER (status = 'skipped') AS skipped FROM ud")
 sql("g10_source_counts", "SELECT user_id AS segment_no, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2")

@@ -664,13 +664,13 @@ def p9_prune_short_gaps(spark, sf):
 @query
 def p10_prune_local_weak(spark, sf):
     s, raw, lay = li_raw(spark, sf)
-    return S.prune_local_weak(raw.where("prom >= 0.2"), SEG, lay)
+    return S.prune_local_weak(raw, SEG, lay)
 
 
 @query
 def p11_prune_interbeat_tiny(spark, sf):
     s, raw, lay = li_raw(spark, sf)
-    return S.prune_interbeat_tiny(raw.where("prom >= 0.1"), SEG, lay)
+    return S.prune_interbeat_tiny(raw, SEG, lay)
 
 
 @query
@@ -1093,7 +1093,7 @@ def g2_main_events(spark, sf):
 def g3_rescue_rows(spark, sf):
     s, m, lay = _review_samples(spark, sf)
     s = settle(s)
-    d = G.rescue_rows(P.local_maxima(s, SEG, lay).where("idx % 3 = 0"), s, SEG, lay)
+    d = G.rescue_rows(P.local_maxima(s, SEG, lay), s, SEG, lay)
     return rounded(d, 7, "time_s", "amp", "prom", "width_s")
 
 
@@ -1135,7 +1135,7 @@ def g8_label_counts(spark, sf):
 def g9_report_rows(spark, sf):
     e, s, lay = user_events(spark, sf)
     e = e.withColumns({"time_s": F.col("idx") / 8, "prom": F.when(F.col("idx") % 5 != 0, F.col("prom")), "transient": F.when(F.col("idx") % 4 != 0, F.col("transient"))})
-    return G.report_rows(e, SEG, 12)
+    return G.report_rows(e, SEG)
 
 
 @query
