@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _power_tables, chunks, dealt, groups, mix, prepare, settle, signed, words
 from .quality import held_out as held
 
-UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 200_000
+UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 1_500_000
+#: Distinct bytes at a time: while the weights are learned (one update for each piece), and after.
+LEARN_STEP, STEP = 6_000, 100_000
 #: Bits of the slot numbers of each predictor; those that see the whole word so far also keep
 #: a check of what a slot belongs to.
 BITS = (20, 20, 20, 20, 21, 21)
@@ -173,10 +175,26 @@ def _bytes_of(word_bytes: np.ndarray, size: np.ndarray, cls: np.ndarray):
     return value, item, place, ctx
 
 
+def _once(value: np.ndarray, ctx: list):
+    """Items that begin alike share their first bytes: the distinct bytes (with what stands before
+    them) in the order of a hash, the number among these of every byte, and their contexts."""
+    key = mix(ctx[-1] ^ ((value.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return value[first], number, [c[first] for c in ctx]
+
+
 def _slots(ctx: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot in the joint table, and check."""
-    x = (ctx + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - BITS[k])).astype(np.int64) + FIRST[k], (x & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    """Slot in the joint table, and what is left of the hash (``node``: from ``_spun``)."""
+    x = (ctx + node) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - BITS[k])).view(np.int64) + FIRST[k], x
+
+
+def _spun(node: np.ndarray) -> np.ndarray:
+    return node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _check(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16) | np.uint16(1)
 
 
 def _bits(value: np.ndarray):
@@ -185,6 +203,19 @@ def _bits(value: np.ndarray):
         yield 7 - bit, (v | 256) >> (bit + 1), (v >> bit) & 1
 
 
+def _gathered(batches):
+    """Rows of a vocabulary in batches of about a block: the more words, the more that begin alike."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("word").nbytes
+        if size >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _blocks(batches):
     """Items (a word in a class) in blocks: word, class, training count, count in all classes, bytes, sizes."""
     for b in batches:
@@ -212,22 +243,26 @@ def _count(least: float):
 
     def run(batches):
         table, owner, some = np.zeros((FIRST[-1], 2), np.float32), np.zeros(OWNED, np.uint16), False
-        for _, cls, count, every, text, size in _blocks(batches):
+        for _, cls, count, every, text, size in _blocks(_gathered(batches)):
             on = count > 0
             if not on.any():
                 continue
             some = True
             value, item, _, ctx = _bytes_of(text[np.repeat(on, size)], size[on], cls[on])
-            c, often = count[on][item].astype(np.float32), (every[on] >= least)[item]
+            value, number, ctx = _once(value, ctx)
+            c = np.bincount(number, count[on][item]).astype(np.float32)
+            common = np.bincount(number, (count[on] * (every[on] >= least))[item]).astype(np.float32)
+            often = np.flatnonzero(common)
+            ctx, common = [*ctx[:CHECKED], *(x[often] for x in ctx[CHECKED:])], common[often]
             for _, node, y in _bits(value):
+                node = _spun(node)
                 for k in range(PREDICTORS):
-                    at, check = _slots(ctx[k], node, k)
                     if k >= CHECKED:
-                        at, check = at[often], check[often]
-                        np.maximum.at(owner, at - FIRST[CHECKED], check)
-                        np.add.at(table.reshape(-1), 2 * at + y[often], c[often])
+                        at, x = _slots(ctx[k], node[often], k)
+                        np.maximum.at(owner, at - FIRST[CHECKED], _check(x))
+                        np.add.at(table.reshape(-1), 2 * at + y[often], common)
                     else:
-                        np.add.at(table.reshape(-1), 2 * at + y, c)
+                        np.add.at(table.reshape(-1), 2 * _slots(ctx[k], node, k)[0] + y, c)
         if some:
             for s, part in enumerate([*np.array_split(table.reshape(-1), SLICES), *np.array_split(owner, SLICES)]):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([_zip(part)], pa.binary())], names=["slice", "n", "part"])
@@ -251,36 +286,62 @@ def _sum(batches):
 GATES = 8 * 6 * 4
 
 
-def _open(tables) -> tuple[np.ndarray, np.ndarray]:
-    counter, owner = tables.value
-    return _unzip((4 * int(FIRST[-1]), counter), np.float16).reshape(-1, 2), _unzip((2 * OWNED, owner), np.uint16)
+def _seen(n: np.ndarray, levels: int) -> np.ndarray:
+    return np.minimum(np.log2(n + 1), levels - 1).astype(np.uint8)
 
 
-def _seen(n: np.ndarray, levels: int) -> np.ndarray:
-    return np.minimum(np.log2(n + 1).astype(np.int64), levels - 1)
+def _open(tables, learning: bool):
+    """What each slot says, ready to look up: log odds, how much predictors 2 and 4 have seen (by
+    level), and owners.  While learning there is an entry for each bit, without one sighting of it."""
+    counter, owner = tables.value
+    counts = _unzip((4 * int(FIRST[-1]), counter), np.float16).reshape(-1, 2)
+    ways = 2 if learning else 1
+    odds, seen = np.empty((len(counts), ways), np.float32), {}
+    for k in range(PREDICTORS):
+        at = slice(FIRST[k], FIRST[k + 1])
+        n = counts[at].astype(np.float32)
+        levels = np.empty((len(n), ways), np.uint8)
+        for y in range(ways):
+            m = n.copy()
+            if learning:
+                m[:, y] = np.maximum(m[:, y] - 1, 0)
+            if k in (2, 4):
+                levels[:, y] = _seen(m.sum(axis=1) / (4 if k == 2 else 1), 4 if k == 2 else 6)
+            m += np.float32(PRIOR)
+            odds[at, y] = np.log(m[:, 1] / m[:, 0])
+        if k in (2, 4):
+            seen[k] = levels.ravel()
+    return odds.ravel(), seen, _unzip((2 * OWNED, owner), np.uint16)
 
 
 def _inputs(table: tuple, ctx, step: int, node, y=None):
     """Log odds of every predictor (without one sighting of the bit itself if y is given), in the
     order of their gates; that order; and (gate, from, to) of each."""
-    odds, total = np.empty((len(node), PREDICTORS), np.float32), {}
-    counts, owner = table
+    x, level = np.empty((len(node), PREDICTORS), np.float32), {}
+    odds, seen, owner = table
+    node = _spun(node)
     for k in range(PREDICTORS):
-        at, check = _slots(ctx[k], node, k)
-        n = counts[at].astype(np.float32)
+        at, rest = _slots(ctx[k], node, k)
+        i = at if y is None else 2 * at + y
+        found = odds[i]
+        if k in seen:
+            level[k] = seen[k][i - FIRST[k] * (1 if y is None else 2)]
         if k >= CHECKED:
-            n[owner[at - FIRST[CHECKED]] != check] = 0
-        if y is not None:
-            n[np.arange(len(y)), y] -= 1
-            np.maximum(n, 0, out=n)
-        if k in (2, 4):
-            total[k] = n[:, 0] + n[:, 1]
-        n += np.float32(PRIOR)
-        odds[:, k] = np.log(n[:, 1] / n[:, 0])
-    gate = (_seen(total[4], 6) * 4 + _seen(total[2] / 4, 4)).astype(np.uint8)
+            other = owner[at - FIRST[CHECKED]] != _check(rest)
+            found[other] = 0
+            if k in seen:
+                level[k][other] = 0
+        x[:, k] = found
+    gate = level[4] * np.uint8(4) + level[2]
     order = np.argsort(gate, kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=24))]).tolist()
-    return odds[order], order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
+    return x[order], order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
+
+
+def _steps(value: np.ndarray, ctx: list, size: int):
+    for a in range(0, len(value), size):
+        z = slice(a, a + size)
+        yield z, value[z], [c[z] for c in ctx]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -296,30 +357,33 @@ def _learn(tables):
     and what bits followed each mixed probability."""
 
     def run(batches):
-        table = _open(tables)
+        table = _open(tables, True)
         w = np.full((GATES, PREDICTORS), 1.5 / PREDICTORS)
         curve = np.tile(np.eye(PREDICTORS), (GATES, 1, 1))  # what the words so far say of the weights
         seen = np.zeros((GATES, PREDICTORS))
         after = np.zeros((256 * LEVELS, 2))
-        for _, cls, count, _, text, size in _blocks(batches):
+        for _, cls, count, _, text, size in _blocks(_gathered(batches)):
             on = count > 0
             if not on.any():
                 continue
             value, item, _, ctx = _bytes_of(text[np.repeat(on, size)], size[on], cls[on])
-            c = count[on][item].astype(float)
-            for step, node, y in _bits(value):
-                x, order, parts = _inputs(table, ctx, step, node, y)
-                z, cs, ys = np.empty(len(x)), c[order], y[order]
-                for gate, a, b in parts:
-                    xs = x[a:b].astype(np.float64)
-                    z[a:b] = xs @ w[gate]
-                    p = _squash(z[a:b])
-                    push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
-                    curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
-                    w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
-                    seen[gate] += cs[a:b].sum()
-                at = node[order] * LEVELS + _level(z)
-                after += np.bincount(2 * at + ys, cs, after.size).reshape(after.shape)
+            every, number, contexts = _once(value, ctx)
+            weight = np.bincount(number, count[on][item])
+            for part, value, ctx in _steps(every, contexts, LEARN_STEP):
+                c = weight[part]
+                for step, node, y in _bits(value):
+                    x, order, parts = _inputs(table, ctx, step, node, y)
+                    z, cs, ys = np.empty(len(x)), c[order], y[order]
+                    for gate, a, b in parts:
+                        xs = x[a:b].astype(np.float64)
+                        z[a:b] = xs @ w[gate]
+                        p = _squash(z[a:b])
+                        push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
+                        curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
+                        w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
+                        seen[gate] += cs[a:b].sum()
+                    at = node[order] * LEVELS + _level(z)
+                    after += np.bincount(2 * at + ys, cs, after.size).reshape(after.shape)
         out = np.concatenate([(w * seen).ravel(), seen.ravel(), after.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "v"])
 
@@ -331,22 +395,24 @@ def _predict(tables, w: np.ndarray, after: np.ndarray, total: int, distinct: int
     follow = after.sum(axis=1)
 
     def run(batches):
-        table = _open(tables)
-        for b in batches:
+        table = _open(tables, False)
+        for b in _gathered(batches):
             cost = np.zeros((b.num_rows, CLASSES))
             for row, cls, _, _, text, size in _blocks([b]):
                 value, item, _, ctx = _bytes_of(text, size, cls)
-                bits = np.zeros(len(value))
-                for step, node, y in _bits(value):
-                    x, order, parts = _inputs(table, ctx, step, node)
-                    z = np.empty(len(x))
-                    for gate, f, t in parts:
-                        z[order[f:t]] = x[f:t] @ w[gate]
-                    p = _squash(z)
-                    at = node * LEVELS + _level(z)
-                    p = (p + (after[at, 1] + MAP_PRIOR * p) / (follow[at] + MAP_PRIOR)) / 2
-                    bits += np.log10(np.where(y == 1, p, 1 - p))
-                cost[row, cls] = np.bincount(item, bits, len(size))
+                every, number, contexts = _once(value, ctx)
+                bits = np.zeros(len(every))
+                for part, value, ctx in _steps(every, contexts, STEP):
+                    for step, node, y in _bits(value):
+                        x, order, parts = _inputs(table, ctx, step, node)
+                        z = np.empty(len(x))
+                        for gate, f, t in parts:
+                            z[order[f:t]] = x[f:t] @ w[gate]
+                        p = _squash(z)
+                        at = node * LEVELS + _level(z)
+                        p = (p + (after[at, 1] + MAP_PRIOR * p) / (follow[at] + MAP_PRIOR)) / 2
+                        bits[part] += np.log10(np.where(y == 1, p, 1 - p))
+                cost[row, cls] = np.bincount(item, bits[number], len(size))
             c = sum(b.column(f"c{k}").to_numpy() for k in range(CLASSES))
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(c), pa.array([x.tobytes() for x in cost.astype(np.float32)], pa.binary())], names=["h", "c", "cost"])
 
@@ -408,7 +474,7 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
             least = 2 ** ((r.level + 1) / 8)
             break
     slices = dealt(vocabulary.mapInArrow(_count(least), "slice int, n int, part binary"), "slice").mapInArrow(_sum, "slice int, n int, part binary")
-    parts_ = {r.slice: _unzip((2 * r.n, r.part), np.float16 if r.slice < SLICES else np.uint16) for r in slices.toLocalIterator()}  # of a fixed size
+    parts_ = {r.slice: _unzip((2 * r.n, r.part), np.float16 if r.slice < SLICES else np.uint16) for r in slices.collect()}  # of a fixed size
     counter = np.concatenate([parts_[s] for s in range(SLICES)]) if parts_ else np.zeros(2 * FIRST[-1], np.float16)
     owner = np.concatenate([parts_[s] for s in range(SLICES, 2 * SLICES)]) if parts_ else np.zeros(OWNED, np.uint16)
     tables = spark.sparkContext.broadcast((_zip(counter), _zip(owner)))  # packed: it lies on the disk of every executor
