@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _power_tables, chunks, dealt, groups, mix, prepare, settle, signed, words
 from .quality import held_out as held
 
-UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 1_500_000
+UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 500_000
 #: Distinct bytes at a time: while the weights are learned (one update for each piece), and after.
 LEARN_STEP, STEP = 6_000, 100_000
 #: Bits of the slot numbers of each predictor; those that see the whole word so far also keep
