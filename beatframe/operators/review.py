@@ -16,8 +16,6 @@ from .peaks import find_peaks, prominence_width
 from .stats import fs_from_times
 
 
-
-
 def lit(v: float | None) -> Column:
     return F.lit(v).cast("double")
 
