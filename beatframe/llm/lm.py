@@ -51,7 +51,7 @@ START = 2
 
 # ---- units -------------------------------------------------------------------
 def _zip(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(x.tobytes(), asbytes=True)
 
 
 def _unzip(col, dtype) -> np.ndarray:
