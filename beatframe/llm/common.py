@@ -21,6 +21,8 @@ from ..operators.layout import ship_package
 
 #: Bytes of text that are held as NumPy columns at a time (one longer text is a chunk of its own).
 CHUNK_BYTES = 2 << 20
+#: Bytes whose words are hashed at a time (one longer word is a piece of its own).
+PIECE_BYTES = 1 << 18
 
 
 # ---- session and scratch -----------------------------------------------------
@@ -135,11 +137,23 @@ def words(texts: pa.Array, lower: bool) -> Words:
     last[:-1] &= ~solid[1:]
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(h, start, end, np.searchsorted(start, off), buf)
+    return Words(_hashes(buf, start, end), start, end, np.searchsorted(start, off), buf)
+
+
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every word, piece by piece: a long text needs no long columns of 64-bit sums."""
+    h = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE_BYTES, "right")))
+        a, b = int(start[at]), int(end[to - 1])
+        x, y = start[at:to] - a, end[at:to] - a
+        p, q = _power_tables(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=total[1:])
+        h[at:to] = mix((total[y] - total[x]) * q[x] + (y - x).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return h
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
