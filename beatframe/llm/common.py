@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.layout import ship_package
 
 #: Bytes of text that are held as NumPy columns at a time (one longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes whose words are hashed at a time (one longer word is a piece of its own).
 PIECE_BYTES = 1 << 18
 
@@ -33,7 +33,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
         # shuffle files of a finished write go at once, not when the driver collects garbage
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     }.items():
@@ -179,6 +179,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             to = max(at + 1, int(np.searchsorted(size, done + CHUNK_BYTES, "right")))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker stays, and others start beside it
 
 
 def signed(x: np.ndarray) -> np.ndarray:
