@@ -142,9 +142,14 @@ def trend_window(n: int, fs: float, window_s: float) -> int:
     return int(win)
 
 
+def odd_window(fs: float, ms: float, least: int = 3) -> int:
+    """Samples of a window of ``ms``: odd, at least ``least``."""
+    k = max(least, round(ms / 1000.0 * fs))
+    return k + (k % 2 == 0)
+
+
 def moving_average(x: np.ndarray, fs: float, ms: float) -> np.ndarray:
-    k = max(3, round(ms / 1000.0 * fs))
-    k += k % 2 == 0
+    k = odd_window(fs, ms)
     if x.size < k:
         return x.copy()
     return np.convolve(x, np.ones(k) / k, mode="same")

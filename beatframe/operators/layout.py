@@ -31,6 +31,7 @@ from ..params import MAD_SCALE
 CHUNK = 1 << 20
 KEYS = ["recording_id", "segment_no"]
 PKEYS = KEYS + ["polarity"]
+PLACEMENT = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -38,8 +39,9 @@ def tune(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # joins on (segment, more) keep a partitioning by segment instead of re-shuffling
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # joins on (segment, more) keep a partitioning by segment instead of re-shuffling,
+    # until a layout finds a long segment
+    spark.conf.set(PLACEMENT, "false")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -101,7 +103,13 @@ class Layout:
         weight = F.lit(1) if weight is None else weight
         fs = F.max("fs") if "fs" in df.columns else F.lit(250.0)
         row = df.groupBy(*keys).agg(F.sum(weight).alias("n"), fs.alias("fs")).agg(F.max("n"), F.max("fs")).first()
-        return Layout(size, (row[0] or 0) > size, float(row[1] or 250.0))
+        return Layout(size, (row[0] or 0) > size, float(row[1] or 250.0)).placed(df.sparkSession)
+
+    def placed(self, spark: SparkSession) -> "Layout":
+        """Long segments: joins on (segment, position) are placed by both, not by segment alone."""
+        if self.long:
+            spark.conf.set(PLACEMENT, "true")
+        return self
 
     def chunk(self, pos: str | Column) -> Column:
         pos = F.col(pos) if isinstance(pos, str) else pos
@@ -152,7 +160,9 @@ class Layout:
 
     def _scan_long(self, df, keys, order, cols):
         group = list(keys) + ["_chunk"]
-        df = settle(df.withColumn("_chunk", self.chunk(order[0])))
+        # times become sample positions, so that a chunk of them is as large as any other
+        timed = isinstance(df.schema[order[0]].dataType, (T.DoubleType, T.FloatType))
+        df = settle(df.withColumn("_chunk", self.chunk(F.col(order[0]) * self.max_fs if timed else order[0])))
         w = W.partitionBy(*group).orderBy(*order)
         past = w.rowsBetween(W.unboundedPreceding, 0)
         future = W.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
@@ -226,15 +236,7 @@ class Layout:
         m = marks.select(*keys, pos, F.lit(0).alias("_k"), F.struct(*fields).alias("_m"))
         p = points.select(*keys, pos, F.lit(1).alias("_k"), ptype.alias("_p"))
         u = p.unionByName(m, allowMissingColumns=True)
-        order = [pos, "_k"]
-        if not self.long:
-            u = self.scan(u, keys, order, prev=Scan("ffill", F.col("_m")), next=Scan("bfill", F.col("_m")))
-        else:
-            # times become sample positions, so that a chunk of them is as large as any other
-            at = F.col(pos) * self.max_fs if isinstance(u.schema[pos].dataType, (T.DoubleType, T.FloatType)) else F.col(pos)
-            u = self.scan(u.withColumn("_at", F.floor(at).cast("long")), keys, ["_at", *order],
-                          prev=Scan("ffill", F.col("_m")), next=Scan("bfill", F.col("_m")))
-        u = u.where("_k = 1")
+        u = self.scan(u, keys, [pos, "_k"], prev=Scan("ffill", F.col("_m")), next=Scan("bfill", F.col("_m"))).where("_k = 1")
         return u.select(*keys, pos, *([F.col("_p")[c].alias(c) for c in rest]), "prev", "next")
 
     def index_rows(self, df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "idx") -> DataFrame:

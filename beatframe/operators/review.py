@@ -47,15 +47,20 @@ def window_candidates(samples: DataFrame, windows: DataFrame, keys: list[str], l
     """Secondary peaks inside each beat's own window.
 
     ``samples`` = ``keys, idx, t_s, x, fs``; ``windows`` = ``keys, beat, main_t,
-    start_s, end_s, lower, upper``.  Bucketed range join, then peaks per beat.
+    start_s, end_s, lower, upper``.  Bucketed range join, then peaks per beat.  Buckets
+    double in width by level; a window is put on the level of its own width, where it
+    meets at most two or three, and samples are keyed once for each level of their segment.
     """
     w = windows.select(
         *keys, "beat", "main_t", F.least("start_s", "end_s").alias("a"), F.greatest("start_s", "end_s").alias("b"),
         F.least("lower", "upper").alias("lo"), F.greatest("lower", "upper").alias("hi"),
     )
-    w = w.withColumn("_k", F.explode(F.sequence(F.floor(F.col("a") / bucket_s), F.floor(F.col("b") / bucket_s))))
-    s = samples.select(*keys, "idx", "t_s", "x", "fs").withColumn("_k", F.floor(F.col("t_s") / bucket_s))
-    j = s.join(w, keys + ["_k"]).where("t_s >= a and t_s <= b and t_s > main_t")
+    w = w.withColumn("_lv", F.ceil(F.log2(F.greatest((F.col("b") - F.col("a")) / bucket_s, F.lit(1.0)))))
+    step = bucket_s * F.pow(F.lit(2.0), F.col("_lv"))
+    s = samples.select(*keys, "idx", "t_s", "x", "fs").join(w.select(*keys, "_lv").distinct(), keys)
+    s = s.withColumn("_k", F.floor(F.col("t_s") / step))
+    w = w.withColumn("_k", F.explode(F.sequence(F.floor(F.col("a") / step), F.floor(F.col("b") / step))))
+    j = s.join(w, keys + ["_lv", "_k"]).where("t_s >= a and t_s <= b and t_s > main_t")
     kb = keys + ["beat"]
     j = lay.with_aggs(j, kb, _n=F.count(F.lit(1))).where("_n >= 3")
     w0, w1, dist = _limits(F.col("fs"), p)
@@ -264,8 +269,16 @@ def point_rows(decisions: DataFrame, keys: list[str], column: Column, source: st
     return d.withColumn("source", F.lit(source))
 
 
-def merge_beat_decisions(segments: DataFrame, decisions: DataFrame, samples: DataFrame, keys: list[str], lay: Layout):
-    """Per-beat decisions -> ``(afc_events, review_log)``.
+def with_secondary(events: DataFrame, afc: DataFrame, keys: list[str]) -> DataFrame:
+    """The event table with secondary events added; they carry source, review id and beat."""
+    return events.unionByName(afc.select(
+        *keys, "time_s", F.lit("AFC").alias("type"), F.col("amplitude").alias("amp"), F.col("prominence").alias("prom"), "width_s", "source",
+        "review_id", "main_peak_index",
+    ), allowMissingColumns=True)
+
+
+def merge_beat_decisions(segments: DataFrame, decisions: DataFrame, events: DataFrame, samples: DataFrame, keys: list[str], lay: Layout):
+    """Per-beat decisions -> ``(afc_events, events_with_afc, review_log)``.
 
     Matches segments by number, then by name.  Accepted and manually added times
     become events unless the decision is skipped.
@@ -294,7 +307,7 @@ def merge_beat_decisions(segments: DataFrame, decisions: DataFrame, samples: Dat
         *keys, "segment_name", F.col("beat").alias("main_peak_index"), F.col("t_s").alias("time_s"), F.col("near_amp").alias("amplitude"),
         "source", "prominence", "width_s", "review_id",
     )
-    return e, log
+    return e, with_secondary(events, e, keys), log
 
 
 def curated_times(decisions: DataFrame, keys: list[str]) -> DataFrame:
@@ -334,11 +347,7 @@ def merge_segment_decisions(segments: DataFrame, decisions: DataFrame, events: D
         *keys, "segment_name", "main_peak_index", F.col("t_s").alias("time_s"), F.col("near_amp").alias("amplitude"), "source",
         "prominence", "width_s", F.col(keys[-1]).cast("string").alias("review_id"),
     )
-    as_events = afc.select(
-        *keys, "time_s", F.lit("AFC").alias("type"), F.col("amplitude").alias("amp"), F.col("prominence").alias("prom"), "width_s", "source",
-        "review_id", "main_peak_index",
-    )
-    return afc, events.unionByName(as_events, allowMissingColumns=True), log
+    return afc, with_secondary(events, afc, keys), log
 
 
 def resume_items(current: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:

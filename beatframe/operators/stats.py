@@ -66,17 +66,21 @@ def spike_fraction(samples: DataFrame, keys: list[str], lay: Layout, z: float =
     return d.groupBy(*keys).agg(F.coalesce(share, F.lit(0.0)).alias("spike_fraction"))
 
 
-def moving_average(samples: DataFrame, keys: list[str], lay: Layout, fs: float, ms: float = 15.0) -> DataFrame:
-    """Centred mean of an odd window; edges are zero padded, so the divisor is
-    always the window length.  Signals shorter than the window are unchanged."""
-    k = max(3, round(ms / 1000.0 * fs))
-    k += k % 2 == 0
-    h = k // 2
-    d = lay.with_aggs(samples, keys, _n=F.count(F.lit(1)))
-    rows, w, _ = lay.frame(d, keys, h)
-    mean = F.sum("x").over(w.rowsBetween(-h, h)) / F.lit(float(k))
-    rows = rows.withColumn("smooth", F.when(F.col("_n") < k, F.col("x")).otherwise(mean))
-    return lay.core(rows).drop("_n")
+def moving_average(samples: DataFrame, keys: list[str], lay: Layout, ms: float = 15.0, least: int = 3) -> DataFrame:
+    """Centred mean of an odd window of at least ``least`` samples; edges are zero padded,
+    so the divisor is always the window length.  Signals shorter than the window are
+    unchanged.  The window follows each segment's own ``fs``, which a window frame of a
+    fixed number of rows cannot.  Returns ``keys, idx, x, fs, smooth``."""
+    d = lay.with_aggs(samples.select(*keys, "idx", "x", "fs"), keys, _n=F.count(F.lit(1)))
+    rows, _, group = lay.frame(d, keys, K.odd_window(lay.max_fs, ms, least) // 2)
+
+    def run(c):
+        core = c["_core"].astype(bool)
+        k, n = K.odd_window(float(c["fs"][0]), ms, least), int(c["_n"][0])
+        smooth = c["x"] if n < k else np.convolve(c["x"], np.ones(k))[k // 2:k // 2 + c["x"].size] / k
+        return {"idx": c["idx"][core], "x": c["x"][core], "fs": c["fs"][core], "smooth": smooth[core]}
+
+    return arrow_groups(rows, group, keys, [("idx", "int"), ("x", "double"), ("fs", "double"), ("smooth", "double")], run)
 
 
 def rolling_trend(
@@ -271,9 +275,7 @@ def choose_polarity(samples: DataFrame, keys: list[str], lay: Layout, p: Detecto
     s = rolling_trend(s, keys, lay, ws, 0.20)
     s = lay.with_quantiles(s, keys, F.col("trend"), {"_tm": 0.5})
     s = s.withColumn("x", F.col("x") - F.coalesce(F.col("trend") - F.col("_tm"), F.lit(0.0)))
-    k = max(5, round(p.orient_smooth_ms / 1000.0 * lay.max_fs))
-    k += k % 2 == 0
-    s = moving_average(s.select(*keys, "idx", "x", "fs"), keys, lay, 1000.0, float(k))
+    s = moving_average(s, keys, lay, p.orient_smooth_ms, 5)
     s = s.withColumn("x", F.col("smooth")).drop("smooth")
     both = s.withColumn("sgn", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("x", F.col("x") * F.col("sgn"))
     sc = polarity_score(both, keys + ["sgn"], lay, p)

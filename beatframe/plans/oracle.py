@@ -136,6 +136,8 @@ AL = TR + """, al AS (SELECT segment_no, row_no, tid, y, CAST(round_even((begin_
 sql("t5_align_by_begin", f"WITH {AL} SELECT segment_no, row_no, start, (start + n)::INTEGER AS \"end\" FROM al")
 sql("t6_align_by_overlap", f"""WITH {TR}, a AS (SELECT segment_no, row_no, len(y) AS n, coalesce(sum(greatest(1, len(y) - 14)) OVER (PARTITION BY segment_no ORDER BY tid, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM tr)
 SELECT segment_no, row_no, st::INTEGER AS start, (st + n)::INTEGER AS "end" FROM a""")
+sql("t6_sheet_overlap", f"""WITH {TR}, a AS (SELECT segment_no, row_no, len(y) AS n, coalesce(sum(greatest(1, len(y) - CASE WHEN segment_no % 3 = 0 THEN 5 ELSE 14 END)) OVER (PARTITION BY segment_no ORDER BY tid, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM tr)
+SELECT segment_no, row_no, st::INTEGER AS start, (st + n)::INTEGER AS "end" FROM a""")
 sql("t7_partition_bounds", f"""WITH {AL}, b AS (SELECT segment_no, tid, row_no, start, start + n AS en, lag(start + n) OVER w AS pe, lead(start) OVER w AS ns, row_number() OVER w AS tr_no FROM al WINDOW w AS (PARTITION BY segment_no ORDER BY start, tid, row_no)),
 c AS (SELECT *, greatest(coalesce(round_even((pe + start) / 2.0::DOUBLE, 0), start), start) AS l, least(coalesce(round_even((en + ns) / 2.0::DOUBLE, 0), en), en) AS r FROM b)
 SELECT segment_no, tid, tr_no::INTEGER AS tr_no, CASE WHEN r <= l THEN start ELSE l END::INTEGER AS s, CASE WHEN r <= l THEN en ELSE r END::INTEGER AS e, CASE WHEN pe IS NULL THEN 0 ELSE greatest(0, pe - start) END::INTEGER AS overlap FROM c""")
@@ -474,6 +476,10 @@ sql("r15_align_amplitudes", f"WITH {EV} SELECT segment_no, round(t_s, 6) AS t_s,
 sql("r16_merge_beat_decisions", f"""WITH {EV}, k AS (SELECT segment_no, idx, t_s, x, CASE event_type WHEN 'error' THEN 'auto_accepted' ELSE 'manual_added' END AS source FROM ev WHERE event_type IN ('error', 'view') AND segment_no % 5 <> 0),
 nl AS (SELECT segment_no, max(idx) AS last FROM ev GROUP BY 1), np_ AS (SELECT k.segment_no, k.idx, k.x AS amp FROM k JOIN nl USING (segment_no) WHERE k.idx > 0 AND k.idx < last), {shaped('np_', 'ev', 'segment_no', 'sh')}
 SELECT k.segment_no, 'PixelCorrelation Segment ' || k.segment_no AS segment_name, (k.segment_no % 4)::INTEGER AS main_peak_index, round(t_s, 6) AS time_s, k.x AS amplitude, source, CASE WHEN k.segment_no % 9 = 0 THEN -k.segment_no ELSE k.segment_no END || ':' || (k.segment_no % 4) AS review_id, round(prom, 6) AS prominence FROM k LEFT JOIN sh USING (segment_no, idx)""")
+sql("r16_merged_events", f"""WITH {EV}, k AS (SELECT segment_no, idx, t_s, x, CASE event_type WHEN 'error' THEN 'auto_accepted' ELSE 'manual_added' END AS source FROM ev WHERE event_type IN ('error', 'view') AND segment_no % 5 <> 0),
+nl AS (SELECT segment_no, max(idx) AS last FROM ev GROUP BY 1), np_ AS (SELECT k.segment_no, k.idx, k.x AS amp FROM k JOIN nl USING (segment_no) WHERE k.idx > 0 AND k.idx < last), {shaped('np_', 'ev', 'segment_no', 'sh')}
+SELECT segment_no, round(t_s, 6) AS time_s, CASE event_type WHEN 'purchase' THEN 'Main Beat' ELSE 'Rescue' END AS type, x AS amp, round(x / 2, 6) AS prom, (idx % 7)::INTEGER AS transient, NULL::VARCHAR AS source, NULL::VARCHAR AS review_id, NULL::INTEGER AS main_peak_index FROM ev WHERE event_type IN ('purchase', 'signup')
+UNION ALL SELECT k.segment_no, round(t_s, 6), 'AFC', k.x, round(prom, 6), NULL, source, CASE WHEN k.segment_no % 9 = 0 THEN -k.segment_no ELSE k.segment_no END || ':' || (k.segment_no % 4), (k.segment_no % 4)::INTEGER FROM k LEFT JOIN sh USING (segment_no, idx)""")
 sql("r17_merge_segment_decisions", f"""WITH {EV}, k AS (SELECT segment_no, idx, t_s, x FROM ev WHERE event_type = 'error' AND segment_no % 5 <> 0), m AS (SELECT segment_no, t_s, row_number() OVER (PARTITION BY segment_no ORDER BY t_s) - 1 AS o FROM ev WHERE event_type = 'purchase'),
 a AS (SELECT k.*, coalesce(m.o, -1) AS o FROM k ASOF LEFT JOIN m ON k.segment_no = m.segment_no AND k.t_s >= m.t_s), nl AS (SELECT segment_no, max(idx) AS last FROM ev GROUP BY 1), np_ AS (SELECT k.segment_no, k.idx, k.x AS amp FROM k JOIN nl USING (segment_no) WHERE k.idx > 0 AND k.idx < last), {shaped('np_', 'ev', 'segment_no', 'sh')}
 SELECT a.segment_no, 'PixelCorrelation Segment ' || a.segment_no AS segment_name, o::INTEGER AS main_peak_index, round(t_s, 6) AS time_s, a.x AS amplitude, 'manual_curated' AS source, a.segment_no::VARCHAR AS review_id, round(prom, 6) AS prominence FROM a LEFT JOIN sh USING (segment_no, idx)""")

@@ -294,6 +294,14 @@ def t6_align_by_overlap(spark, sf):
     return T.align(t, SEG, lay, overlap=14).select("segment_no", "row_no", "start", "end")
 
 
+@query
+def t6_sheet_overlap(spark, sf):
+    """Segments of two kinds of sheets: the overlap comes with the traces."""
+    t, lay = traces(spark, sf, False)
+    t = t.withColumn("overlap", F.when(F.col("segment_no") % 3 == 0, 5).otherwise(14))
+    return T.align(t, SEG, lay).select("segment_no", "row_no", "start", "end")
+
+
 @query
 def t7_partition_bounds(spark, sf):
     t, lay = traces(spark, sf)
@@ -394,7 +402,7 @@ def a3_spike_fraction(spark, sf):
 @query
 def a4_moving_average(spark, sf):
     s, lay = lineitem_signal(spark, sf)
-    return A.moving_average(s, SEG, lay, 250.0, 28.0).select("segment_no", "idx", F.round("smooth", 9).alias("smooth"))
+    return A.moving_average(s, SEG, lay, 28.0).select("segment_no", "idx", F.round("smooth", 9).alias("smooth"))
 
 
 @query
@@ -1001,11 +1009,21 @@ def _beat_decisions(spark, sf):
 def r16_merge_beat_decisions(spark, sf):
     d, s, lay = _beat_decisions(spark, sf)
     seg = user_segments(spark, sf).select("segment_no", F.col("segment").alias("segment_name"))
-    e, log = R.merge_beat_decisions(seg, d, s, SEG, lay)
+    e, _, log = R.merge_beat_decisions(seg, d, user_events(spark, sf)[0], s, SEG, lay)
     return e.select("segment_no", "segment_name", "main_peak_index", F.round("time_s", 6).alias("time_s"), "amplitude", "source", "review_id",
                     F.round("prominence", 6).alias("prominence"))
 
 
+@query
+def r16_merged_events(spark, sf):
+    """The event table after the merge: mains and rescues with the secondary events added."""
+    d, s, lay = _beat_decisions(spark, sf)
+    seg = user_segments(spark, sf).select("segment_no", F.col("segment").alias("segment_name"))
+    _, merged, _ = R.merge_beat_decisions(seg, d, user_events(spark, sf)[0].drop("idx"), s, SEG, lay)
+    return merged.select("segment_no", F.round("time_s", 6).alias("time_s"), "type", "amp", F.round("prom", 6).alias("prom"), "transient",
+                         "source", "review_id", "main_peak_index")
+
+
 @query
 def r17_merge_segment_decisions(spark, sf):
     d, s, lay = user_decisions(spark, sf)

@@ -52,6 +52,35 @@ def test_times_are_split_into_chunks(spark):
     assert run(Layout(size=16, long=True, max_fs=4.0)) == run(Layout(max_fs=4.0))
 
 
+def test_windows_follow_each_segments_own_rate(spark):
+    from beatframe.operators.layout import Layout
+    from beatframe.operators.stats import choose_polarity, moving_average
+
+    wave = [(k, i, math.sin(i * f) ** 9 + 0.01 * (i * 7 % 11), fs) for k, f, fs in ((1, 0.05, 100.0), (2, 0.02, 400.0)) for i in range(900)]
+    s = spark.createDataFrame(wave, "segment_no int, idx int, x double, fs double")
+    K = ["segment_no"]
+    run = lambda d, lay: {(r.segment_no, r.idx): round(r.smooth, 12) for r in moving_average(d, K, lay, 50.0).collect()}
+    both = run(s, Layout(max_fs=400.0))
+    assert both == run(s.where("segment_no = 1"), Layout(max_fs=100.0)) | run(s.where("segment_no = 2"), Layout(max_fs=400.0))
+    assert both == run(s, Layout(size=100, long=True, max_fs=400.0))
+    x = [w[2] for w in wave[:900]]
+    assert abs(both[1, 100] - sum(x[98:103]) / 5) < 1e-9 and abs(both[1, 0] - sum(x[:3]) / 5) < 1e-9
+    pick = lambda d, fs: [tuple(r) for r in choose_polarity(d, K, Layout(max_fs=fs)).orderBy("segment_no").collect()]
+    assert pick(s, 400.0) == pick(s.where("segment_no = 1"), 100.0) + pick(s.where("segment_no = 2"), 400.0)
+
+
+def test_review_windows_of_any_width(spark):
+    from beatframe.operators.layout import Layout
+    from beatframe.operators.review import window_candidates
+
+    s = spark.createDataFrame([(1, i, i / 20, math.sin(i * 0.9), 20.0) for i in range(1200)], "segment_no int, idx int, t_s double, x double, fs double")
+    w = [(1, b, a - 0.01, a, a + n, -2.0, 2.0) for b, (a, n) in enumerate(((0.5, 0.9), (3.0, 5.0), (2.5, 50.0), (1.0, 58.0), (59.0, 1.0)))]
+    w = spark.createDataFrame(w, "segment_no int, beat int, main_t double, start_s double, end_s double, lower double, upper double")
+    run = lambda step: sorted((r.beat, r.idx, r.amp) for r in window_candidates(s, w, ["segment_no"], Layout(max_fs=20.0), bucket_s=step).collect())
+    got = run(1.0)
+    assert got == run(1000.0) and {b for b, *_ in got} == {0, 1, 2, 3, 4}
+
+
 def test_corpus_operators_are_optional():
     import subprocess
     import sys

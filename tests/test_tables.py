@@ -19,6 +19,10 @@ def test_sheet_scan(spark):
     got = IO.scan_traces(d).orderBy("row_no").collect()
     assert [(g.segment_no, g.tid, g.fs, g.t0, g.y) for g in got] == [(3, 7, 125.0, 0.5, [1.0, 2.0]), (3, 1, 125.0, 0.5, [3.0, None])]
     assert IO.sheet_overlap(["y -14", "y 0", "y 30"]) == 14
+    # sheets of different shapes in one table: each has the overlap of the columns that it fills
+    two = d.unionByName(d.withColumns({"recording_id": F.lit("q"), "y -1": F.lit(None).cast("double"), "y -3": F.col("y 0")}), allowMissingColumns=True)
+    assert {(g.recording_id, g.overlap) for g in IO.scan_traces(two).collect()} == {("r", 1), ("q", 3)}
+    assert {g.overlap for g in IO.scan_traces(d.drop("y -1")).collect()} == {0}
     with pytest.raises(ValueError):
         IO.scan_traces(d.drop("y -1", "y 0"))
 
