@@ -13,11 +13,13 @@ word is predicted once for each class and texts add up looked-up costs.
 
 How the work is laid out: a task packs its texts into units of at most ``UNIT`` words (texts as
 numbers of the unit's distinct words).  Distinct words of all units meet in one vocabulary
-with their counts; counters, weights and the map are learned from it, predictions are made in
-it, and counts and costs go back to the units by word.  Hashed counters have a fixed size
-(``BITS``) and are the only thing broadcast; counters of whole words take the commonest words,
-as many as fit, while those of the last bytes learn from all.  Words are told apart by 64-bit
-hashes.
+with their counts, cut into blocks; counters, weights and the map are learned from it,
+predictions are made in it, and counts and costs go back to the units by word.  Counters are
+a table keyed by context and byte (the counts of a byte's bits follow from those of all bytes
+after a context): each block asks once for every context and byte that it has and says how
+often it saw it, buckets of contexts add up what all blocks saw and answer.  The table has all
+contexts of all words and grows with the vocabulary; nothing of it is broadcast or collected.
+Words are told apart by 64-bit hashes, contexts by 56-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,15 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _power_tables, chunks, dealt, groups, mix, prepare, settle, signed, words
 from .quality import held_out as held
 
+#: Bytes of items (a word in a class) in a block.
 UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 500_000
 #: Distinct bytes at a time: while the weights are learned (one update for each piece), and after.
 LEARN_STEP, STEP = 6_000, 100_000
-#: Bits of the slot numbers of each predictor; those that see the whole word so far also keep
-#: a check of what a slot belongs to.
-BITS = (20, 20, 20, 20, 21, 21)
-PREDICTORS, CHECKED, SLICES = len(BITS), 4, 64
-FIRST = np.cumsum([0, *(1 << b for b in BITS)])
-OWNED = int(FIRST[-1] - FIRST[CHECKED])
+#: Predictors; buckets of contexts at least, and the bytes asked for that a bucket has about.
+PREDICTORS, BUCKETS, BUCKET_ROWS = 6, 64, 4_000_000
 END = np.uint64(0x9D8F_37A1_55C3_0E21)  # stands for the end of a text among the words' hashes
 PRIOR, MAP_PRIOR, FORGET, LEVELS = 0.3, 16.0, 0.95, 33
 
@@ -183,104 +182,137 @@ def _once(value: np.ndarray, ctx: list):
     return value[first], number, [c[first] for c in ctx]
 
 
-def _slots(ctx: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot in the joint table, and what is left of the hash (``node``: from ``_spun``)."""
-    x = (ctx + node) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - BITS[k])).view(np.int64) + FIRST[k], x
-
-
-def _spun(node: np.ndarray) -> np.ndarray:
-    return node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _check(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint16) | np.uint16(1)
-
-
 def _bits(value: np.ndarray):
     v = value.astype(np.int64)
     for bit in range(7, -1, -1):
         yield 7 - bit, (v | 256) >> (bit + 1), (v >> bit) & 1
 
 
-def _gathered(batches):
-    """Rows of a vocabulary in batches of about a block: the more words, the more that begin alike."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column("word").nbytes
-        if size >= BLOCK_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+BLOCKS = "block long, hashes binary, n_words int, counts binary, bytes binary, n_bytes int"
+ASKED = "bucket int, block long, n int, pairs binary, seen binary"
+ANSWERED = "block long, bucket int, n int, answer binary"
 
 
 def _blocks(batches):
-    """Items (a word in a class) in blocks: word, class, training count, count in all classes, bytes, sizes."""
+    """Rows of a vocabulary in blocks (one longer word is a block of its own): the more words, the more that begin alike."""
+    from pyspark import TaskContext
+
+    task, k, parts, size = TaskContext.get().partitionId(), 0, [], 0
     for b in batches:
         if not b.num_rows:
             continue
         word = b.column("word")
         off = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1].astype(np.int64)
         data = np.frombuffer(word.buffers()[2], np.uint8) if word.buffers()[2] is not None else np.zeros(0, np.uint8)
-        size = np.diff(off)
-        mask = b.column("mask").to_numpy()
-        counts = np.column_stack([b.column(f"c{k}").to_numpy() for k in range(CLASSES)])
-        row, cls = np.nonzero((mask[:, None] >> np.arange(CLASSES)) & 1)
-        done = np.cumsum(size[row] + 1)
+        mask = b.column("mask").to_numpy().astype(np.uint8)
+        counts = np.column_stack([b.column(f"c{c}").to_numpy() for c in range(CLASSES)])
+        h = b.column("h").to_numpy()
+        done = np.cumsum((np.diff(off) + 1) * ((mask[:, None] >> np.arange(CLASSES)) & 1).sum(axis=1))
         at = 0
-        while at < len(row):
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + BLOCK_BYTES, "right")))
-            r, c = row[at:to], cls[at:to]
-            yield r, c, counts[r, c], counts[r].sum(axis=1), data[_spread(off[r], size[r])], size[r]
-            at = to
+        while at < len(h):
+            before = int(done[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(done, before + BLOCK_BYTES - size, "right")))
+            parts.append((h[at:to], counts[at:to], np.diff(off[at : to + 1]).astype(np.int32), mask[at:to], data[off[at] : off[to]]))
+            size, at = size + int(done[to - 1]) - before, to
+            if size >= BLOCK_BYTES or at < len(h):
+                yield _block((task << 24) + k, parts)
+                k, parts, size = k + 1, [], 0
+    if parts:
+        yield _block((task << 24) + k, parts)
+
+
+def _block(name: int, parts: list) -> pa.RecordBatch:
+    h, counts, size, mask, text = (np.concatenate(x) for x in zip(*parts))
+    body = np.concatenate([np.frombuffer(size.tobytes(), np.uint8), mask, text])
+    row = [name, h.tobytes(), len(h), _zip(counts), _zip(body), len(body)]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def _items(r: dict):
+    """Items of a block: word, class; training counts of words by class; bytes and sizes of items."""
+    n = r["n_words"]
+    counts = _unzip((n * CLASSES * 8, r["counts"]), np.int64).reshape(n, CLASSES)
+    body = _unzip((r["n_bytes"], r["bytes"]), np.uint8)
+    size, mask = body[: 4 * n].view(np.int32).astype(np.int64), body[4 * n : 5 * n]
+    row, cls = np.nonzero((mask[:, None] >> np.arange(CLASSES)) & 1)
+    return row, cls, counts, body[5 * n :][_spread((np.cumsum(size) - size)[row], size[row])], size[row]
+
 
+def _asked(every: np.ndarray, contexts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a context (upper 56 bits) and a byte, sorted; and of each predictor and byte its pair."""
+    pairs = [(mix(c + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(255)) | every for k, c in enumerate(contexts)]
+    pairs, where = np.unique(np.concatenate(pairs), return_inverse=True)
+    return pairs, where.reshape(PREDICTORS, -1)
 
-def _count(least: float):
-    """Slices of the counter table that a task has filled; words seen less than ``least`` times stay
-    out of the counters of whole words."""
+
+def _open(r: dict):
+    """Items of a block, the number of the distinct byte of each of their bytes, distinct bytes, how
+    often training saw them, the pairs that they ask for and where in these."""
+    row, cls, counts, text, size = _items(r)
+    value, item, _, ctx = _bytes_of(text, size, cls)
+    every, number, contexts = _once(value, ctx)
+    weight = np.bincount(number, counts[row, cls][item], len(every))
+    return row, cls, counts, item, number, every, weight, *_asked(every, contexts)
+
+
+def _ask(buckets: int):
+    """What blocks saw of each pair, by bucket of contexts (their first bits)."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches):
-        table, owner, some = np.zeros((FIRST[-1], 2), np.float32), np.zeros(OWNED, np.uint16), False
-        for _, cls, count, every, text, size in _blocks(_gathered(batches)):
-            on = count > 0
-            if not on.any():
-                continue
-            some = True
-            value, item, _, ctx = _bytes_of(text[np.repeat(on, size)], size[on], cls[on])
-            value, number, ctx = _once(value, ctx)
-            c = np.bincount(number, count[on][item]).astype(np.float32)
-            common = np.bincount(number, (count[on] * (every[on] >= least))[item]).astype(np.float32)
-            often = np.flatnonzero(common)
-            ctx, common = [*ctx[:CHECKED], *(x[often] for x in ctx[CHECKED:])], common[often]
-            for _, node, y in _bits(value):
-                node = _spun(node)
-                for k in range(PREDICTORS):
-                    if k >= CHECKED:
-                        at, x = _slots(ctx[k], node[often], k)
-                        np.maximum.at(owner, at - FIRST[CHECKED], _check(x))
-                        np.add.at(table.reshape(-1), 2 * at + y[often], common)
-                    else:
-                        np.add.at(table.reshape(-1), 2 * _slots(ctx[k], node, k)[0] + y, c)
-        if some:
-            for s, part in enumerate([*np.array_split(table.reshape(-1), SLICES), *np.array_split(owner, SLICES)]):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([_zip(part)], pa.binary())], names=["slice", "n", "part"])
+        for b in batches:
+            for r in b.to_pylist():
+                *_, weight, pairs, where = _open(r)
+                seen = np.bincount(where.ravel(), np.tile(weight, PREDICTORS), len(pairs)).astype(np.int64)
+                bucket = (pairs >> shift).astype(np.int32)
+                for z in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(bucket)) + 1):
+                    row = [int(bucket[z[0]]), r["block"], len(z), _zip(pairs[z]), _zip(seen[z])]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
 
     return run
 
 
-def _sum(batches):
-    for t in groups(batches, ["slice"]):
-        s, n = t.column("slice")[0].as_py(), t.column("n")[0].as_py()
-        total = np.zeros(n, np.float32 if s < SLICES else np.uint16)
-        for x in t.column("part"):
-            part = _unzip((total.nbytes, x.as_py()), total.dtype)
-            total = total + part if s < SLICES else np.maximum(total, part)
-        if s < SLICES:  # half precision, with the odds kept
-            pair = total.reshape(-1, 2)
-            total = (pair * np.minimum(1, 60_000 / np.maximum(pair.max(axis=1, keepdims=True), 1))).ravel().astype(np.float16)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([n], pa.int32()), pa.array([_zip(total)], pa.binary())], names=["slice", "n", "part"])
+def _counted(pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For sorted distinct pairs: how often the byte followed the context, and for each of its bits
+    how often the bits before it were followed by the other bit."""
+    out = np.empty((9, len(pairs)), np.float32)
+    before = None
+    for bits in range(9):
+        part = pairs >> np.uint64(8 - bits)
+        first = np.concatenate([[True], part[1:] != part[:-1]])
+        now = np.add.reduceat(seen, np.flatnonzero(first))[np.cumsum(first) - 1]
+        if bits:
+            out[bits] = before - now
+        before = now
+    out[0] = before
+    return out
+
+
+def _answer(batches):
+    for t in groups(batches, ["bucket"]):
+        n = t.column("n").to_numpy()
+        asked = np.concatenate([_unzip((8 * m, x.as_py()), np.uint64) for m, x in zip(n.tolist(), t.column("pairs"))])
+        seen = np.concatenate([_unzip((8 * m, x.as_py()), np.int64) for m, x in zip(n.tolist(), t.column("seen"))])
+        pairs, where = np.unique(asked, return_inverse=True)
+        counted = _counted(pairs, np.bincount(where, seen, len(pairs)).astype(np.int64))
+        at = 0
+        for m, block, bucket in zip(n.tolist(), t.column("block").to_pylist(), t.column("bucket").to_pylist()):
+            row = [block, bucket, m, _zip(counted[:, where[at : at + m]])]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t_) for x, t_ in zip(row, kinds)], names=[x.split()[0] for x in ANSWERED.split(", ")])
+            at += m
+
+
+def _told(batches):
+    """Blocks with the answers to what they asked, in the order of buckets."""
+    for t in groups(batches, ["block"]):
+        t = t.sort_by("bucket")
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        rest = t.slice(1)  # the block itself has bucket -1
+        more = [pa.array([rest.column("n").to_pylist()], pa.list_(pa.int32())), pa.array([rest.column("answer").to_pylist()], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*(t.column(c).slice(0, 1).combine_chunks() for c in names), *more], names=[*names, "n", "answer"])
 
 
 GATES = 8 * 6 * 4
@@ -290,58 +322,29 @@ def _seen(n: np.ndarray, levels: int) -> np.ndarray:
     return np.minimum(np.log2(n + 1), levels - 1).astype(np.uint8)
 
 
-def _open(tables, learning: bool):
-    """What each slot says, ready to look up: log odds, how much predictors 2 and 4 have seen (by
-    level), and owners.  While learning there is an entry for each bit, without one sighting of it."""
-    counter, owner = tables.value
-    counts = _unzip((4 * int(FIRST[-1]), counter), np.float16).reshape(-1, 2)
-    ways = 2 if learning else 1
-    odds, seen = np.empty((len(counts), ways), np.float32), {}
-    for k in range(PREDICTORS):
-        at = slice(FIRST[k], FIRST[k + 1])
-        n = counts[at].astype(np.float32)
-        levels = np.empty((len(n), ways), np.uint8)
-        for y in range(ways):
-            m = n.copy()
-            if learning:
-                m[:, y] = np.maximum(m[:, y] - 1, 0)
-            if k in (2, 4):
-                levels[:, y] = _seen(m.sum(axis=1) / (4 if k == 2 else 1), 4 if k == 2 else 6)
-            m += np.float32(PRIOR)
-            odds[at, y] = np.log(m[:, 1] / m[:, 0])
-        if k in (2, 4):
-            seen[k] = levels.ravel()
-    return odds.ravel(), seen, _unzip((2 * OWNED, owner), np.uint16)
-
-
-def _inputs(table: tuple, ctx, step: int, node, y=None):
-    """Log odds of every predictor (without one sighting of the bit itself if y is given), in the
-    order of their gates; that order; and (gate, from, to) of each."""
-    x, level = np.empty((len(node), PREDICTORS), np.float32), {}
-    odds, seen, owner = table
-    node = _spun(node)
-    for k in range(PREDICTORS):
-        at, rest = _slots(ctx[k], node, k)
-        i = at if y is None else 2 * at + y
-        found = odds[i]
-        if k in seen:
-            level[k] = seen[k][i - FIRST[k] * (1 if y is None else 2)]
-        if k >= CHECKED:
-            other = owner[at - FIRST[CHECKED]] != _check(rest)
-            found[other] = 0
-            if k in seen:
-                level[k][other] = 0
-        x[:, k] = found
-    gate = level[4] * np.uint8(4) + level[2]
+def _said(r: dict, every: np.ndarray, learning: bool):
+    """Of each bit of a block's distinct bytes, the last first: step, node, bit, and of every pair the
+    log odds of the bit and how much its context has seen (while learning without one sighting)."""
+    said = np.concatenate([_unzip((36 * n, x), np.float32).reshape(9, -1) for n, x in zip(r["n"], r["answer"])], axis=1)
+    same = said[0].astype(np.float64)
+    for step, node, y in reversed(list(_bits(every))):
+        own, other = np.maximum(same - 1, 0) if learning else same, said[step + 1]
+        yield step, node, y, np.log((own + PRIOR) / (other + PRIOR)).astype(np.float32), (own + other).astype(np.float32)
+        same = same + other
+
+
+def _inputs(odds: np.ndarray, seen: np.ndarray, where: np.ndarray, step: int, y: np.ndarray):
+    """Log odds of every predictor in the order of their gates; that order; and (gate, from, to) of each."""
+    x = np.where(y == 1, odds[where], -odds[where]).T
+    gate = _seen(seen[where[4]], 6) * np.uint8(4) + _seen(seen[where[2]] / 4, 4)
     order = np.argsort(gate, kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=24))]).tolist()
     return x[order], order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
 
 
-def _steps(value: np.ndarray, ctx: list, size: int):
-    for a in range(0, len(value), size):
-        z = slice(a, a + size)
-        yield z, value[z], [c[z] for c in ctx]
+def _pieces(total: int, size: int):
+    for a in range(0, total, size):
+        yield slice(a, a + size)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -352,69 +355,57 @@ def _level(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + LEVELS // 2, 0, LEVELS - 1).astype(np.int64)
 
 
-def _learn(tables):
+def _learn(batches):
     """Weights of every gate after the words of a task, in turn, with the evidence for each;
     and what bits followed each mixed probability."""
-
-    def run(batches):
-        table = _open(tables, True)
-        w = np.full((GATES, PREDICTORS), 1.5 / PREDICTORS)
-        curve = np.tile(np.eye(PREDICTORS), (GATES, 1, 1))  # what the words so far say of the weights
-        seen = np.zeros((GATES, PREDICTORS))
-        after = np.zeros((256 * LEVELS, 2))
-        for _, cls, count, _, text, size in _blocks(_gathered(batches)):
-            on = count > 0
-            if not on.any():
-                continue
-            value, item, _, ctx = _bytes_of(text[np.repeat(on, size)], size[on], cls[on])
-            every, number, contexts = _once(value, ctx)
-            weight = np.bincount(number, count[on][item])
-            for part, value, ctx in _steps(every, contexts, LEARN_STEP):
-                c = weight[part]
-                for step, node, y in _bits(value):
-                    x, order, parts = _inputs(table, ctx, step, node, y)
-                    z, cs, ys = np.empty(len(x)), c[order], y[order]
-                    for gate, a, b in parts:
-                        xs = x[a:b].astype(np.float64)
-                        z[a:b] = xs @ w[gate]
-                        p = _squash(z[a:b])
-                        push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
-                        curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
-                        w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
-                        seen[gate] += cs[a:b].sum()
-                    at = node[order] * LEVELS + _level(z)
-                    after += np.bincount(2 * at + ys, cs, after.size).reshape(after.shape)
-        out = np.concatenate([(w * seen).ravel(), seen.ravel(), after.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "v"])
-
-    return run
-
-
-def _predict(tables, w: np.ndarray, after: np.ndarray, total: int, distinct: int):
-    """Cost of each word in each class that it occurs in, and its part of the base score."""
+    w = np.full((GATES, PREDICTORS), 1.5 / PREDICTORS)
+    curve = np.tile(np.eye(PREDICTORS), (GATES, 1, 1))  # what the words so far say of the weights
+    seen = np.zeros((GATES, PREDICTORS))
+    after = np.zeros((256 * LEVELS, 2))
+    for r in (r for b in batches for r in b.to_pylist()):
+        *_, every, weight, _, where = _open(r)
+        on = np.flatnonzero(weight)
+        c, where = weight[on], where[:, on]
+        for step, node, y, odds, amount in _said(r, every, True):
+            node, y = node[on], y[on]
+            for part in _pieces(len(on), LEARN_STEP):
+                x, order, parts = _inputs(odds, amount, where[:, part], step, y[part])
+                z, cs, ys = np.empty(len(x)), c[part][order], y[part][order]
+                for gate, a, b in parts:
+                    xs = x[a:b].astype(np.float64)
+                    z[a:b] = xs @ w[gate]
+                    p = _squash(z[a:b])
+                    push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
+                    curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
+                    w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
+                    seen[gate] += cs[a:b].sum()
+                at = node[part][order] * LEVELS + _level(z)
+                after += np.bincount(2 * at + ys, cs, after.size).reshape(after.shape)
+    out = np.concatenate([(w * seen).ravel(), seen.ravel(), after.ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "v"])
+
+
+def _predict(w: np.ndarray, after: np.ndarray):
+    """Cost of each word in each class that it occurs in, and its training count."""
     follow = after.sum(axis=1)
 
     def run(batches):
-        table = _open(tables, False)
-        for b in _gathered(batches):
-            cost = np.zeros((b.num_rows, CLASSES))
-            for row, cls, _, _, text, size in _blocks([b]):
-                value, item, _, ctx = _bytes_of(text, size, cls)
-                every, number, contexts = _once(value, ctx)
-                bits = np.zeros(len(every))
-                for part, value, ctx in _steps(every, contexts, STEP):
-                    for step, node, y in _bits(value):
-                        x, order, parts = _inputs(table, ctx, step, node)
-                        z = np.empty(len(x))
-                        for gate, f, t in parts:
-                            z[order[f:t]] = x[f:t] @ w[gate]
-                        p = _squash(z)
-                        at = node * LEVELS + _level(z)
-                        p = (p + (after[at, 1] + MAP_PRIOR * p) / (follow[at] + MAP_PRIOR)) / 2
-                        bits[part] += np.log10(np.where(y == 1, p, 1 - p))
-                cost[row, cls] = np.bincount(item, bits[number], len(size))
-            c = sum(b.column(f"c{k}").to_numpy() for k in range(CLASSES))
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(c), pa.array([x.tobytes() for x in cost.astype(np.float32)], pa.binary())], names=["h", "c", "cost"])
+        for r in (r for b in batches for r in b.to_pylist()):
+            row, cls, counts, item, number, every, _, _, where = _open(r)
+            bits = np.zeros(len(every))
+            for step, node, y, odds, amount in _said(r, every, False):
+                for part in _pieces(len(every), STEP):
+                    x, order, parts = _inputs(odds, amount, where[:, part], step, y[part])
+                    z = np.empty(len(x))
+                    for gate, f, t in parts:
+                        z[order[f:t]] = x[f:t] @ w[gate]
+                    p = _squash(z)
+                    at = node[part] * LEVELS + _level(z)
+                    p = (p + (after[at, 1] + MAP_PRIOR * p) / (follow[at] + MAP_PRIOR)) / 2
+                    bits[part] += np.log10(np.where(y[part] == 1, p, 1 - p))
+            cost = np.zeros((len(counts), CLASSES))
+            cost[row, cls] = np.bincount(item, bits[number], len(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["hashes"], np.int64)), pa.array(counts.sum(axis=1)), pa.array([x.tobytes() for x in cost.astype(np.float32)], pa.binary())], names=["h", "c", "cost"])
 
     return run
 
@@ -462,30 +453,23 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     found = units.select("hashes", "counts", "bytes", "n_bytes", "n_words").mapInArrow(_distinct, shape)
     vocabulary = settle(found.groupBy("h").agg(F.first("word").alias("word"), *(F.sum(c).alias(c) for c in counts), F.bit_or("mask").alias("mask")), "vocabulary")
     c = sum(n(x) for x in counts)
-    row = vocabulary.agg(F.sum(c).alias("n"), F.sum((c > 0).cast("long")).alias("v")).first()
+    # bytes of items times predictors: as many pairs at most
+    asks = PREDICTORS * (F.octet_length("word") + 1) * F.bit_count("mask")
+    row = vocabulary.agg(F.sum(c).alias("n"), F.sum((c > 0).cast("long")).alias("v"), F.sum(asks).alias("asks")).first()
     total, distinct = int(row.n or 0), int(row.v or 0)
-    # the commonest words that the counters of whole words have room for
-    level = F.floor(F.log2(c.cast("double")) * 8)
-    room, least = int(0.25 * (1 << BITS[CHECKED])), 1.0
-    sizes = vocabulary.where(c > 0).groupBy(level.alias("level")).agg(F.sum(8 * (F.octet_length("word") + 1)).alias("bits"))
-    for r in sorted(sizes.collect(), key=lambda r: -r.level):  # at most 8 * 64 levels
-        room -= r.bits
-        if room < 0:
-            least = 2 ** ((r.level + 1) / 8)
-            break
-    slices = dealt(vocabulary.mapInArrow(_count(least), "slice int, n int, part binary"), "slice").mapInArrow(_sum, "slice int, n int, part binary")
-    parts_ = {r.slice: _unzip((2 * r.n, r.part), np.float16 if r.slice < SLICES else np.uint16) for r in slices.collect()}  # of a fixed size
-    counter = np.concatenate([parts_[s] for s in range(SLICES)]) if parts_ else np.zeros(2 * FIRST[-1], np.float16)
-    owner = np.concatenate([parts_[s] for s in range(SLICES, 2 * SLICES)]) if parts_ else np.zeros(OWNED, np.uint16)
-    tables = spark.sparkContext.broadcast((_zip(counter), _zip(owner)))  # packed: it lies on the disk of every executor
-    learned = vocabulary.mapInArrow(_learn(tables), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    buckets = max(BUCKETS, 1 << ((row.asks or 0) // BUCKET_ROWS).bit_length())
+    blocks = settle(vocabulary.mapInArrow(_blocks, BLOCKS), "blocks")
+    answers = dealt(blocks.mapInArrow(_ask(buckets), ASKED), "bucket").mapInArrow(_answer, ANSWERED)
+    both = blocks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    told = settle(dealt(both, "block").mapInArrow(_told, f"{BLOCKS}, n array<int>, answer array<binary>"), "told")
+    learned = told.mapInArrow(_learn, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 * GATES * PREDICTORS + 2 * 256 * LEVELS)
     for r in learned:
         flat[r["at"]] = r.v
     ws, seen = flat[: 2 * GATES * PREDICTORS].reshape(2, GATES, PREDICTORS)
     w = np.divide(ws, seen, out=np.full_like(ws, 1.5 / PREDICTORS), where=seen > 0)
     after = flat[2 * GATES * PREDICTORS :].reshape(-1, 2)
-    costs = settle(vocabulary.mapInArrow(_predict(tables, w, after, total, distinct), "h long, c long, cost binary"), "costs")
+    costs = settle(told.mapInArrow(_predict(w, after), "h long, c long, cost binary"), "costs")
     places = units.select("unit", "hashes").mapInArrow(_places, "h long, unit long, i int")
     back = places.join(costs, "h").select("unit", "i", "c", "cost")
     nothing = {k: F.lit(None).cast(t) for k, t in (("docs", "binary"), ("n_docs", "int"), ("codes", "binary"), ("n_codes", "int"), ("n_words", "int"))}

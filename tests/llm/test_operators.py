@@ -328,3 +328,24 @@ def test_packing(spark, docs):
         for x in p:
             got[x] += n
     assert got == Counter({k: c for k, c in count.items() if c})
+
+
+def test_language_model_counts_all_contexts(spark):
+    """10,000 words of 24 letters a or b: whole words tell them apart (14 bits), their last four bytes do not (24 bits)."""
+    from beatframe.llm import lm
+
+    r = np.random.default_rng(5)
+    vocabulary = ["".join(x) for x in r.choice(list("ab"), (10_000, 24))]
+    rows = [(i, " ".join(vocabulary[k] for k in r.permutation(10_000)[:1000])) for i in range(40)]
+    got = lm.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("not held_out").collect()
+    bits = -sum(x.score for x in got) / sum(x.n_tokens for x in got) / math.log10(2)
+    assert 13 < bits < 20
+    # counts of bits from counts of bytes
+    seen = Counter({(c, v): int(r.integers(0, 9)) for c in range(1, 6) for v in r.choice(256, 9, replace=False).tolist()})
+    pairs = np.array(sorted((c << 8) + v for c, v in seen), np.uint64)
+    out = lm._counted(pairs, np.array([seen[int(p) >> 8, int(p) & 255] for p in pairs]))
+    for p, x in zip(pairs.tolist(), out.T):
+        c, v = p >> 8, p & 255
+        assert x[0] == seen[c, v]
+        for k in range(8):
+            assert x[k + 1] == sum(m for (d, u), m in seen.items() if d == c and u >> (7 - k) == (v >> (7 - k)) ^ 1)
