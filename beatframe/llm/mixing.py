@@ -6,12 +6,13 @@ wanted, and a common factor (found by bisection, no probability above 1) brings
 number of tokens to the budget.  A document stays if the hash of its id falls below the
 probability of its cell, so every run and every copy of a row decides alike.
 
-Topics are spherical k-means clusters of hashed word counts; the centres are fitted on a
-bounded sample (``SAMPLE`` documents by hash of id), all documents are assigned and counted.
+Topics are spherical k-means clusters of hashed word counts; the centres start from a bounded
+sample (``SAMPLE`` documents by hash of id) and are then moved by sums over all documents.
 
-Scale: the table is bounded by the values that have a target of their own (at most ``OWN`` by
-tokens on each axis, others share one), so it fits the driver and a broadcast; texts are read
-twice and never shuffled.
+Scale: every value has a target of its own.  A table of at most ``CELLS`` cells is raked on the
+driver and broadcast; a larger one is raked in Spark (group sums by axis, factors joined) with
+the same result.  Texts are read once for each round of topics and twice more, and are shuffled
+only if the table is too large for a broadcast.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks, prepare, settle, words
-from .embedding_dedup import spherical_kmeans
+from .embedding_dedup import ROUNDS, spherical_kmeans
 
-SAMPLE, TOPICS, SPACE, OWN = 2048, 8, 256, 64
+SAMPLE, TOPICS, SPACE, CELLS = 2048, 8, 256, 1 << 16
+UNIT = 1 << 20  # vectors are summed as whole numbers of this part: the same in any order
 AXES = ("source", "lang", "topic")
+LOOK = "_source string, _lang string, _topic int, _weight double, _probability double"
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +45,36 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(n > 0)), pa.array([x.tobytes() for x in v[n > 0]], pa.binary())], names=["doc_id", "v"])
 
 
+def _moved(centres: np.ndarray):
+    def run(batches):
+        total = np.zeros(centres.shape, np.int64)
+        for b in chunks(batches):
+            n, v = _hashed(b.column("text"))
+            v = v[n > 0]
+            np.add.at(total, (v @ centres.T).argmax(axis=1), np.rint(v * UNIT).astype(np.int64))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "v"])
+
+    return run
+
+
 def topics(docs: DataFrame) -> np.ndarray:
-    """Centres from at most SAMPLE documents, less what all documents share."""
+    """Centres that start from at most SAMPLE documents and are moved by all, repeated rows and
+    rows without doc_id among them."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).dropDuplicates()
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(_vectors, "doc_id long, v binary").collect()
     x = np.array([np.frombuffer(r.v) for r in sorted(rows)]).reshape(len(rows), SPACE)
-    return spherical_kmeans(x, min(TOPICS, len(x))) if len(x) else np.zeros((1, SPACE))
+    c = spherical_kmeans(x, min(TOPICS, len(x))) if len(x) else np.ones((1, SPACE)) / np.sqrt(SPACE)
+    for _ in range(ROUNDS):
+        total = np.zeros(c.size)
+        for r in docs.select("text").mapInArrow(_moved(c), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # TOPICS * SPACE rows
+            total[r["at"]] = r.v
+        total = total.reshape(c.shape)
+        size = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        old, c = c, np.where(size > 0, total / np.maximum(size, 1e-300), c)
+        if np.abs(c - old).max() < 1e-6:
+            break
+    return c
 
 
 def _assign(centres: np.ndarray):
@@ -62,25 +89,92 @@ def _assign(centres: np.ndarray):
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
     """Weights with the zeros of ``tokens`` and the given marginals (each sums to 1; targets
     of values without tokens are shared out among the others)."""
+    at = [x.ravel() for x in np.indices(tokens.shape)]
+    return rake_cells(at, tokens.ravel(), targets, rounds, close).reshape(tokens.shape)
+
+
+def rake_cells(at: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+    """The same for a list of cells, ``at`` being the number of each cell's value on every axis."""
     w = tokens / max(tokens.sum(), 1e-300)
-    axes = range(w.ndim)
     want = []
-    for k in axes:
-        have = w.sum(axis=tuple(j for j in axes if j != k)) > 0
-        t = np.where(have, targets[k], 0.0)
+    for k, target in zip(at, targets):
+        have = np.bincount(k, w, len(target)) > 0
+        t = np.where(have, target, 0.0)
         want.append(t / t.sum() if t.sum() > 0 else have / max(have.sum(), 1))
     for _ in range(rounds):
         off = 0.0
-        for k in axes:
-            m = w.sum(axis=tuple(j for j in axes if j != k))
-            off = max(off, float(np.abs(m - want[k]).max(initial=0)))
-            f = np.divide(want[k], m, out=np.zeros_like(m), where=m > 0)
-            w = w * f.reshape([-1 if j == k else 1 for j in axes])
+        for k, t in zip(at, want):
+            m = np.bincount(k, w, len(t)).astype(float)  # (whole numbers if there are no cells)
+            off = max(off, float(np.abs(m - t).max(initial=0)))
+            w = w * np.divide(t, m, out=np.zeros_like(m), where=m > 0)[k]
         if off < close:
             break
     return w
 
 
+def _on_driver(cells: DataFrame, given: list, share: float, power: float) -> DataFrame:
+    rows = cells.collect()
+    tokens = np.array([r.tokens for r in rows], float)
+    at, want = [], []
+    for k, g in enumerate(given):
+        values, place = np.unique(np.array([r[k] for r in rows], object if k < 2 else int), return_inverse=True)
+        m = np.bincount(place, tokens, len(values))
+        at.append(place)
+        want.append(np.array([float(g.get(v, g.get(str(v), 0))) for v in values.tolist()]) if g else m**power)
+    w = rake_cells(at, tokens, want)
+    p = probabilities(tokens, w, share)
+    lines = [(*r[:3], float(x), float(y)) for r, x, y in zip(rows, w, p)]
+    return F.broadcast(cells.sparkSession.createDataFrame(lines, LOOK))  # at most CELLS rows
+
+
+def _in_spark(cells: DataFrame, given: list, share: float, power: float, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+    """``rake_cells`` and ``probabilities`` with the table and the factors of all values in Spark."""
+    spark, n = cells.sparkSession, F.col
+    some = cells.where(n("tokens") > 0)
+    total = float(some.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    some = some.withColumn("w", n("tokens") / F.lit(total))
+    names, factors = [f"_{c}" for c in AXES], {}
+    for c, g in zip(names, given):
+        t = some.groupBy(c).agg(F.sum("w").alias("m"))
+        if g:
+            t = t.join(spark.createDataFrame([(str(v), float(x)) for v, x in g.items()], "v string, t double"), n(c).cast("string") == n("v"), "left").select(c, F.coalesce("t", F.lit(0.0)).alias("t"))
+        else:
+            t = t.select(c, F.pow("m", F.lit(float(power))).alias("t"))
+        t = settle(t, "targets")
+        row = t.agg(F.sum("t").alias("t"), F.count("*").alias("n")).first()
+        want = n("t") / F.lit(row.t) if row.t else F.lit(1.0 / max(row.n, 1))
+        factors[c] = t.select(c, want.alias("want"), F.lit(1.0).alias("f"))
+    for _ in range(rounds):
+        off = 0.0
+        for c in names:
+            m = some
+            for o in names:
+                if o != c:
+                    m = m.join(factors[o].select(o, n("f").alias(f"f{o}")), o).withColumn("w", n("w") * n(f"f{o}"))
+            m = m.groupBy(c).agg(F.sum("w").alias("m"))
+            factors[c] = settle(factors[c].join(m, c).select(c, "want", F.when(n("m") > 0, n("want") / n("m")).otherwise(0.0).alias("f"), F.abs(n("f") * n("m") - n("want")).alias("off")), "factors")
+            off = max(off, factors[c].agg(F.max("off")).first()[0] or 0.0)
+        if off < close:
+            break
+    look = cells.withColumn("_weight", n("tokens") / F.lit(total))
+    for c in names:
+        look = look.join(factors[c].select(c, "f"), c, "left").withColumn("_weight", n("_weight") * F.coalesce("f", F.lit(0.0))).drop("f")
+    look = settle(look, "weights")
+    # the expected tokens grow with the factor by ever smaller slopes: steps from below end at the budget
+    factor, budget, before = 0.0, share * total, -1
+    while True:
+        full = n("_weight") * F.lit(factor) >= n("tokens")
+        row = look.where((n("tokens") > 0) & (n("_weight") > 0)).agg(F.sum(full.cast("long")).alias("n"), F.sum(F.when(full, n("tokens"))).alias("t"), F.sum(F.when(~full, n("_weight"))).alias("w")).first()
+        if not row.w:
+            factor = 1e300
+            break
+        if row.n == before:
+            break
+        before, factor = row.n, (budget - (row.t or 0)) / row.w
+    p = F.when(n("tokens") > 0, F.least(F.lit(1.0), n("_weight") / n("tokens") * F.lit(factor))).otherwise(1.0)
+    return look.select(*names, "_weight", p.alias("_probability"))
+
+
 def probabilities(tokens: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
     """min(1, factor * weight / tokens), with ``share`` of all tokens expected."""
     ask = np.divide(weights, tokens, out=np.zeros_like(weights), where=tokens > 0)
@@ -95,7 +189,7 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, share: float) -> np.n
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = 0.5, power: float = 0.5) -> DataFrame:
-    """``docs`` with _source, _lang (null: "unknown"; "other" if without a target of its own),
+    """``docs`` with _source, _lang (null: "unknown"; "other" if its axis has targets and it has none),
     _topic, _tokens (words), _weight (of the cell, sums to 1), _probability and _kept.
 
     ``targets``: by axis (source, lang, topic) the wanted share of each value; an axis without
@@ -109,31 +203,12 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     plain = docs.select("doc_id", n("text").cast("string").alias("text"), *(F.coalesce(n(c).cast("string"), F.lit("unknown")).alias(f"_{c}") for c in AXES[:2]))
     shape = lambda d: f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in d.schema)}, _tokens long, _topic int"
     seen = plain.mapInArrow(_assign(centres), shape(plain))
-    cells = settle(seen.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
-    own = {}
-    for c in AXES[:2]:
-        given = (targets or {}).get(c)
-        own[c] = sorted(given) if given else sorted(r[0] for r in cells.groupBy(f"_{c}").agg(F.sum("tokens").alias("t")).orderBy(n("t").desc(), f"_{c}").limit(OWN).select(f"_{c}").collect())
-    put = lambda c: F.when(n(f"_{c}").isin(own[c]), n(f"_{c}")).otherwise("other").alias(f"_{c}")
-    rows = cells.select(put("source"), put("lang"), "_topic", "tokens").groupBy("_source", "_lang", "_topic").agg(F.sum("tokens").alias("tokens")).collect()
-    values = [sorted({*own["source"], "other"}), sorted({*own["lang"], "other"}), list(range(len(centres)))]
-    table = np.zeros([len(v) for v in values])
-    for r in rows:
-        table[values[0].index(r[0]), values[1].index(r[1]), r[2]] += r.tokens
-    want = []
-    for k, c in enumerate(AXES):
-        given = (targets or {}).get(c)
-        m = table.sum(axis=tuple(j for j in range(3) if j != k))
-        t = np.array([float(given.get(v, given.get(str(v), 0))) for v in values[k]]) if given else m**power
-        want.append(t / max(t.sum(), 1e-300))
-    w = rake(table, want)
-    p = probabilities(table, w, share)
-    lines = [(a, b, int(c), float(w[i, j, c]), float(p[i, j, c])) for i, a in enumerate(values[0]) for j, b in enumerate(values[1]) for c in values[2]]
-    # at most (OWN + 1)**2 * TOPICS rows, or what the given targets name
-    look = F.broadcast(spark.createDataFrame(lines, "_source string, _lang string, _topic int, _weight double, _probability double"))
+    given = [(targets or {}).get(c) for c in AXES]
+    named = {f"_{c}": F.when(n(f"_{c}").isin(sorted(g)), n(f"_{c}")).otherwise("other") for c, g in zip(AXES[:2], given) if g}
+    cells = settle(seen.withColumns(named).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
+    look = (_on_driver if cells.count() <= CELLS else _in_spark)(cells, given, share, power)
     out = docs.withColumn("text", n("text").cast("string"))
-    out = out.mapInArrow(_assign(centres), shape(out)).withColumns({f"_{c}": F.coalesce(n(c).cast("string"), F.lit("unknown")) for c in AXES[:2]})
-    out = out.withColumns({f"_{c}": F.when(n(f"_{c}").isin(own[c]), n(f"_{c}")).otherwise("other") for c in AXES[:2]})
+    out = out.mapInArrow(_assign(centres), shape(out)).withColumns({f"_{c}": F.coalesce(n(c).cast("string"), F.lit("unknown")) for c in AXES[:2]}).withColumns(named)
     u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), n("doc_id").cast("long")), 11) / F.lit(float(1 << 53))
     return out.join(look, ["_source", "_lang", "_topic"]).withColumn("_kept", u < n("_probability"))
 

@@ -349,3 +349,36 @@ def test_language_model_counts_all_contexts(spark):
         assert x[0] == seen[c, v]
         for k in range(8):
             assert x[k + 1] == sum(m for (d, u), m in seen.items() if d == c and u >> (7 - k) == (v >> (7 - k)) ^ 1)
+
+
+def test_mixing_gives_every_value_its_target(spark, monkeypatch):
+    from beatframe.llm import mixing
+
+    rows = [(i, prose(i % 7, 5 + i % 100), "en" if i % 3 else "de", f"s{i % 100}", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    out = mixing.mixed(docs).collect()
+    tokens, weight, seen = Counter(), Counter(), set()
+    for r in out:
+        tokens[r["_source"]] += r["_tokens"]
+        cell = (r["_source"], r["_lang"], r["_topic"])
+        weight[r["_source"]] += 0 if cell in seen else r["_weight"]
+        seen.add(cell)
+    assert len(tokens) == 100
+    for s, t in tokens.items():
+        assert abs(weight[s] - math.sqrt(t) / sum(math.sqrt(x) for x in tokens.values())) < 1e-5
+    # a table that is too large for the driver gives the same
+    cells = spark.createDataFrame([(f"s{i % 5}", "en" if i % 3 else "de", i % 2, 1 + i * i % 50 if i else 0) for i in range(30)], "_source string, _lang string, _topic int, tokens long")
+    for given, share in (([None] * 3, 0.5), ([{"s1": 0.9, "s2": 0.1, "none": 1.0}, None, None], 0.3)):
+        a, b = (sorted(f(cells, given, share, 0.5).collect()) for f in (mixing._on_driver, mixing._in_spark))
+        assert [x[:3] for x in a] == [x[:3] for x in b]
+        assert np.allclose([x[3:] for x in a], [x[3:] for x in b], atol=1e-8)
+    # centres are moved by all documents
+    monkeypatch.setattr(mixing, "SAMPLE", 3)
+    c = mixing.topics(docs.select("doc_id", "text"))
+    import pyarrow as pa
+
+    v = mixing._hashed(pa.array([r[1] for r in rows]))[1]
+    near = (v @ c.T).argmax(axis=1)
+    for k in range(len(c)):
+        total = v[near == k].sum(axis=0)
+        assert np.allclose(total / np.sqrt(total @ total), c[k], atol=1e-3)
