@@ -3,11 +3,13 @@
 Writing: pages with an equal payload share one response; the others become revisit records
 that refer to it.  Records are the lines of a text file whose line end is the blank line that
 closes a WARC record, so Spark's own text writer makes gzipped archives with its commit
-protocol.  Reading parses whole files by Content-Length and joins the records of a capture
-through WARC-Concurrent-To.
+protocol.  Reading inflates all gzip members of a file (others write one for each record), parses
+records by Content-Length as they come, and joins the records of a capture through
+WARC-Concurrent-To.
 
 Scale: payloads are shuffled once, by page (no key is hot); the choice of responses and the
-assembly move only identifiers and digests.  A file has at most ``PER_FILE`` records.
+assembly move only identifiers and digests.  A written file has at most ``PER_FILE`` records.
+Of a file that is read, the packed bytes and one record are held.
 """
 
 from __future__ import annotations
@@ -93,18 +95,68 @@ def _hexed(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "digest", "size", "first")), pa.array(code, pa.string())], names=["pid", "digest", "size", "first", "code"])
 
 
-def parse(data: bytes):
-    """(headers with lower-case names, block) of every record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+def inflated(raw, step: int = 1 << 20):
+    """Plain bytes, piece by piece, of all gzip or zlib members of ``raw`` (one for each record, or
+    one for many); zero bytes after a member are padding."""
+    raw, at = memoryview(raw), 0
+    while at < len(raw):
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            # what a call has not used yet comes first
+            data = member.unconsumed_tail
+            if not data:
+                data = raw[at : at + step]
+                at += len(data)
+            out = member.decompress(data, step)
+            if out:
+                yield out
+            elif not len(data):
+                raise ValueError("the last gzip member is cut short")
+        at -= len(member.unused_data)
+        while at < len(raw) and raw[at] == 0:
+            at += 1
+
+
+def parse(pieces):
+    """(headers with lower-case names, block) of every record of ``pieces``, bytes that come one after
+    another (or all at once).  Only the record that is being read is held."""
+    pieces = iter([pieces] if isinstance(pieces, (bytes, bytearray)) else pieces)
+    held, at, done = bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, done
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        done, at = done + at, 0
+        held.extend(piece)
+        return True
+
+    while True:
+        # blank lines end a record
+        while True:
+            while at < len(held) and held[at] in b"\r\n":
+                at += 1
+            if at < len(held):
+                break
+            if not more():
+                return
+        begun = 0
+        while (end := held.find(b"\r\n\r\n", at + begun)) < 0:
+            begun = max(0, len(held) - at - 3)
+            if not more():
+                raise ValueError(f"headers at byte {done + at} have no end")
+        lines = held[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {done + at}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size, top = int(head["content-length"]), end + 4 - at
+        while len(held) < at + top + size:
+            if not more():
+                raise ValueError(f"the record at byte {done + at} is cut short")
+        yield head, bytes(held[at + top : at + top + size])
+        at += top + size
 
 
 SHAPE = "warc_type string, record_id string, target_uri string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -117,7 +169,7 @@ def _read(payloads: bool):
                 raw = content.as_buffer()
                 cols: list[list] = [[] for _ in range(9)]
                 held = 0
-                for head, block in parse(zlib.decompress(raw, 47) if raw.size else b""):
+                for head, block in parse(inflated(raw)):
                     kind = head["warc-type"]
                     sha, size, fields, load = head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, None
                     if kind in ("response", "revisit"):

@@ -382,3 +382,27 @@ def test_mixing_gives_every_value_its_target(spark, monkeypatch):
     for k in range(len(c)):
         total = v[near == k].sum(axis=0)
         assert np.allclose(total / np.sqrt(total @ total), c[k], atol=1e-3)
+
+
+def test_warc_of_many_members(spark, tmp_path):
+    import gzip
+
+    from beatframe.llm import warc
+
+    records = []
+    for i in range(40):
+        load = f"<p>page {i}</p>\r\n\r\n" + "x" * (i * 70_000)
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n{load}"
+        records.append(warc._record("response", f"<urn:{i}>", f"http://a/{i}", http, "application/http;msgtype=response"))
+        records.append(warc._record("metadata", f"<urn:m{i}>", f"http://a/{i}", f"page-id: {i}\r\n", "application/warc-fields", WARC_Concurrent_To=f"<urn:{i}>"))
+    data = [f"{x}\r\n\r\n".encode() for x in records]
+    members = b"".join(gzip.compress(x) for x in data)
+    (tmp_path / "a.warc.gz").write_bytes(members)
+    got = sorted((r.page_id, r.response.payload_bytes) for r in warc.captures(spark, str(tmp_path), payloads=False).collect())
+    assert got == [(i, len(f"<p>page {i}</p>\r\n\r\n") + i * 70_000) for i in range(40)]
+    for raw in (members, gzip.compress(b"".join(data)), members + bytes(20), b""):
+        for step in (7_001, 1 << 20):
+            assert b"".join(warc.inflated(raw, step)) == (b"".join(data) if raw else b"")
+    assert [x for _, x in warc.parse(warc.inflated(members))] == [x for _, x in warc.parse(b"".join(data))]
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.inflated(members[:-30])))
