@@ -11,8 +11,8 @@ sample (``SAMPLE`` documents by hash of id) and are then moved by sums over all
 
 Scale: every value has a target of its own.  A table of at most ``CELLS`` cells is raked on the
 driver and broadcast; a larger one is raked in Spark (group sums by axis, factors joined) with
-the same result.  Texts are read once for each round of topics and twice more, and are shuffled
-only if the table is too large for a broadcast.
+the same result.  Texts are read three times (topics are moved over packed word counts) and
+shuffled only if the table is too large for a broadcast.
 """
 
 from __future__ import annotations
@@ -30,13 +30,23 @@ AXES = ("source", "lang", "topic")
 LOOK = "_source string, _lang string, _topic int, _weight double, _probability double"
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and a unit vector of its hashed word counts (zero without words)."""
+def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and how many have each hash."""
     w = words(texts, lower=True)
     n = np.diff(w.off)
     at = np.repeat(np.arange(len(n)), n) * SPACE + (w.h % np.uint64(SPACE)).astype(np.int64)
-    v = np.sqrt(np.bincount(at, minlength=len(n) * SPACE).reshape(len(n), SPACE).astype(float))
-    return n, v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+    return n, np.bincount(at, minlength=len(n) * SPACE).reshape(len(n), SPACE)
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    v = np.sqrt(counts.astype(float))
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and a unit vector of its hashed word counts (zero without words)."""
+    n, counts = _counts(texts)
+    return n, _unit(counts)
 
 
 def _vectors(batches):
@@ -45,13 +55,24 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(n > 0)), pa.array([x.tobytes() for x in v[n > 0]], pa.binary())], names=["doc_id", "v"])
 
 
+def _packed(batches):
+    """Hashed word counts of the texts of a chunk that have words."""
+    codec = pa.Codec("zstd")
+    for b in chunks(batches):
+        n, c = _counts(b.column("text"))
+        c = c[n > 0].astype(np.int32)
+        if len(c):
+            yield pa.RecordBatch.from_arrays([pa.array([len(c)], pa.int32()), pa.array([codec.compress(c.tobytes(), asbytes=True)], pa.binary())], names=["n", "counts"])
+
+
 def _moved(centres: np.ndarray):
     def run(batches):
         total = np.zeros(centres.shape, np.int64)
-        for b in chunks(batches):
-            n, v = _hashed(b.column("text"))
-            v = v[n > 0]
-            np.add.at(total, (v @ centres.T).argmax(axis=1), np.rint(v * UNIT).astype(np.int64))
+        for b in batches:
+            for n, data in zip(b.column("n").to_pylist(), b.column("counts").to_pylist()):
+                v = _unit(np.frombuffer(pa.decompress(data, decompressed_size=4 * n * SPACE, codec="zstd"), np.int32).reshape(n, SPACE))
+                own = np.arange(len(centres))[:, None] == (v @ centres.T).argmax(axis=1)
+                total += (own.astype(float) @ np.rint(v * UNIT)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "v"])
 
@@ -65,9 +86,10 @@ def topics(docs: DataFrame) -> np.ndarray:
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(_vectors, "doc_id long, v binary").collect()
     x = np.array([np.frombuffer(r.v) for r in sorted(rows)]).reshape(len(rows), SPACE)
     c = spherical_kmeans(x, min(TOPICS, len(x))) if len(x) else np.ones((1, SPACE)) / np.sqrt(SPACE)
+    packed = settle(docs.select("text").mapInArrow(_packed, "n int, counts binary"), "counts")
     for _ in range(ROUNDS):
         total = np.zeros(c.size)
-        for r in docs.select("text").mapInArrow(_moved(c), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # TOPICS * SPACE rows
+        for r in packed.mapInArrow(_moved(c), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():  # TOPICS * SPACE rows
             total[r["at"]] = r.v
         total = total.reshape(c.shape)
         size = np.sqrt((total * total).sum(axis=1, keepdims=True))
