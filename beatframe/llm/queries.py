@@ -89,7 +89,25 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(conversations), of=conversations)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_personal_data, op4_quality_classifier, op5_mixing, op6_language_scores, op7_substring_dedup, op8_warc_round_trip, op9_packing, op10_embedding_near_dedup, op11_conversation_repair)}
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import alignments
+
+    prepare(spark)
+    return alignments(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    prepare(spark)
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_personal_data, op4_quality_classifier, op5_mixing, op6_language_scores, op7_substring_dedup, op8_warc_round_trip, op9_packing, op10_embedding_near_dedup, op11_conversation_repair, op12_tokenizer_alignment, op13_token_counts)}
 
 #: SQL that DuckDB can run on the given tables.
 ORACLE = {
