@@ -1,6 +1,5 @@
-"""NumPy helpers for the three scans Spark SQL has no operator for: nearest
-strictly-higher sample (prominence), half-height crossing (width) and a sliding
-order statistic.  They see one bounded group at a time (a trace, a chunk, an
+"""NumPy helpers for what Spark SQL has no operator for: nearest sample beyond a
+threshold (prominence, width), distance suppression, a sliding order statistic, lag products.  They see one bounded group at a time (a trace, a chunk, an
 island); partitioning and shuffling stay with Spark."""
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from bisect import bisect_left, insort
 
 import numpy as np
 
+UNDECIDED, DROPPED, TAKEN = -1, 0, 1
+
 
 def local_maxima(x: np.ndarray) -> np.ndarray:
     """Midpoints of runs of equal samples that stand above both neighbouring runs."""
@@ -22,91 +23,159 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def thin_by_distance(pos: np.ndarray, amp: np.ndarray, distance: float) -> np.ndarray:
-    """Keep mask: the highest position first removes lower ones closer than ``distance``."""
-    keep = np.ones(pos.size, dtype=bool)
-    d = int(np.ceil(distance))
-    if d <= 1 or pos.size < 2 or np.min(np.diff(pos)) >= d:
-        return keep
-    for j in np.lexsort((pos, amp))[::-1]:
-        if not keep[j]:
-            continue
-        lo, hi = np.searchsorted(pos, (pos[j] - d + 1, pos[j] + d))
-        keep[lo:hi] = False
-        keep[j] = True
-    return keep
+def within(places: list, at: int, distance: int) -> bool:
+    """Does the sorted list hold a place closer to ``at`` than ``distance``?"""
+    j = bisect_left(places, at)
+    return (j < len(places) and places[j] - at < distance) or (j > 0 and at - places[j - 1] < distance)
+
+
+def thin(idx: np.ndarray, amp: np.ndarray, distance: int, state: np.ndarray, own: np.ndarray, waves: int = 32) -> np.ndarray:
+    """Distance suppression: highest first (later on ties), lower ones closer than ``distance`` go.
+
+    All rows above their undecided neighbours are taken at once; a slope that needs more than
+    ``waves`` of that is finished row by row.
+    """
+    state = state.copy()
+    rank = np.empty(len(idx), np.int64)
+    order = np.lexsort((idx, amp))
+    rank[order] = np.arange(len(idx))
+
+    def clear(taken: np.ndarray, left: np.ndarray) -> np.ndarray:
+        if not taken.size or not left.size:
+            return left
+        j = np.searchsorted(taken, idx[left])
+        near = (j < taken.size) & (taken[np.minimum(j, taken.size - 1)] - idx[left] < distance)
+        near |= (j > 0) & (idx[left] - taken[np.maximum(j - 1, 0)] < distance)
+        state[left[near]] = DROPPED
+        return left[~near]
+
+    left = clear(idx[state == TAKEN], np.flatnonzero(state == UNDECIDED))
+    for _ in range(waves):
+        if not left.size:
+            return state
+        p, r = idx[left], rank[left]
+        beaten = ~own[left]
+        k = 1
+        while k < left.size:
+            close = p[k:] - p[:-k] < distance
+            if not close.any():
+                break
+            up = r[k:] > r[:-k]
+            beaten[:-k] |= close & up
+            beaten[k:] |= close & ~up
+            k += 1
+        if beaten.all():
+            return state
+        state[left[~beaten]] = TAKEN
+        left = clear(p[~beaten], left[beaten])
+    taken, waiting = idx[state == TAKEN].tolist(), []
+    for e in left[np.argsort(-rank[left])].tolist():
+        at = int(idx[e])
+        if within(taken, at, distance):
+            state[e] = DROPPED
+        elif not own[e] or within(waiting, at, distance):
+            insort(waiting, at)
+        else:
+            state[e] = TAKEN
+            insort(taken, at)
+    return state
+
+
+class RangeTable:
+    """Least values of blocks of 1, 2, 4, ... samples, for many questions at once."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.levels = [np.asarray(x, dtype=float)]
+        while self.levels[-1].size > 1:
+            v = self.levels[-1]
+            if v.size % 2:
+                v = np.append(v, np.inf)
+            self.levels.append(np.minimum(v[::2], v[1::2]))
+
+    def _meets(self, level: int, block: np.ndarray, limit: np.ndarray, strict: bool) -> np.ndarray:
+        v = self.levels[level]
+        low = np.where(block < v.size, v[np.minimum(block, v.size - 1)], np.inf)
+        return low < limit if strict else low <= limit
+
+    def nearest(self, at: np.ndarray, limit: np.ndarray, side: int, strict: bool = False) -> np.ndarray:
+        """Nearest sample before (``side`` -1) or after (+1) each ``at`` that is at most ``limit``
+        (below it if ``strict``); -1 if there is none."""
+        n = self.levels[0].size
+        out = np.full(at.size, -1, np.int64)
+        edge = at.astype(np.int64) if side < 0 else at.astype(np.int64) + 1  # first place not looked at, or the next one
+        todo = np.arange(at.size)
+        block, depth = np.zeros(at.size, np.int64), np.zeros(at.size, np.int64)
+        found = np.zeros(at.size, bool)
+        # up: single blocks beside the edge, twice as large each time
+        for level in range(len(self.levels)):
+            todo = todo[(edge[todo] > 0) if side < 0 else (edge[todo] < n)]
+            if not todo.size:
+                break
+            odd = todo[(edge[todo] >> level) & 1 == 1]
+            b = (edge[odd] >> level) - (side < 0)
+            hit = self._meets(level, b, limit[odd], strict)
+            block[odd[hit]], depth[odd[hit]], found[odd[hit]] = b[hit], level, True
+            edge[odd] += side * (1 << level)
+            todo = todo[~found[todo]]
+        # down: the half that is nearer, if it holds one
+        for level in range(len(self.levels) - 2, -1, -1):
+            go = np.flatnonzero(found & (depth > level))
+            if go.size:
+                near = 2 * block[go] + (side < 0)
+                hit = self._meets(level, near, limit[go], strict)
+                block[go] = np.where(hit, near, 2 * block[go] + (side > 0))
+        out[found] = block[found]
+        return out
+
+    def lowest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least sample of each range from ``a`` to before ``b`` (infinite if empty)."""
+        a, b, out = a.astype(np.int64), b.astype(np.int64), np.full(a.size, np.inf)
+        for v in self.levels:
+            some = a < b
+            if not some.any():
+                break
+            left, right = some & (a & 1 == 1), some & (b & 1 == 1)
+            out[left] = np.minimum(out[left], v[a[left]])
+            out[right] = np.minimum(out[right], v[b[right] - 1])
+            a, b = (a + 1) >> 1, b >> 1
+        return out
 
 
 def prominences(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Height above the higher of the two side minima, each side reaching to the
-    nearest strictly higher sample (or the end).  ``pos`` ascending."""
+    nearest strictly higher sample (or the end)."""
     if pos.size == 0:
         return np.empty(0)
-    n = x.size
-    marks = np.union1d(local_maxima(x), pos)
-    inner = marks[(marks > 0) & (marks < n - 1)]
-    marks = np.concatenate(([0], inner, [n - 1]))
-    h = x[marks]
-    low = np.minimum(np.minimum.reduceat(x, marks[:-1]), h[1:])  # minimum between neighbours
-
-    def side(heights, lows):
-        out = np.empty(heights.size)
-        stack: list[tuple[float, float]] = []
-        out[0] = heights[0]
-        stack.append((heights[0], np.inf))
-        for i in range(1, heights.size):
-            m, a = lows[i - 1], heights[i]
-            while stack and stack[-1][0] <= a:
-                m = min(m, stack.pop()[1])
-            out[i] = min(m, a)
-            stack.append((a, m))
-        return out
-
-    left = side(h, low)
-    right = side(h[::-1], low[::-1])[::-1]
-    at = np.searchsorted(marks, pos)
-    return x[pos] - np.maximum(left[at], right[at])
+    low, high = RangeTable(x), RangeTable(-x)
+    left = high.nearest(pos, -x[pos], -1, strict=True)
+    right = high.nearest(pos, -x[pos], 1, strict=True)
+    right = np.where(right < 0, x.size, right)
+    return x[pos] - np.maximum(low.lowest(left + 1, pos + 1), low.lowest(pos, right))
 
 
 def half_widths(x: np.ndarray, pos: np.ndarray, prom: np.ndarray) -> np.ndarray:
     """Width in samples where the flanks cross ``amp - prom/2`` (linear interpolation)."""
-    out = np.zeros(pos.size)
-    n = x.size
-    for k in range(pos.size):
-        p = int(pos[k])
-        h = x[p] - 0.5 * prom[k]
-        i = p
-        step = 16
-        while i > 0 and x[i] > h:  # nearest sample at or below h, searched in growing blocks
-            lo = max(0, i - step)
-            hit = np.flatnonzero(x[lo:i] <= h)
-            if hit.size:
-                i = lo + int(hit[-1])
-                break
-            i, step = lo, step * 4
-        left = float(i)
-        if x[i] < h:
-            left += (h - x[i]) / (x[i + 1] - x[i])
-        j = p
-        step = 16
-        while j < n - 1 and x[j] > h:
-            hi = min(n, j + 1 + step)
-            hit = np.flatnonzero(x[j + 1:hi] <= h)
-            if hit.size:
-                j = j + 1 + int(hit[0])
-                break
-            j, step = hi - 1, step * 4
-        right = float(j)
-        if x[j] < h:
-            right -= (h - x[j]) / (x[j - 1] - x[j])
-        out[k] = right - left
-    return out
+    if pos.size == 0:
+        return np.empty(0)
+    n, table = x.size, RangeTable(x)
+    h = x[pos] - 0.5 * prom
+    flat = x[pos] <= h
+    i, j = table.nearest(pos, h, -1), table.nearest(pos, h, 1)
+    i = np.where(flat, pos, np.where(i < 0, 0, i))
+    j = np.where(flat, pos, np.where(j < 0, n - 1, j))
+
+    def cross(at, back):  # share of a sample from ``at`` towards the peak
+        below = x[at] < h
+        rise = np.where(below, x[np.clip(back, 0, n - 1)] - x[at], 1.0)
+        return np.where(below, (h - x[at]) / rise, 0.0)
+
+    return (j - cross(j, j - 1)) - (i + cross(i, i + 1))
 
 
 def find_peaks(x, min_prom=None, distance=1, min_width=None, max_width=None):
     """Maxima -> distance -> prominence -> width.  Returns ``(pos, prom, width)``."""
     pos = local_maxima(x)
-    pos = pos[thin_by_distance(pos, x[pos], distance)]
+    pos = pos[thin(pos, x[pos], int(np.ceil(distance)), np.full(pos.size, -1, np.int8), np.ones(pos.size, bool)) == 1]
     prom = prominences(x, pos)
     if min_prom is not None:
         k = prom >= min_prom
@@ -121,15 +190,50 @@ def find_peaks(x, min_prom=None, distance=1, min_width=None, max_width=None):
 
 
 def sliding_rank(padded: np.ndarray, win: int, rank: int) -> np.ndarray:
-    """Order statistic ``rank`` of every full window of ``win`` samples."""
-    buf = sorted(padded[:win].tolist())
-    out = np.empty(padded.size - win + 1)
-    out[0] = buf[rank]
-    for i in range(1, out.size):
-        del buf[bisect_left(buf, padded[i - 1])]
-        insort(buf, padded[i + win - 1])
-        out[i] = buf[rank]
-    return out
+    """Order statistic ``rank`` of every full window of ``win`` samples.
+
+    Windows are taken in blocks.  Within a block samples are replaced by their ranks, which are
+    split bit by bit from the highest; counts of zeros before each place then lead all windows
+    of the block at once to the rank they look for.
+    """
+    total = padded.size - win + 1
+    step = 1 << max(8, (2 * win).bit_length())
+    size = step + win - 1
+    rows = -(-total // step)
+    whole = np.concatenate([padded, np.full(rows * step + win - 1 - padded.size, padded[-1])])
+    blocks = np.lib.stride_tricks.sliding_window_view(whole, size)[::step]
+    some = max(1, (1 << 15) // size)
+    return np.concatenate([_block_ranks(blocks[k : k + some], step, win, rank).ravel() for k in range(0, rows, some)])[:total]
+
+
+def _block_ranks(x: np.ndarray, step: int, win: int, rank: int) -> np.ndarray:
+    rows, size = x.shape
+    order = np.argsort(x, axis=1, kind="stable")
+    start = (np.arange(rows, dtype=np.int32) * np.int32(size + 1))[:, None]  # of a row; places are counted through
+    place = start + np.arange(size, dtype=np.int32)
+    current = np.empty((rows, size), np.int32)
+    np.put_along_axis(current, order, np.arange(size, dtype=np.int32)[None, :], 1)
+    low, many = place[:, :step].copy(), np.full((rows, step), win, np.int32)
+    want, found = np.full((rows, step), rank, np.int32), np.zeros((rows, step), np.int32)
+    zero = np.empty((rows, size + 1), np.int32)  # where a place goes if its bit is zero
+    split = np.empty(rows * (size + 1), np.int32)
+    for bit in range((size - 1).bit_length() - 1, -1, -1):
+        one = (current >> bit) & 1
+        zero[:, :1] = start
+        np.cumsum(1 - one, axis=1, out=zero[:, 1:])
+        zero[:, 1:] += start
+        first = zero[:, -1:]  # place of the first one
+        a = zero.ravel().take(low)
+        zeros = zero.ravel().take(low + many) - a
+        up = want >= zeros
+        want -= zeros * up
+        found += up.astype(np.int32) << np.int32(bit)
+        low = np.where(up, low + first - a, a)
+        many = np.where(up, many - zeros, zeros)
+        if bit:
+            split[np.where(one == 1, place + first - zero[:, :-1], zero[:, :-1])] = current
+            current = split.reshape(rows, size + 1)[:, :size].copy()
+    return np.take_along_axis(x, np.take_along_axis(order, found.astype(np.int64), 1), 1)
 
 
 def trend_window(n: int, fs: float, window_s: float) -> int:
@@ -164,13 +268,29 @@ def quiet_mad(x: np.ndarray, scale: float) -> float:
 
 
 def lag_products(x: np.ndarray, n_core: int, max_lag: int) -> np.ndarray:
-    """sum over core i of x[i]*x[i+lag] for lag 0..max_lag (x holds a right halo)."""
-    m = min(max_lag, x.size - 1)
-    out = np.zeros(max_lag + 1)
-    if n_core:
-        padded = np.concatenate((x, np.zeros(max(0, n_core + m - x.size))))
-        out[: m + 1] = np.correlate(padded[: n_core + m], x[:n_core], mode="valid")
-    return out
+    """sum over core i of x[i]*x[i+lag] for lag 0..max_lag (x holds a right halo).
+
+    Blocks of the core are transformed together with what follows them within ``max_lag``;
+    their products are added before the one transform back.
+    """
+    if not n_core:
+        return np.zeros(max_lag + 1)
+    size = 1 << max(10, (4 * max_lag + 1).bit_length())  # of a transform
+    step = size - max_lag
+    rows = -(-n_core // step)
+    whole = np.zeros((rows - 1) * step + size)
+    part = x[: n_core + max_lag][: whole.size]
+    whole[: part.size] = part
+    blocks = np.lib.stride_tricks.sliding_window_view(whole, size)[::step]
+    sums = np.zeros(size // 2 + 1, complex)
+    some = max(1, (1 << 20) // size)
+    for k in range(0, rows, some):
+        core = blocks[k : k + some].copy()
+        core[:, step:] = 0.0
+        if k + some >= rows:
+            core[-1, max(0, n_core - (rows - 1) * step):] = 0.0
+        sums += (np.conj(np.fft.rfft(core, axis=1)) * np.fft.rfft(blocks[k : k + some], axis=1)).sum(axis=0)
+    return np.fft.irfft(sums, size)[: max_lag + 1]
 
 
 def dominant_lag(acf: np.ndarray, lo: int, hi: int) -> tuple[int, float]:

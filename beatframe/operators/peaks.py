@@ -63,22 +63,16 @@ def local_maxima(samples: DataFrame, keys: list[str], lay: Layout) -> DataFrame:
 
 
 def thin_peaks(peaks: DataFrame, keys: list[str], lay: Layout, distance: Column) -> DataFrame:
-    """Distance suppression: the highest peak removes lower ones closer than ``distance``.
+    """Distance suppression: the highest peak removes lower ones closer than ``distance``."""
+    from .greedy import in_rounds
 
-    Peaks further apart than ``distance`` never interact, so runs of closer peaks
-    are independent units; short segments are processed whole.
-    """
-    d = peaks.withColumn("_dist", F.ceil(distance).cast("double"))
-    group = keys
-    if lay.long:
-        d = lay.islands(d, keys, F.col("_dist") - 1)
-        group = keys + ["island"]
+    d = peaks.select(*keys, "idx", "amp", F.ceil(distance).cast("int").alias("_dist"))
 
-    def run(c):
-        k = K.thin_by_distance(c["idx"], c["amp"], float(c["_dist"][0]))
-        return {"idx": c["idx"][k], "amp": c["amp"][k]}
+    def decide(c, state, own):
+        return K.thin(c["idx"].astype(np.int64), c["amp"], int(c["_dist"][0]), state, own)
 
-    return arrow_groups(d.select(*group, "idx", "amp", "_dist"), group, keys, [("idx", "int"), ("amp", "double")], run)
+    low, high = F.greatest(F.col("idx") - F.col("_dist"), F.lit(0)), F.col("idx") + F.col("_dist")
+    return in_rounds(d, keys, lay, low, high, decide).select(*keys, "idx", "amp")
 
 
 def seek(queries: DataFrame, samples: DataFrame, keys: list[str], lay: Layout, higher: bool) -> DataFrame:
@@ -87,76 +81,86 @@ def seek(queries: DataFrame, samples: DataFrame, keys: list[str], lay: Layout, h
     ``queries``: ``keys, qid, idx, thr, side``; looks from ``idx`` towards ``side``
     (-1/+1) for the first ``x > thr`` (``higher``) or ``x <= thr``.  Adds ``low``
     (minimum on the way), ``pos`` and the samples ``xa`` at ``pos`` and ``xb`` one
-    step back.  A query meets its own chunk, then at most one other chunk, found
-    from per-chunk minima and maxima.
+    step back.  A query meets its own chunk; if that holds no such sample, the extremes of
+    the segment's chunks name the one chunk that does, and the minimum up to it.  In all
+    three places the queries of a chunk are answered together by a table of ranges.
     """
     ship_package(samples.sparkSession)
     reach, _, group = lay.frame(samples.select(*keys, "idx", "x"), keys, 1)
     reach = reach.select(*group, "idx", "x", "_core")
-    out_fields = [
-        ("qid", "bigint"), ("side", "int"), ("thr", "double"), ("start", "int"),
-        ("low", "double"), ("pos", "int"), ("xa", "double"), ("xb", "double"),
-    ]
-    schema = T.StructType(
-        key_fields(queries, keys) + [T.StructField("_chunk", T.LongType())]
-        + [T.StructField(n, T._parse_datatype_string(t)) for n, t in out_fields]
-    )
-    from pyspark.sql.pandas.types import to_arrow_schema
+    sign = -1.0 if higher else 1.0
 
-    arrow = to_arrow_schema(schema)
+    def schema(*fields):
+        made = T.StructType(key_fields(queries, keys) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        return made, to_arrow_schema(made)
+
+    asked = ("qid", "bigint"), ("side", "int"), ("thr", "double")
+    met_schema, met_arrow = schema(("_chunk", "bigint"), *asked, ("low", "double"), ("pos", "int"), ("xa", "double"), ("xb", "double"))
+
+    def answer(q: pa.Table, s: pa.Table) -> pa.Table:
         if q.num_rows == 0 or s.num_rows == 0:
-            return arrow.empty_table()
+            return met_arrow.empty_table()
         i = s.column("idx").to_numpy()
         order = np.argsort(i)
         i, x, core = i[order], s.column("x").to_numpy()[order], s.column("_core").to_numpy(zero_copy_only=False)[order]
-        first, last = int(np.flatnonzero(core)[0]), int(np.flatnonzero(core)[-1])
-        rows = []
-        for r in q.to_pylist():
-            side, thr = r["side"], r["thr"]
-            at = min(max(int(np.searchsorted(i, r["idx"])), first), last)
-            lo, hi = (first, at) if side < 0 else (at, last)
-            part = x[lo:hi + 1]
-            hit = np.flatnonzero(part > thr if higher else part <= thr)
-            if hit.size:
-                p = lo + int(hit[-1] if side < 0 else hit[0])
-                between = x[p:hi + 1] if side < 0 else x[lo:p + 1]
-                back = p - side
-                xb = float(x[back]) if 0 <= back < x.size else None
-                rows.append((float(between.min()), int(i[p]), float(x[p]), xb))
-            else:
-                rows.append((float(part.min()), None, None, None))
+        first, last = np.flatnonzero(core)[[0, -1]]
+        side, thr, at = (q.column(c).to_numpy() for c in ("side", "thr", "idx"))
+        at = np.clip(np.searchsorted(i, at), first, last)
+        beyond, low = K.RangeTable(sign * x), K.RangeTable(x)
+        pos = np.full(at.size, -1, np.int64)
+        for way in (-1, 1):
+            mine = side == way
+            pos[mine] = beyond.nearest(at[mine], sign * thr[mine], way, strict=higher)
+        pos = np.where(x[at] > thr if higher else x[at] <= thr, at, pos)
+        found = (pos >= first) & (pos <= last)
+        end = np.where(found, pos, np.where(side < 0, first, last))
+        back = pos - side
+        known = found & (back >= 0) & (back < x.size)
         cols = {c: q.column(c) for c in keys + ["_chunk", "qid", "side", "thr"]}
-        cols["start"] = q.column("idx")
-        for n, v in zip(("low", "pos", "xa", "xb"), zip(*rows)):
-            cols[n] = pa.array(v)
-        return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+        cols["low"] = pa.array(low.lowest(np.minimum(at, end), np.maximum(at, end) + 1))
+        for name, v, ok in (("pos", i, found), ("xa", x, found)):
+            cols[name] = pa.array(v[np.where(ok, pos, 0)], mask=~ok)
+        cols["xb"] = pa.array(x[np.where(known, back, 0)], mask=~known)
+        return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in met_arrow], schema=met_arrow)
 
     def visit(q):
         q = q.select(*keys, "_chunk", F.col("qid").cast("bigint"), F.col("side").cast("int"), F.col("thr").cast("double"), F.col("idx").cast("int"))
-        return q.groupBy(*group).cogroup(reach.groupBy(*group)).applyInArrow(run, schema)
+        return q.groupBy(*group).cogroup(reach.groupBy(*group)).applyInArrow(answer, met_schema)
 
     own = settle(visit(queries.withColumn("_chunk", lay.chunk("idx"))))
-    chunks = reach.where("_core").groupBy(*group).agg(F.max("x").alias("_mx"), F.min("x").alias("_mn"))
-    open_q = own.where("pos is null").withColumnRenamed("_chunk", "_from")
-    beyond = F.col("_mx") > F.col("thr") if higher else F.col("_mn") <= F.col("thr")
-    ahead = (F.col("_chunk") - F.col("_from")) * F.col("side")
-    met = open_q.join(chunks, keys, "left").where("_chunk is null or (_chunk - _from) * side > 0")
-    qk = keys + ["qid", "side", "thr", "start", "_from", "low"]
-    target = met.groupBy(*qk).agg(
-        F.min(F.when(beyond, ahead)).alias("_step"),
-        F.array_sort(F.collect_list(F.struct(ahead.alias("a"), F.col("_mn").alias("m")))).alias("_mins"),
-    )
-    passed = F.filter("_mins", lambda e: F.col("_step").isNull() | (e["a"] < F.col("_step")))
-    target = target.withColumn("_between", F.array_min(F.transform(passed, lambda e: e["m"])))
-    target = target.withColumn("_chunk", F.col("_from") + F.col("_step") * F.col("side"))
+    open_q = own.where("pos is null").select(*keys, F.col("_chunk").alias("_from"), "qid", "side", "thr")
+    far_schema, far_arrow = schema(*asked, ("_chunk", "bigint"), ("_between", "double"))
+
+    def choose(q: pa.Table, c: pa.Table) -> pa.Table:
+        if q.num_rows == 0:
+            return far_arrow.empty_table()
+        order = np.argsort(c.column("_chunk").to_numpy())
+        chunk, mx, mn = (c.column(n).to_numpy()[order] for n in ("_chunk", "_mx", "_mn"))
+        beyond, low = K.RangeTable(sign * (mx if higher else mn)), K.RangeTable(mn)
+        side, thr = q.column("side").to_numpy(), q.column("thr").to_numpy()
+        here = np.full(side.size, np.searchsorted(chunk, q.column("_from")[0].as_py()))
+        to = np.full(side.size, -1, np.int64)
+        for way in (-1, 1):
+            mine = side == way
+            to[mine] = beyond.nearest(here[mine], sign * thr[mine], way, strict=higher)
+        end = np.where(to >= 0, to, np.where(side < 0, -1, chunk.size))
+        between = low.lowest(np.minimum(here, end) + 1, np.maximum(here, end))
+        cols = {n: q.column(n) for n in keys + ["qid", "side", "thr"]}
+        cols["_chunk"] = pa.array(chunk[np.maximum(to, 0)], mask=to < 0)
+        cols["_between"] = pa.array(between)
+        return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in far_arrow], schema=far_arrow)
+
+    chunks = settle(reach.where("_core").groupBy(*group).agg(F.max("x").alias("_mx"), F.min("x").alias("_mn")))
+    every = open_q.select(*keys, "_from").distinct().join(chunks, keys)
+    target = settle(open_q.groupBy(*keys, "_from").cogroup(every.groupBy(*keys, "_from")).applyInArrow(choose, far_schema))
     edge = F.when(F.col("side") < 0, (F.col("_chunk") + 1) * lay.size - 1).otherwise(F.col("_chunk") * lay.size)
-    far = visit(target.where("_step is not null").withColumn("idx", edge)).select(
+    far = visit(target.where("_chunk is not null").withColumn("idx", edge)).select(
         *keys, "qid", "side", F.col("low").alias("_flow"), F.col("pos").alias("_fpos"), F.col("xa").alias("_fxa"), F.col("xb").alias("_fxb")
     )
     rest = target.select(*keys, "qid", "side", "_between").join(far, keys + ["qid", "side"], "left")
-    return own.drop("_chunk", "start", "thr").join(rest, keys + ["qid", "side"], "left").select(
+    return own.drop("_chunk", "thr").join(rest, keys + ["qid", "side"], "left").select(
         *keys, "qid", "side",
         F.least("low", "_between", "_flow").alias("low"),
         F.coalesce("pos", "_fpos").alias("pos"),
@@ -174,11 +178,11 @@ def prominence_width(peaks: DataFrame, samples: DataFrame, keys: list[str], lay:
     """Add ``prom`` and ``width`` (samples) to given peak positions ``keys, idx, amp``."""
     if not lay.long:
         flagged = samples.select(*keys, "idx", "x").join(
-            peaks.select(*keys, "idx", F.lit(True).alias("_pk")), keys + ["idx"], "left"
+            peaks.select(*keys, "idx", F.lit(1).alias("_pk")), keys + ["idx"], "left"
         )
 
         def run(c):
-            at = np.flatnonzero(np.array([v is True or v == True for v in c["_pk"]]))  # noqa: E712
+            at = np.flatnonzero(c["_pk"] == 1)
             if at.size == 0:
                 return {}
             prom = K.prominences(c["x"], at)

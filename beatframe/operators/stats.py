@@ -83,17 +83,28 @@ def moving_average(samples: DataFrame, keys: list[str], lay: Layout, ms: float =
     return arrow_groups(rows, group, keys, [("idx", "int"), ("x", "double"), ("fs", "double"), ("smooth", "double")], run)
 
 
+def _bridged(samples: DataFrame, keys: list[str], lay: Layout) -> DataFrame:
+    """Non-finite samples on the line between the finite ones beside them (held at the ends)."""
+    x, i = F.col("x"), F.col("idx")
+    known = F.when(F.abs(x) < float("inf"), F.struct(i.alias("i"), x.alias("v")))
+    d = lay.scan(samples, keys, ["idx"], _a=Scan("ffill", known), _b=Scan("bfill", known))
+    a, b = F.col("_a"), F.col("_b")
+    line = (b["v"] - a["v"]) / F.greatest(b["i"] - a["i"], F.lit(1)) * (i - a["i"]) + a["v"]
+    return d.withColumn("x", F.coalesce(F.when(known.isNotNull(), x), line, a["v"], b["v"])).drop("_a", "_b")
+
+
 def rolling_trend(
     samples: DataFrame, keys: list[str], lay: Layout,
     window_s: Column | float = DETECTOR.drift_window_s, quantile: float = DETECTOR.drift_quantile,
 ) -> DataFrame:
     """Sliding order statistic with mirrored edges as column ``trend`` (null when
-    fewer than 30 samples).  A sorted buffer per bounded group costs O(log w) per
-    sample; a JVM frame would re-sort ``w`` values for every sample."""
+    fewer than 30 samples).  Gaps of non-finite samples are bridged between the finite
+    samples beside them, however far these are; a JVM frame would re-sort the window for
+    every sample, so the order statistic is taken in NumPy, many windows at once."""
     ws = window_s if isinstance(window_s, Column) else F.lit(float(window_s))
     q = float(np.clip(quantile, 0.01, 0.99))
     d = samples.withColumn("_ws", ws)
-    d = lay.with_aggs(d, keys, _n=F.count(F.lit(1)))
+    d = lay.with_aggs(_bridged(d, keys, lay) if lay.long else d, keys, _n=F.count(F.lit(1)))
     widest = (samples.agg(F.max(ws)).first()[0] or 0.0) if isinstance(window_s, Column) else 0.0
     reach = max(31, round(float(widest) * lay.max_fs)) // 2 + 16 if isinstance(window_s, Column) else max(31, round(float(window_s) * lay.max_fs)) // 2 + 1
     rows, _, group = lay.frame(d.select(*keys, "idx", "x", "fs", "_ws", "_n"), keys, reach)
@@ -111,7 +122,7 @@ def rolling_trend(
         j = np.arange(int(at[0]) - h, int(at[-1]) + h + 1)
         j = np.where(j < 0, -1 - j, np.where(j >= n, 2 * n - 1 - j, j))
         x, known = c["x"], np.isfinite(c["x"])
-        if known.any() and not known.all():  # gaps are bridged, as one NaN would spoil every window after it
+        if known.any() and not known.all():  # a whole segment; chunks are bridged before they are cut
             x = np.interp(c["idx"], c["idx"][known], x[known])
         padded = x[j - int(c["idx"][0])]
         return {"idx": at, "trend": K.sliding_rank(padded, win, int(win * (100.0 * q) / 100.0))}

@@ -44,8 +44,9 @@ def test_plateaus():
 
 def test_distance_prefers_high_then_late():
     pos, amp = np.array([1, 3, 5, 9]), np.array([1.0, 2.0, 2.0, 0.5])
-    assert K.thin_by_distance(pos, amp, 3).tolist() == [True, False, True, True]
-    assert K.thin_by_distance(pos, amp, 1).all()
+    every = np.full(4, -1, np.int8), np.ones(4, bool)
+    assert K.thin(pos, amp, 3, *every).tolist() == [1, 0, 1, 1]
+    assert (K.thin(pos, amp, 1, *every) == 1).all()
 
 
 def test_sliding_rank_and_lags():

@@ -53,6 +53,14 @@ def test_trend_and_period(signal):
     same(lambda lay: A.dominant_period(signal, K, lay))
 
 
+def test_trend_bridges_gaps_wider_than_a_chunk(signal):
+    """Chunks of 25 samples; gaps of 60 and at both ends, null and infinite samples."""
+    hole = F.col("idx").between(40, 99) | (F.col("idx") < 7) | (F.col("idx") > 125)
+    gappy = settle(signal.withColumn("x", F.when(hole & (F.col("idx") % 2 == 0), F.lit(None)).when(hole, F.lit(float("nan"))).when(F.col("idx") == 20, F.lit(float("inf"))).otherwise(F.col("x"))))
+    same(lambda lay: A.rolling_trend(gappy, K, lay, 2.0, 0.2).select("segment_no", "idx", "trend"), "idx")
+    assert A.rolling_trend(gappy, K, CUT, 2.0, 0.2).where("trend is null or isnan(trend)").count() == 0
+
+
 def test_artifacts(spark, signal):
     spiked = settle(signal.withColumn("x", F.when((F.col("idx") == 50) & (F.col("segment_no") == 1), 90.0).otherwise(F.col("x"))))
     same(lambda lay: V.vertical_lines(spiked, K, lay), "idx")
