@@ -29,13 +29,15 @@ def within(places: list, at: int, distance: int) -> bool:
     return (j < len(places) and places[j] - at < distance) or (j > 0 and at - places[j - 1] < distance)
 
 
-def thin(idx: np.ndarray, amp: np.ndarray, distance: int, state: np.ndarray, own: np.ndarray, waves: int = 32) -> np.ndarray:
+def thin(idx: np.ndarray, amp: np.ndarray, distance: int | np.ndarray, state: np.ndarray, own: np.ndarray, waves: int = 32) -> np.ndarray:
     """Distance suppression: highest first (later on ties), lower ones closer than ``distance`` go.
 
     All rows above their undecided neighbours are taken at once; a slope that needs more than
-    ``waves`` of that is finished row by row.
+    ``waves`` of that is finished row by row.  ``distance`` may differ between runs of rows
+    that never meet.
     """
     state = state.copy()
+    distance = np.broadcast_to(distance, idx.shape)
     rank = np.empty(len(idx), np.int64)
     order = np.lexsort((idx, amp))
     rank[order] = np.arange(len(idx))
@@ -44,8 +46,8 @@ def thin(idx: np.ndarray, amp: np.ndarray, distance: int, state: np.ndarray, own
         if not taken.size or not left.size:
             return left
         j = np.searchsorted(taken, idx[left])
-        near = (j < taken.size) & (taken[np.minimum(j, taken.size - 1)] - idx[left] < distance)
-        near |= (j > 0) & (idx[left] - taken[np.maximum(j - 1, 0)] < distance)
+        near = (j < taken.size) & (taken[np.minimum(j, taken.size - 1)] - idx[left] < distance[left])
+        near |= (j > 0) & (idx[left] - taken[np.maximum(j - 1, 0)] < distance[left])
         state[left[near]] = DROPPED
         return left[~near]
 
@@ -53,11 +55,11 @@ def thin(idx: np.ndarray, amp: np.ndarray, distance: int, state: np.ndarray, own
     for _ in range(waves):
         if not left.size:
             return state
-        p, r = idx[left], rank[left]
+        p, r, d = idx[left], rank[left], distance[left]
         beaten = ~own[left]
         k = 1
         while k < left.size:
-            close = p[k:] - p[:-k] < distance
+            close = p[k:] - p[:-k] < d[k:]
             if not close.any():
                 break
             up = r[k:] > r[:-k]
@@ -70,10 +72,10 @@ def thin(idx: np.ndarray, amp: np.ndarray, distance: int, state: np.ndarray, own
         left = clear(p[~beaten], left[beaten])
     taken, waiting = idx[state == TAKEN].tolist(), []
     for e in left[np.argsort(-rank[left])].tolist():
-        at = int(idx[e])
-        if within(taken, at, distance):
+        at, far = int(idx[e]), int(distance[e])
+        if within(taken, at, far):
             state[e] = DROPPED
-        elif not own[e] or within(waiting, at, distance):
+        elif not own[e] or within(waiting, at, far):
             insort(waiting, at)
         else:
             state[e] = TAKEN
@@ -141,52 +143,81 @@ class RangeTable:
         return out
 
 
+class Signals:
+    """Several signals one after another, parted by walls that are higher than any sample."""
+
+    def __init__(self, x: np.ndarray, off: np.ndarray) -> None:
+        self.group = np.repeat(np.arange(off.size - 1), np.diff(off))
+        self.first, self.last = off[:-1] + np.arange(1, off.size), off[1:] + np.arange(0, off.size - 1)
+        self.x = np.full(x.size + off.size, np.inf)
+        self.x[np.arange(x.size) + self.group + 1] = x
+        self.low, self.high = RangeTable(self.x), RangeTable(-self.x)
+
+    def maxima(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places (among samples and walls) and signals of all local maxima."""
+        at = local_maxima(self.x)
+        at = at[self.x[at] < np.inf]
+        return at, np.searchsorted(self.first, at, "right") - 1
+
+    def prominences(self, at: np.ndarray) -> np.ndarray:
+        """Height above the higher of the two side minima, each side reaching to the
+        nearest strictly higher sample (or the end)."""
+        left = self.high.nearest(at, -self.x[at], -1, strict=True)
+        right = self.high.nearest(at, -self.x[at], 1, strict=True)
+        return self.x[at] - np.maximum(self.low.lowest(left + 1, at + 1), self.low.lowest(at, right))
+
+    def half_widths(self, at: np.ndarray, of: np.ndarray, prom: np.ndarray) -> np.ndarray:
+        """Width in samples where the flanks cross ``amp - prom/2`` (linear interpolation)."""
+        h = self.x[at] - 0.5 * prom
+        flat = self.x[at] <= h
+        i, j = self.low.nearest(at, h, -1), self.low.nearest(at, h, 1)
+        i = np.where(flat, at, np.maximum(i, self.first[of]))
+        j = np.where(flat, at, np.where(j < 0, self.last[of], np.minimum(j, self.last[of])))
+
+        def cross(end, back):  # share of a sample from ``end`` towards the peak
+            below = self.x[end] < h
+            rise = np.where(below, np.where(below, self.x[back], 1.0) - self.x[end], 1.0)
+            return np.where(below, (h - self.x[end]) / rise, 0.0)
+
+        return (j - cross(j, j - 1)) - (i + cross(i, i + 1))
+
+
 def prominences(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Height above the higher of the two side minima, each side reaching to the
-    nearest strictly higher sample (or the end)."""
-    if pos.size == 0:
-        return np.empty(0)
-    low, high = RangeTable(x), RangeTable(-x)
-    left = high.nearest(pos, -x[pos], -1, strict=True)
-    right = high.nearest(pos, -x[pos], 1, strict=True)
-    right = np.where(right < 0, x.size, right)
-    return x[pos] - np.maximum(low.lowest(left + 1, pos + 1), low.lowest(pos, right))
+    return Signals(x, np.array([0, x.size])).prominences(pos + 1)
 
 
 def half_widths(x: np.ndarray, pos: np.ndarray, prom: np.ndarray) -> np.ndarray:
-    """Width in samples where the flanks cross ``amp - prom/2`` (linear interpolation)."""
-    if pos.size == 0:
-        return np.empty(0)
-    n, table = x.size, RangeTable(x)
-    h = x[pos] - 0.5 * prom
-    flat = x[pos] <= h
-    i, j = table.nearest(pos, h, -1), table.nearest(pos, h, 1)
-    i = np.where(flat, pos, np.where(i < 0, 0, i))
-    j = np.where(flat, pos, np.where(j < 0, n - 1, j))
+    return Signals(x, np.array([0, x.size])).half_widths(pos + 1, np.zeros(pos.size, np.int64), prom)
+
+
+def find_peaks_many(x, off, min_prom=None, distance=1, min_width=None, max_width=None):
+    """Maxima -> distance -> prominence -> width of many signals (``x[off[g]:off[g + 1]]``).
 
-    def cross(at, back):  # share of a sample from ``at`` towards the peak
-        below = x[at] < h
-        rise = np.where(below, x[np.clip(back, 0, n - 1)] - x[at], 1.0)
-        return np.where(below, (h - x[at]) / rise, 0.0)
+    Limits are numbers or one number a signal (NaN: no limit).  Returns signal, position in
+    it, prominence and width of every peak, in order."""
+    off = np.asarray(off, np.int64)
+    s = Signals(np.asarray(x, float), off)
+    at, of = s.maxima()
 
-    return (j - cross(j, j - 1)) - (i + cross(i, i + 1))
+    def limit(v):
+        return np.broadcast_to(np.nan if v is None else np.asarray(v, float), off.size - 1)[of]
+
+    far = np.ceil(limit(distance)).astype(np.int64)
+    apart = at + of * (far.max() if far.size else 0)  # signals out of each other's reach
+    kept = thin(apart, s.x[at], far, np.full(at.size, UNDECIDED, np.int8), np.ones(at.size, bool)) == TAKEN
+    at, of = at[kept], of[kept]
+    prom = s.prominences(at)
+    kept = ~(prom < limit(min_prom))
+    at, of, prom = at[kept], of[kept], prom[kept]
+    width = s.half_widths(at, of, prom)
+    kept = ~(width < limit(min_width)) & ~(width > limit(max_width))
+    at, of = at[kept], of[kept]
+    return of, at - s.first[of], prom[kept], width[kept]
 
 
 def find_peaks(x, min_prom=None, distance=1, min_width=None, max_width=None):
-    """Maxima -> distance -> prominence -> width.  Returns ``(pos, prom, width)``."""
-    pos = local_maxima(x)
-    pos = pos[thin(pos, x[pos], int(np.ceil(distance)), np.full(pos.size, -1, np.int8), np.ones(pos.size, bool)) == 1]
-    prom = prominences(x, pos)
-    if min_prom is not None:
-        k = prom >= min_prom
-        pos, prom = pos[k], prom[k]
-    width = half_widths(x, pos, prom)
-    if min_width is not None:
-        k = width >= min_width
-        if max_width is not None:
-            k &= width <= max_width
-        pos, prom, width = pos[k], prom[k], width[k]
-    return pos, prom, width
+    """One signal: ``(pos, prom, width)``."""
+    return find_peaks_many(x, [0, x.size], min_prom, distance, min_width, max_width)[1:]
 
 
 def sliding_rank(padded: np.ndarray, win: int, rank: int) -> np.ndarray:
@@ -252,19 +283,29 @@ def odd_window(fs: float, ms: float, least: int = 3) -> int:
     return k + (k % 2 == 0)
 
 
-def moving_average(x: np.ndarray, fs: float, ms: float) -> np.ndarray:
-    k = odd_window(fs, ms)
-    if x.size < k:
+def row_averages(x: np.ndarray, fs: float, ms: float) -> np.ndarray:
+    """Centred mean of every row; edges are zero padded, rows shorter than the window unchanged."""
+    k, n = odd_window(fs, ms), x.shape[1]
+    if n < k:
         return x.copy()
-    return np.convolve(x, np.ones(k) / k, mode="same")
+    padded = np.pad(x, ((0, 0), (k // 2, k // 2)))
+    return sum(padded[:, j : j + n] * (1.0 / k) for j in range(k))
+
 
+def row_quiet_mad(x: np.ndarray, scale: float) -> np.ndarray:
+    """Scaled MAD of the lowest 30 percent of every row."""
+    n = x.shape[1]
+    many = (x <= np.percentile(x, 30, axis=1, keepdims=True)).sum(axis=1)
+    many = np.where(many < 5, n, many)
+    at = np.arange(x.shape[0])
 
-def quiet_mad(x: np.ndarray, scale: float) -> float:
-    """Scaled MAD of the lowest 30 percent."""
-    q = x[x <= np.percentile(x, 30)]
-    if q.size < 5:
-        q = x
-    return max(float(np.median(np.abs(q - np.median(q)))) * scale, 1e-12)
+    def middle(ordered):
+        return (ordered[at, (many - 1) // 2] + ordered[at, many // 2]) / 2
+
+    ordered = np.sort(x, axis=1)
+    away = np.abs(ordered - middle(ordered)[:, None])
+    away[np.arange(n)[None, :] >= many[:, None]] = np.inf
+    return np.maximum(middle(np.sort(away, axis=1)) * scale, 1e-12)
 
 
 def lag_products(x: np.ndarray, n_core: int, max_lag: int) -> np.ndarray:
@@ -304,13 +345,22 @@ def dominant_lag(acf: np.ndarray, lo: int, hi: int) -> tuple[int, float]:
     return best, float(acf[best])
 
 
-def periodicity(x: np.ndarray, fs: float) -> float:
-    """Autocorrelation value at the dominant lag of one bounded trace."""
-    if x.size < int(0.5 * fs):
-        return 0.0
-    z = x - np.median(x)
-    if float(np.std(z)) < 1e-12:
-        return 0.0
-    hi = min(x.size - 1, int(2.0 * fs))
-    acf = lag_products(z, z.size, hi)
-    return dominant_lag(acf / max(acf[0], 1e-12), max(2, int(0.15 * fs)), hi)[1]
+def row_periodicities(x: np.ndarray, fs: float) -> np.ndarray:
+    """Autocorrelation value at the dominant lag of every row."""
+    rows, n = x.shape
+    out = np.zeros(rows)
+    z = x - np.median(x, axis=1, keepdims=True)
+    lo, hi = max(2, int(0.15 * fs)), min(n - 1, int(2.0 * fs))
+    some = np.flatnonzero(np.std(z, axis=1) >= 1e-12)
+    if n < int(0.5 * fs) or hi <= lo or not some.size:
+        return out
+    size = 1 << (n + hi).bit_length()
+    f = np.fft.rfft(z[some], size, axis=1)
+    acf = np.fft.irfft(f * np.conj(f), size, axis=1)[:, : hi + 1]
+    acf /= np.maximum(acf[:, :1], 1e-12)
+    part = acf[:, lo:]
+    of, pos, prom, _ = find_peaks_many(part.ravel(), np.arange(some.size + 1) * part.shape[1], 0.02)
+    order = np.lexsort((pos, -prom, of))  # the most prominent of each row first
+    first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+    out[some[of[first]]] = part[of[first], pos[first]]
+    return out

@@ -21,6 +21,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -74,12 +75,42 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing a table that survives executor loss and reading it back."""
+def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cut lineage by writing a table that survives executor loss and reading it back.
+
+    With ``by`` the table is bucketed and sorted by those columns, so that windows, groups
+    and joins on them (and more) read it without a shuffle.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/beatframe-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"beatframe_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    if not by:
+        df.write.mode("errorifexists").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+class Jobs:
+    """Independent parts of a plan as concurrent jobs: while one waits for its last tasks, or
+    is still being planned, the others use the cluster."""
+
+    def __init__(self, width: int = 6) -> None:
+        self.pool = ThreadPoolExecutor(width)
+
+    def __enter__(self) -> "Jobs":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.pool.shutdown(wait=True, cancel_futures=True)
+
+    def start(self, part, *args):
+        """Begin ``part(*args)``; call the result to wait for it."""
+        return self.pool.submit(part, *args).result
+
+    def all(self, *parts):
+        return [p() for p in [self.start(p) for p in parts]]
 
 
 @dataclass(frozen=True)

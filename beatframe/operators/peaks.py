@@ -153,7 +153,7 @@ def seek(queries: DataFrame, samples: DataFrame, keys: list[str], lay: Layout, h
         return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in far_arrow], schema=far_arrow)
 
     chunks = settle(reach.where("_core").groupBy(*group).agg(F.max("x").alias("_mx"), F.min("x").alias("_mn")))
-    every = open_q.select(*keys, "_from").distinct().join(chunks, keys)
+    every = settle(open_q.select(*keys, "_from").distinct().join(chunks, keys))  # a new table: both sides read open_q
     target = settle(open_q.groupBy(*keys, "_from").cogroup(every.groupBy(*keys, "_from")).applyInArrow(choose, far_schema))
     edge = F.when(F.col("side") < 0, (F.col("_chunk") + 1) * lay.size - 1).otherwise(F.col("_chunk") * lay.size)
     far = visit(target.where("_chunk is not null").withColumn("idx", edge)).select(
@@ -219,31 +219,39 @@ def find_peaks(
     distance: Column,
     min_width: Column | None = None,
     max_width: Column | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Maxima, then distance, prominence and width limits (all in samples).
 
-    Limits are column expressions constant within a key.  Returns
-    ``keys, idx, amp, prom, width``.
+    Limits are column expressions constant within a key.  ``within`` names a column whose
+    values part a key's samples into signals of their own; short ones share a group.
+    Returns ``keys, within, idx, amp, prom, width``.
     """
+    if within and lay.long:
+        return find_peaks(samples, keys + [within], lay, min_prom=min_prom, distance=distance, min_width=min_width, max_width=max_width)
     none = F.lit(None).cast("double")
     d = samples.select(
         *keys, "idx", "x", min_prom.cast("double").alias("_prom"), distance.cast("double").alias("_dist"),
         (none if min_width is None else min_width.cast("double")).alias("_wmin"),
-        (none if max_width is None else max_width.cast("double")).alias("_wmax"),
+        (none if max_width is None else max_width.cast("double")).alias("_wmax"), *([within] if within else []),
     )
     fields = [("idx", "int"), ("amp", "double"), ("prom", "double"), ("width", "double")]
     if not lay.long:
+        part = [(within, samples.schema[within].dataType.simpleString())] if within else []
 
         def run(c):
+            off = np.array([0, len(c["idx"])])
+            if within:
+                order = np.argsort(c[within], kind="stable")
+                c = {k: v[order] for k, v in c.items()}
+                off = np.append(np.flatnonzero(np.diff(c[within], prepend=c[within][0] - 1)), len(order))
             spec = [float(c[s][0]) if c[s][0] is not None else np.nan for s in SPEC]
-            mp, ds, w0, w1 = spec
-            x = c["x"]
-            pos, prom, width = K.find_peaks(
-                x, None if np.isnan(mp) else mp, ds, None if np.isnan(w0) else w0, None if np.isnan(w1) else w1
-            )
-            return {"idx": c["idx"][pos], "amp": x[pos], "prom": prom, "width": width}
-
-        return arrow_groups(d, keys, keys, fields, run)
+            of, pos, prom, width = K.find_peaks_many(c["x"], off, *spec)
+            at = off[of] + pos
+            out = {"idx": c["idx"][at], "amp": c["x"][at], "prom": prom, "width": width}
+            return out | ({within: c[within][at]} if within else {})
+
+        return arrow_groups(d, keys, keys, part + fields, run)
     limits = d.groupBy(*keys).agg(*[F.first(s).alias(s) for s in SPEC])
     p = local_maxima(samples, keys, lay).join(limits, keys)
     kept = settle(thin_peaks(p, keys, lay, F.col("_dist")))
@@ -254,15 +262,15 @@ def find_peaks(
     return p.where(ok).select(*keys, *[f for f, _ in fields])
 
 
-def raw_peaks(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR) -> DataFrame:
-    """Raw peaks with width in seconds.  Add ``tid`` to ``keys`` for the
-    per-transient form.  Needs an ``fs`` column."""
+def raw_peaks(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR, within: str | None = None) -> DataFrame:
+    """Raw peaks with width in seconds; ``within`` as in :func:`find_peaks`.  Needs an
+    ``fs`` column."""
     fs = F.col("fs")
     got = find_peaks(
         samples, keys + ["fs"], lay,
         min_prom=F.lit(p.prom0),
         distance=F.greatest(F.lit(1), (F.lit(p.min_peak_distance_s) * fs).cast("int")),
-        min_width=F.lit(2.0),
+        min_width=F.lit(2.0), within=within,
     )
     got = got.withColumn("width_s", F.col("width") / fs)
     return got.where((F.col("width_s") >= p.min_width_s) & (F.col("width_s") <= p.max_width_s)).drop("width")
@@ -271,5 +279,5 @@ def raw_peaks(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParam
 def peaks_per_transient(mapped: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR) -> DataFrame:
     """Raw peaks inside each transient of at least five samples (``tid`` on samples)."""
     k = keys + ["tid"]
-    d = lay.with_aggs(mapped, k, _n=F.count(F.lit(1))).where("_n >= 5")
-    return raw_peaks(d, k, lay, p)
+    d = lay.with_aggs(mapped.where("tid is not null"), k, _n=F.count(F.lit(1))).where("_n >= 5")
+    return raw_peaks(d, keys, lay, p, within="tid")

@@ -136,14 +136,17 @@ def _correlation(a: Column, b: Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
-def remove_drift(samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR, row_corr: str | None = None):
+def remove_drift(
+    samples: DataFrame, keys: list[str], lay: Layout, p: DetectorParams = DETECTOR, row_corr: str | None = None, by: list[str] | None = None
+):
     """Detect and subtract slow drift.  Returns ``(samples, drift)``.
 
     ``row_corr`` names an optional column with the median trace correlation: very
-    similar traces keep their drift unless it is strong.
+    similar traces keep their drift unless it is strong.  ``by``: columns to bucket the
+    table of trends by.
     """
     # the trend is the costly part: computed once, then read by every branch below
-    s = settle(rolling_trend(samples, keys, lay, p.drift_window_s, p.drift_quantile))
+    s = settle(rolling_trend(samples, keys, lay, p.drift_window_s, p.drift_quantile), by)
     tr, x = F.col("trend"), F.col("x")
     q = lay.quantile_table(s, keys, t5=(tr, 0.05), t50=(tr, 0.5), t95=(tr, 0.95), x5=(x, 0.05), x95=(x, 0.95))
     rc = F.first(row_corr) if row_corr else F.lit(None).cast("double")

@@ -27,7 +27,9 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("beatframe-bench").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites in error messages cost several calls to the JVM for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1).count()
