@@ -22,6 +22,7 @@ import tempfile
 import uuid
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -107,7 +108,7 @@ class Jobs:
 
     def start(self, part, *args):
         """Begin ``part(*args)``; call the result to wait for it."""
-        return self.pool.submit(part, *args).result
+        return self.pool.submit(copy_context().run, part, *args).result
 
     def all(self, *parts):
         return [p() for p in [self.start(p) for p in parts]]

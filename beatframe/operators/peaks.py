@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +21,40 @@ def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
+class Errors:
+    """Errors of kernels, one row a group, in written tables."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys, self.found = keys, []
+
+    def split(self, out: DataFrame) -> DataFrame:
+        """The rows of groups that went well; the others' errors are kept."""
+        out = settle(out)
+        if set(self.keys) <= set(out.columns):
+            self.found.append(out.where("_error is not null").select(*self.keys, "_error"))
+        return out.where("_error is null").drop("_error")
+
+    def table(self, spark, keys: T.StructType) -> DataFrame:
+        out = spark.createDataFrame([], T.StructType([*keys.fields, T.StructField("_error", T.StringType())]))
+        for f in self.found:
+            out = out.unionByName(f)
+        return out
+
+
+_errors: ContextVar[Errors | None] = ContextVar("errors", default=None)
+
+
+@contextmanager
+def collected_errors(keys: list[str]):
+    """Within this, a kernel that raises gives an error row for its group instead of ending
+    the job (groups must carry ``keys``)."""
+    token = _errors.set(Errors(keys))
+    try:
+        yield _errors.get()
+    finally:
+        _errors.reset(token)
+
+
 def arrow_groups(df: DataFrame, group: list[str], keep: list[str], fields: list[tuple[str, str]], fn) -> DataFrame:
     """Run ``fn(columns, first) -> dict of arrays`` once per bounded group.
 
@@ -25,7 +62,11 @@ def arrow_groups(df: DataFrame, group: list[str], keep: list[str], fields: list[
     columns are repeated on the output.
     """
     ship_package(df.sparkSession)
+    errors = _errors.get()
     schema = T.StructType(key_fields(df, keep) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    if errors:
+        schema = schema.add("_error", T.StringType())
+    caught = Exception if errors else ()
     values = [c for c in df.columns if c not in group]
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,15 +77,21 @@ def arrow_groups(df: DataFrame, group: list[str], keep: list[str], fields: list[
         if "idx" in cols:
             order = np.argsort(cols["idx"], kind="stable")
             cols = {c: v[order] for c, v in cols.items()}
-        out = fn(cols)
+        try:
+            out, why = fn(cols), None
+        except caught as e:
+            out, why = {name: [None] for name, _ in fields}, type(e).__name__
         n = len(out[fields[0][0]]) if out else 0
         if n == 0:
             return arrow.empty_table()
         data = [pa.array([table.column(k)[0].as_py()] * n, arrow.field(k).type) for k in keep]
         data += [pa.array(out[name], arrow.field(name).type, from_pandas=True) for name, _ in fields]
+        if "_error" in arrow.names:
+            data.append(pa.array([why] * n, pa.string()))
         return pa.Table.from_arrays(data, schema=arrow)
 
-    return df.groupBy(*group).applyInArrow(run, schema)
+    out = df.groupBy(*group).applyInArrow(run, schema)
+    return errors.split(out) if errors else out
 
 
 def local_maxima(samples: DataFrame, keys: list[str], lay: Layout) -> DataFrame:

@@ -9,13 +9,13 @@ from .layout import Layout, Scan
 from .peaks import prominence_width
 
 
-def segment_summary(segments: DataFrame, stim_hz: float, recording_s: float) -> DataFrame:
-    """``segments`` = ``segment, qc_pass, qc_reason, n_main, n_main_primary, n_rescue``.
-    Expected counts are null unless a stimulation rate is given."""
+def segment_summary(segments: DataFrame, stim_hz: float, recording_s: float, keys: list[str] | None = None) -> DataFrame:
+    """``segments`` = ``segment, qc_pass, qc_reason, n_main, n_main_primary, n_rescue``
+    (and ``keys``).  Expected counts are null unless a stimulation rate is given."""
     expected = float(stim_hz * recording_s) if stim_hz > 0 and recording_s > 0 else None
     n = F.col("n_main")
     return segments.select(
-        "segment", F.when(F.col("qc_pass"), "PASS").otherwise("REJECT").alias("qc"), F.coalesce("qc_reason", F.lit("unknown")).alias("qc_reason"),
+        *(keys or []), "segment", F.when(F.col("qc_pass"), "PASS").otherwise("REJECT").alias("qc"), F.coalesce("qc_reason", F.lit("unknown")).alias("qc_reason"),
         (n / F.lit(float(recording_s)) * 60.0 if recording_s > 0 else F.lit(0.0)).alias("bpm_user"),
         F.col("n_main_primary").alias("primary_main_beats"), F.col("n_rescue").alias("rescue_peaks"), n.alias("total_detected_events"),
         F.lit(expected).cast("double").alias("expected_beats"),

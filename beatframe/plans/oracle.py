@@ -195,7 +195,7 @@ td AS (SELECT t.segment_no, t.idx, list_sort(list(s.x))[CAST(floor(any_value(w)
 
 
 sql("a5_rolling_trend", f"WITH {EV}, {trend('ev')} SELECT ev.segment_no, ev.idx, round(trend, 6) AS trend FROM ev LEFT JOIN td USING (segment_no, idx)")
-sql("a6_remove_drift", f"""WITH {EV}, e4 AS (SELECT segment_no, idx, x + 4 * idx AS x FROM ev), {trend('e4')},
+sql("a6_remove_drift", f"""WITH {EV}, e4 AS (SELECT segment_no, idx, x + CASE WHEN segment_no % 3 = 0 THEN 0 ELSE 4 * idx END AS x FROM ev), {trend('e4')},
 j AS (SELECT e4.*, trend FROM e4 LEFT JOIN td USING (segment_no, idx)),
 m AS (SELECT segment_no, quantile_cont(trend, 0.05) AS t5, median(trend) AS t50, quantile_cont(trend, 0.95) AS t95, quantile_cont(x, 0.05) AS x5, quantile_cont(x, 0.95) AS x95, corr(idx, trend) AS c FROM j GROUP BY 1),
 r AS (SELECT *, (t95 - t5) / greatest(x95 - x5, 1e-12) AS ratio FROM m),
@@ -219,7 +219,8 @@ def period(src: str, out: str = "pd", k: str = "segment_no") -> str:
 {out} AS (SELECT {k}, lag / 250.0::DOUBLE AS period_s, coalesce(v, 0) AS score FROM {out}0 LEFT JOIN {out}b USING ({k}))"""
 
 
-sql("a7_dominant_period", f"WITH {LI}, {period('li')} SELECT segment_no, round(period_s, 6) AS period_s, round(score, 6) AS score FROM pd")
+L7 = LI + ", l7 AS (SELECT segment_no, idx, CASE WHEN segment_no % 10 = 1 THEN 0.5::DOUBLE ELSE x END AS x FROM li WHERE segment_no % 10 <> 0 OR idx < 100)"
+sql("a7_dominant_period", f"WITH {L7}, {period('l7')} SELECT segment_no, round(period_s, 6) AS period_s, round(score, 6) AS score FROM pd")
 COR = """cm AS (SELECT segment_no, min(len(y)) AS m FROM tr GROUP BY 1), cy AS (SELECT segment_no, row_no, y[1:m] AS y FROM tr JOIN cm USING (segment_no)),
 cz AS (SELECT segment_no, row_no, [v - list_avg(y) FOR v IN y] AS z FROM cy), cn AS (SELECT segment_no, row_no, z, sqrt(list_dot_product(z, z)) AS nm FROM cz),
 cc AS (SELECT a.segment_no, median(list_dot_product(a.z, b.z) / (a.nm * b.nm)) AS corr_med FROM cn a JOIN cn b ON a.segment_no = b.segment_no AND a.row_no < b.row_no WHERE a.nm > 0 AND b.nm > 0 GROUP BY 1)"""
@@ -247,6 +248,65 @@ pt AS (SELECT segment_no, median(prom) AS tp FROM (SELECT * FROM pk QUALIFY row_
 pa AS (SELECT segment_no, count(*) AS c, median(w) AS mw FROM pk GROUP BY 1), {IBI.format(s='pk')}, ic AS (SELECT segment_no, stddev_pop(g) / avg(g) AS cv FROM ig GROUP BY 1), {period('fc')}"""
 sql("a14_polarity_score", f"""WITH {LI}, {PS} SELECT segment_no, coalesce(c, 0) AS n_peaks, round(CASE WHEN c >= 3 THEN 1.4 * ln(1 + greatest(tp / noise_mad, 0)) + 0.9 * score + 0.5 * greatest(least(mw / 0.22, 2), 0)
  - 1.6 * greatest(cv, 0) - 0.25 * greatest(0, c / (n / 250.0::DOUBLE) - 3.8) END, 6) AS polarity_score FROM fm JOIN nz USING (segment_no) JOIN pd USING (segment_no) LEFT JOIN pa USING (segment_no) LEFT JOIN pt USING (segment_no) LEFT JOIN ic USING (segment_no)""")
+
+
+def polarity(src: str, k: str) -> str:
+    """CTEs ending in ``po(k, n_peaks, score)``; fs = 250."""
+    return f"""ym AS (SELECT {k}, median(x) AS md, count(*) AS n FROM {src} GROUP BY {k}), yc AS (SELECT {k}, idx, x - md AS x, n FROM {src} JOIN ym USING ({k})),
+{quiet('yc', k)}, {found('yc', k, 'yp', '20', 'width >= 2')}, yq AS (SELECT yp.*, width / 250.0::DOUBLE AS w FROM yp JOIN nz USING ({k}) WHERE prom >= greatest(0.002, 2.7 * noise_mad)),
+yk AS (SELECT * FROM yq QUALIFY count(*) FILTER (w BETWEEN 0.008 AND 0.90) OVER (PARTITION BY {k}) < 3 OR w BETWEEN 0.008 AND 0.90),
+yt AS (SELECT {k}, median(prom) AS tp FROM (SELECT * FROM yk QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY prom DESC, idx DESC) <= 12) GROUP BY {k}),
+ya AS (SELECT {k}, count(*) AS c, median(w) AS mw FROM yk GROUP BY {k}), yi AS (SELECT {k}, idx - lag(idx) OVER (PARTITION BY {k} ORDER BY idx) AS g FROM yk), yv AS (SELECT {k}, stddev_pop(g) / avg(g) AS cv FROM yi GROUP BY {k}), {period('yc', k=k)},
+po AS (SELECT {k}, coalesce(c, 0) AS n_peaks, CASE WHEN c >= 3 THEN 1.4 * ln(1 + greatest(tp / noise_mad, 0)) + 0.9 * pd.score + 0.5 * greatest(least(mw / 0.22, 2), 0) - 1.6 * greatest(cv, 0) - 0.25 * greatest(0, c / (n / 250.0::DOUBLE) - 3.8) END AS score
+ FROM ym JOIN nz USING ({k}) JOIN pd USING ({k}) LEFT JOIN ya USING ({k}) LEFT JOIN yt USING ({k}) LEFT JOIN yv USING ({k}))"""
+
+
+sql("a15_choose_polarity", f"""WITH {LI}, c0 AS (SELECT segment_no, idx, x, count(*) OVER (PARTITION BY segment_no) AS len FROM li), c1 AS (SELECT *, CASE WHEN len < 174 THEN least(62, len // 10) ELSE 62 END AS e0 FROM c0),
+c2 AS (SELECT *, CASE WHEN len - 2 * e0 > 50 THEN e0 ELSE 0 END AS e FROM c1), c3 AS (SELECT segment_no, (idx - e)::INTEGER AS idx, x, len FROM c2 WHERE idx >= e AND idx < len - e),
+c4 AS (SELECT segment_no, median(x) AS md, count(*) AS n, round_even(greatest(least(any_value(len) / 250.0::DOUBLE * 0.35, 8.0), 1.5) * 250, 0)::INTEGER AS w0 FROM c3 GROUP BY 1),
+c5 AS (SELECT *, greatest(31, w0) + CASE WHEN greatest(31, w0) % 2 = 0 THEN 1 ELSE 0 END AS w1, greatest(31, round_even(0.75::DOUBLE * n, 0)::INTEGER) AS w2 FROM c4),
+c6 AS (SELECT segment_no, md, n, CASE WHEN w1 >= n THEN w2 - CASE WHEN w2 % 2 = 0 THEN 1 ELSE 0 END ELSE w1 END AS w FROM c5),
+cz AS (SELECT c3.segment_no, idx, x - md AS x FROM c3 JOIN c6 USING (segment_no)),
+cj AS (SELECT cz.segment_no, idx, n, w, idx + unnest(range(-(w // 2), w // 2 + 1)) AS j FROM cz JOIN c6 USING (segment_no) WHERE n >= 30),
+ct AS (SELECT j.segment_no, j.idx, list_sort(list(z.x))[CAST(floor(any_value(w) * 20.0::DOUBLE / 100) AS INTEGER) + 1] AS trend FROM cj j JOIN cz z ON z.segment_no = j.segment_no AND z.idx = CASE WHEN j < 0 THEN -1 - j WHEN j >= n THEN 2 * n - 1 - j ELSE j END GROUP BY 1, 2),
+cm AS (SELECT segment_no, median(trend) AS tm FROM ct GROUP BY 1),
+cd AS (SELECT cz.segment_no, cz.idx, x - coalesce(trend - tm, 0) AS x FROM cz LEFT JOIN ct USING (segment_no, idx) LEFT JOIN cm USING (segment_no)),
+cs AS (SELECT segment_no, idx, CASE WHEN count(*) OVER (PARTITION BY segment_no) < 5 THEN x ELSE sum(x) OVER (PARTITION BY segment_no ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 END AS x FROM cd),
+cb AS (SELECT segment_no, sgn, idx, x * sgn AS x FROM cs, (VALUES (1), (-1)) v(sgn)), {polarity('cb', 'segment_no, sgn')},
+cg AS (SELECT segment_no, idx, abs(x) AS x FROM cs), {found('cg', 'segment_no', 'vp', '20', 'TRUE')},
+v1 AS (SELECT segment_no, sign(cs.x) AS sg FROM (SELECT * FROM vp QUALIFY count(*) OVER (PARTITION BY segment_no) >= 3 AND row_number() OVER (PARTITION BY segment_no ORDER BY amp DESC, idx DESC) <= 12) t JOIN cs USING (segment_no, idx)),
+v2 AS (SELECT segment_no, avg((sg > 0)::INTEGER) AS up FROM v1 WHERE sg <> 0 GROUP BY 1 HAVING count(*) >= 3),
+z AS (SELECT a.segment_no, a.score AS k, b.score AS i, a.n_peaks AS n_pos, b.n_peaks AS n_neg, CASE WHEN up > 0.5 THEN up WHEN up < 0.5 THEN 1 - up WHEN up = 0.5 THEN 0 END AS conf, up < 0.5 AS vi,
+ abs(coalesce(b.score, '-inf'::DOUBLE) - coalesce(a.score, '-inf'::DOUBLE)) AS gap, a.score IS NOT NULL OR b.score IS NOT NULL AS anys, coalesce(b.score, '-inf'::DOUBLE) > coalesce(a.score, '-inf'::DOUBLE) AS better
+ FROM po a JOIN po b ON a.segment_no = b.segment_no AND a.sgn = 1 AND b.sgn = -1 LEFT JOIN v2 ON v2.segment_no = a.segment_no)
+SELECT segment_no, round(k, 6) AS score_keep, round(i, 6) AS score_invert, n_pos, n_neg, round(conf, 6) AS vote_conf, round(CASE WHEN anys THEN gap END, 6) AS score_gap,
+ CASE WHEN anys AND gap >= 0.12 THEN better WHEN coalesce(conf >= 0.65, FALSE) THEN vi WHEN anys THEN better ELSE coalesce(vi, FALSE) END AS invert,
+ CASE WHEN anys AND gap >= 0.12 THEN 'morphology_score' WHEN coalesce(conf >= 0.65, FALSE) THEN 'vote_tiebreak' WHEN anys THEN 'morphology_fallback' ELSE 'vote_fallback' END AS method FROM z""")
+
+SP2 = "segment_no, polarity"
+sql("a10_structure_features", f"""WITH {FG}{DST[len(TR):]}, {COR}, q0 AS (SELECT segment_no, p::INTEGER AS polarity, idx, x * p AS x FROM fg, (VALUES (1), (-1)) v(p)),
+qb AS (SELECT {SP2}, quantile_cont(x, 0.05) AS b FROM q0 GROUP BY ALL), sig AS (SELECT {SP2}, idx, x - b AS x FROM q0 JOIN qb USING ({SP2})),
+{quiet('sig', SP2)}, qm AS (SELECT {SP2}, median(x) AS md, count(*) AS n FROM sig GROUP BY ALL), qs AS (SELECT {SP2}, median(abs(x - md)) * {MAD} AS signal_mad FROM sig JOIN qm USING ({SP2}) GROUP BY ALL), {period('sig', k=SP2)},
+qd AS (SELECT {SP2}, x - lag(x) OVER (PARTITION BY {SP2} ORDER BY idx) AS d FROM sig), qe AS (SELECT {SP2}, median(d) AS dmd FROM qd GROUP BY ALL), qf AS (SELECT {SP2}, median(abs(d - dmd)) * {MAD} AS dmad FROM qd JOIN qe USING ({SP2}) GROUP BY ALL),
+qg AS (SELECT {SP2}, coalesce(avg((abs((d - dmd) / greatest(dmad, 1e-12)) > 8)::INTEGER) FILTER (d IS NOT NULL), 0) AS spike_fraction FROM qd JOIN qe USING ({SP2}) JOIN qf USING ({SP2}) GROUP BY ALL),
+f0 AS (SELECT {SP2}, idx, x - md AS x, n FROM sig JOIN qm USING ({SP2}) WHERE n >= 200), {quiet('f0', SP2, 'fz')}, f1 AS (SELECT {SP2}, sgn, idx, x * sgn AS x FROM f0, (VALUES (1), (-1)) v(sgn)),
+{found('f1', SP2 + ', sgn', 'fp', '25', 'width >= 2 AND width / 250.0 BETWEEN 0.014 AND 0.80')}, f2 AS (SELECT fp.*, n FROM fp JOIN fz USING ({SP2}) JOIN qm USING ({SP2}) WHERE prom >= greatest(0.010, 2.8 * fz.noise_mad)),
+f3 AS (SELECT {SP2}, sgn, count(*) AS c, avg((idx < n // 2)::INTEGER) AS e, median(prom) AS pr, median(idx::DOUBLE) AS mi FROM f2 GROUP BY ALL),
+f4 AS (SELECT qm.segment_no, qm.polarity, qm.n, coalesce(a.c, 0) >= 2 AND coalesce(b.c, 0) >= 2 AS ok, greatest(a.e * (1 - b.e), b.e * (1 - a.e)) AS ft, abs(a.mi - b.mi) / qm.n AS fs_, least(a.pr, b.pr) / greatest(a.pr, b.pr, 1e-12) AS fr
+ FROM qm LEFT JOIN f3 a ON a.segment_no = qm.segment_no AND a.polarity = qm.polarity AND a.sgn = 1 LEFT JOIN f3 b ON b.segment_no = qm.segment_no AND b.polarity = qm.polarity AND b.sgn = -1),
+t0 AS (SELECT segment_no, p::INTEGER AS polarity, tid, row_no, generate_subscripts(y, 1)::INTEGER - 1 AS idx, unnest(y) * p AS x FROM tr, (VALUES (1), (-1)) v(p)), t1 AS (SELECT {SP2}, tid, row_no, quantile_cont(x, 0.05) AS b FROM t0 GROUP BY ALL),
+t2 AS (SELECT {SP2}, tid, row_no, idx, x - b AS x FROM t0 JOIN t1 USING ({SP2}, tid, row_no)), {quiet('t2', SP2 + ', tid, row_no', 'tz')},
+t3 AS (SELECT {SP2}, tid, row_no, idx, sum(x) OVER (PARTITION BY {SP2}, tid, row_no ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM t2),
+{found('t3', SP2 + ', tid, row_no', 'tp', '20', 'width >= 2')},
+t4 AS (SELECT tz.segment_no, tz.polarity, tz.tid, tz.row_no, greatest(least(coalesce(max(tp.prom) FILTER (tp.prom >= greatest(0.75 * nz.noise_mad, 2.2 * tz.noise_mad, 0.006)), 0) / greatest(any_value(tz.noise_mad), 1e-12), 250), 0) AS strength
+ FROM tz JOIN nz USING ({SP2}) LEFT JOIN tp ON tp.segment_no = tz.segment_no AND tp.polarity = tz.polarity AND tp.tid = tz.tid AND tp.row_no = tz.row_no GROUP BY ALL),
+t5 AS (SELECT *, count(*) OVER (PARTITION BY {SP2}) AS k, row_number() OVER (PARTITION BY {SP2} ORDER BY tid, row_no) AS r FROM t4), t6 AS (SELECT *, CASE WHEN k >= 4 THEN k // 2 ELSE k END AS cut FROM t5),
+t7 AS (SELECT {SP2}, median(strength) FILTER (r <= cut) AS early_strength, median(strength) FILTER (r > cut OR k < 4) AS late_strength FROM t6 GROUP BY ALL), e AS (SELECT segment_no, count(*) AS n_rows FROM tr GROUP BY 1)
+SELECT segment_no, polarity, round(signal_mad / nz.noise_mad, 5) AS snr, round(nz.noise_mad, 5) AS noise_mad, round(signal_mad, 5) AS signal_mad, round(period_s, 5) AS period_s, round(score, 5) AS periodicity, round(spike_fraction, 5) AS spike_fraction,
+ round(CASE WHEN ok THEN ft ELSE 0 END, 5) AS flip_transition, round(CASE WHEN ok THEN fs_ ELSE 0 END, 5) AS flip_spread, round(CASE WHEN ok THEN fr ELSE 0 END, 5) AS flip_rel_strength, ok AND ft >= 0.5 AND fs_ >= 0.16 AND fr >= 0.45 AS flip_detected,
+ round(early_strength, 5) AS early_strength, round(late_strength, 5) AS late_strength, 0.0::DOUBLE AS late_periodicity, n_rows, coalesce(nd, 0) AS row_direction_count, round(coalesce(dn, 0), 5) AS down_fraction, round(coalesce(1 - dn, 0), 5) AS up_fraction,
+ coalesce(sw, 0) AS row_direction_switches, round(CASE WHEN nd >= 4 THEN greatest(f * (1 - s), (1 - f) * s) ELSE 0 END, 5) AS transition, round(corr_med, 5) AS corr_med
+FROM nz JOIN qs USING ({SP2}) JOIN pd USING ({SP2}) JOIN qg USING ({SP2}) JOIN f4 USING ({SP2}) JOIN t7 USING ({SP2}) LEFT JOIN e USING (segment_no) LEFT JOIN dg USING (segment_no) LEFT JOIN cc USING (segment_no)""")
 sql("a16_row_direction_override", f"""WITH {UF}, c AS (SELECT segment_no, CASE WHEN n_main % 3 = 0 THEN 'morphology_score' ELSE 'vote_fallback' END AS method, n_main % 2 = 0 AS invert, snr AS score_gap, ibi_cv AS vote_conf,
  least(n_main / 20.0::DOUBLE, 1.0) AS dn FROM uf), d AS (SELECT *, (method <> 'morphology_score' OR coalesce(score_gap < 0.12, FALSE)) AND greatest(dn, 1 - dn) >= 0.80 AS cl FROM c)
 SELECT segment_no, CASE WHEN cl THEN dn >= 1 - dn ELSE invert END AS invert, CASE WHEN cl THEN 'row_direction_prior' ELSE method END AS method, round(CASE WHEN NOT cl THEN vote_conf END, 6) AS vote_conf FROM d""")
@@ -359,20 +419,49 @@ z AS (SELECT bs.*, ga, gp, (la + ra) / 2 AS fa, (lp + rp) / 2 AS fp, idx - li_ A
 t AS (SELECT *, ga > 1e-12 AND gp > 1e-12 AND ((amp <= 0.55 * ga AND prom <= 0.60 * gp AND nw) OR (amp <= 0.40 * ga AND prom <= 0.42 * gp)) AS gt,
  coalesce(fa > 1e-12 AND fp > 1e-12 AND ((lg >= 75 AND rg >= 75 AND amp <= 0.42 * fa AND prom <= 0.46 * fp AND nw) OR (lg >= 37 AND rg >= 37 AND amp <= 0.38 * fa AND prom <= 0.40 * fp)), FALSE) AS lt FROM z)
 SELECT segment_no, idx FROM t WHERE NOT coalesce(n >= 3 AND CASE WHEN inn THEN gt OR lt ELSE gt AND coalesce(lg, rg) >= 37 END, FALSE)""")
-sql("p12_mains_replaced_by_rescue", f"""WITH {RAW}, m AS (SELECT * FROM raw WHERE idx % 2 = 0), rs AS (SELECT * FROM raw WHERE idx % 2 = 1), {BES.format(s='m')}, g AS (SELECT segment_no, median(prom) AS gp, median(width_s) AS gw FROM m GROUP BY 1),
-c AS (SELECT r.segment_no, r.idx AS ri, r.amp AS ramp, r.prom AS rprom, max(m.idx) FILTER (m.idx < r.idx) AS pm, min(m.idx) FILTER (m.idx > r.idx) AS nm FROM rs r JOIN m USING (segment_no) GROUP BY ALL),
-u AS (SELECT *, pm AS mm FROM c UNION ALL SELECT *, nm FROM c)
-SELECT DISTINCT u.segment_no, m.idx FROM u JOIN m ON m.segment_no = u.segment_no AND m.idx = u.mm JOIN g ON g.segment_no = u.segment_no JOIN mi ON mi.segment_no = u.segment_no
-WHERE abs(ri - m.idx) <= greatest(1, round_even(CASE WHEN ibi > 0 THEN least(0.90::DOUBLE, 0.90::DOUBLE * ibi) ELSE 0.90::DOUBLE END * 250, 0)) AND m.prom <= 0.45 * greatest(rprom, gp, 1e-12) AND m.width_s <= 0.75 * greatest(gw, 1e-12) AND m.amp <= 0.55 * greatest(ramp, 1e-12)""")
-sql("p13_fill_large_gaps", f"""WITH {RAW}, m AS (SELECT * FROM raw WHERE prom >= 0.7 AND tid NOT IN (2, 3)), {BES.format(s='m')}, nm AS (SELECT segment_no, count(*) AS k FROM m GROUP BY 1),
+sql("p13_fill_large_gaps", f"""WITH {RAW}, rx AS (SELECT segment_no, tid, idx, amp, prom, width_s * 6 AS width_s FROM raw), m AS (SELECT * FROM rx WHERE prom >= 0.5 AND tid % 5 NOT IN (2, 3)), {BES.format(s='m')}, nm AS (SELECT segment_no, count(*) AS k FROM m GROUP BY 1),
 g AS (SELECT bs.segment_no, li_ AS l, idx AS r FROM bs JOIN mi USING (segment_no) JOIN nm USING (segment_no) WHERE k >= 3 AND ibi > 0 AND (idx - li_) / 250.0 > greatest(1.7 * ibi, 0.5) AND (segment_no % 4 = 0 OR segment_no / 60.0::DOUBLE >= 0.70)),
-c AS (SELECT g.segment_no, g.l, raw.idx, raw.prom FROM g JOIN raw ON raw.segment_no = g.segment_no AND raw.idx > g.l + 30 AND raw.idx < g.r - 30 WHERE prom >= greatest(0.011, 0.30::DOUBLE * 0.5::DOUBLE) AND width_s >= 0.040)
+c AS (SELECT g.segment_no, g.l, raw.idx, raw.prom FROM g JOIN rx raw ON raw.segment_no = g.segment_no AND raw.idx > g.l + 30 AND raw.idx < g.r - 30 WHERE prom >= greatest(0.011, 0.30::DOUBLE * 0.5::DOUBLE) AND width_s >= 0.040)
 SELECT segment_no, idx FROM c QUALIFY row_number() OVER (PARTITION BY segment_no, l ORDER BY prom DESC, idx DESC) = 1""")
 sql("p14_second_lobes", f"""WITH {VAL}, r6 AS (SELECT segment_no, idx, amp, prom, width_s * 6 AS w FROM raw), pr AS (SELECT c.segment_no, c.idx AS ci, c.amp AS ca, c.prom AS cp, m.idx AS mi, m.amp AS ma, m.prom AS mp, abs(c.idx - m.idx) / 250.0::DOUBLE AS dt FROM r6 c JOIN r6 m ON m.segment_no = c.segment_no
  WHERE c.prom < 0.7 AND c.prom >= 0.030 AND c.w >= 0.070 AND m.prom >= 0.7 AND m.w >= 0.055 AND abs(c.idx - m.idx) / 250.0 BETWEEN 0.10 AND 0.90),
 v AS (SELECT pr.*, min(li.x) AS lo FROM pr JOIN li ON li.segment_no = pr.segment_no AND li.idx BETWEEN least(ci, mi) AND greatest(ci, mi) GROUP BY ALL),
 z AS (SELECT *, (least(ca, ma) - lo) / greatest(abs(least(ca, ma)), 1e-12) AS vr, least(ca - lo, ma - lo) / greatest(ca - lo, ma - lo, 1e-12) AS cl, cp / greatest(mp, 1e-12) AS pr_, ca / greatest(ma, 1e-12) AS ar FROM v)
 SELECT DISTINCT segment_no, ci AS idx FROM z WHERE vr >= 0.12 AND cl >= 0.20 AND ((pr_ >= 0.20 AND ar >= 0.65) OR (pr_ >= 0.04 AND ar >= 0.80 AND dt <= 0.85) OR (ar >= 0.90 AND vr >= 0.40 AND cl >= 0.55 AND dt <= 0.24))""")
+# the wide mains of p7, then transients in order
+_wide = _p7.replace("prom >= 0.3", "prom >= 0.5 AND tid % 5 <> 3").replace("WITH RECURSIVE ", "")
+_wide = _wide.replace(VAL, VAL + ",\nraww AS (SELECT segment_no, tid, idx, amp, prom, width_s * 6 AS width_s, valley FROM rawv)")
+_wide = _wide.replace("AS c FROM rawv)", "AS c FROM raww)").replace(" SELECT segment_no, unnest(list_append(kept, idx)) AS idx FROM z", ", mm AS (SELECT segment_no, unnest(list_append(kept, idx)) AS idx FROM z)")
+
+
+def in_order(acts: str, mains: str, out: str) -> str:
+    """CTEs ending in ``out(segment_no, tid, idx, cur)``: actions that keep their distance from the mains of their time."""
+    return f"""{out}n AS (SELECT *, row_number() OVER (PARTITION BY segment_no ORDER BY tid, idx) AS r FROM {acts}), {out}l AS (SELECT segment_no, list(idx) AS l FROM {mains} GROUP BY 1),
+{out}w AS (SELECT segment_no, 0::BIGINT AS r, l, NULL::INTEGER AS tid, NULL::INTEGER AS idx, NULL::INTEGER AS cur, FALSE AS ok FROM {out}l
+ UNION ALL SELECT segment_no, r, CASE WHEN ok THEN list_append(list_filter(l, lambda m: m IS DISTINCT FROM cur), idx) ELSE l END, tid, idx, cur, ok
+ FROM (SELECT n.segment_no, n.r, w.l, n.tid, n.idx, n.cur, len(list_filter(w.l, lambda m: m IS DISTINCT FROM n.cur AND abs(m - n.idx) < 25)) = 0 AS ok FROM {out}w w JOIN {out}n n ON n.segment_no = w.segment_no AND n.r = w.r + 1)),
+{out} AS (SELECT segment_no, tid, idx, cur FROM {out}w WHERE ok)"""
+
+
+_best = "SELECT segment_no, tid, arg_max({{'idx': idx, 'amp': amp, 'prom': prom, 'sc': sc}}, (sc, -idx)) AS b FROM {src} WHERE prom >= pmin OR (edge AND amp >= 0.95 * greatest({ref}, 1e-12)) GROUP BY 1, 2"
+sql("p15_transient_coherence", f"""WITH RECURSIVE {_wide}, {BND}, m AS (SELECT raww.* FROM raww JOIN mm USING (segment_no, idx)), nt AS (SELECT segment_no, count(*) AS k FROM bnd GROUP BY 1),
+top AS (SELECT segment_no, tid, max(amp) AS main_amp, arg_max({{'idx': idx, 'amp': amp, 'prom': prom, 'w': width_s}}, (amp, -idx)) AS cur FROM m GROUP BY 1, 2),
+sg AS (SELECT t.segment_no, median(main_amp) AS gref, min(tid) AS t0, max(tid) AS t1 FROM top t GROUP BY 1), sk AS (SELECT segment_no, count(*) AS nm FROM m GROUP BY 1),
+ss AS (SELECT sg.*, nm / greatest(k, 1) AS fill FROM sg JOIN sk USING (segment_no) JOIN nt USING (segment_no)),
+lo AS (SELECT segment_no, tid + d AS tid, median(main_amp) AS lref FROM top, (SELECT unnest(range(-2, 3))::INTEGER AS d) GROUP BY 1, 2),
+r AS (SELECT w.segment_no, w.tid, w.idx, w.amp, w.prom, gref, t0, t1, fill, greatest(0.011, 0.16::DOUBLE * 0.5::DOUBLE) AS pmin, amp * greatest(least(width_s / 0.06::DOUBLE, 1), 0) + 0.35 * prom AS sc, coalesce(e > s AND (idx - s <= 15 OR e - 1 - idx <= 15), FALSE) AS edge
+ FROM raww w JOIN ss USING (segment_no) LEFT JOIN bnd USING (segment_no, tid) WHERE width_s >= 0.040),
+ri AS (SELECT r.*, coalesce(lref, gref) AS ref FROM r LEFT JOIN lo USING (segment_no, tid) WHERE tid BETWEEN t0 AND t1), be AS ({_best.format(src='ri', ref='ref')}),
+bt AS (SELECT be.segment_no, be.tid, b, cur, fill, coalesce(lref, gref) AS ref, cur.amp * greatest(least(cur.w / 0.06::DOUBLE, 1), 0) + 0.35 * cur.prom AS csc FROM be JOIN ss USING (segment_no) LEFT JOIN top USING (segment_no, tid) LEFT JOIN lo USING (segment_no, tid)),
+ac AS (SELECT segment_no, tid, b.idx AS idx, cur.idx AS cur FROM bt WHERE CASE WHEN cur IS NULL THEN fill >= 0.82 AND b.amp >= 0.40 * greatest(ref, 1e-12)
+ ELSE b.idx <> cur.idx AND (b.amp >= 1.35 * greatest(cur.amp, 1e-12) OR (b.sc >= 1.16 * greatest(csc, 1e-12) AND cur.prom <= greatest(0.70::DOUBLE * 0.5::DOUBLE, 0.65 * b.prom))) END),
+{in_order('ac', 'mm', 'ok1')}, ad AS (SELECT segment_no, idx, CASE WHEN cur IS NULL THEN 'filled' ELSE 'replaced_in' END AS change, tid FROM ok1),
+hl AS (SELECT segment_no, idx, 'kept' AS change, tid FROM m WHERE NOT EXISTS (SELECT 1 FROM ok1 o WHERE o.segment_no = m.segment_no AND o.cur = m.idx)),
+nw AS (SELECT * FROM hl UNION ALL SELECT * FROM ad WHERE NOT EXISTS (SELECT 1 FROM hl WHERE hl.segment_no = ad.segment_no AND hl.idx = ad.idx)),
+ls AS (SELECT segment_no, tid FROM bnd QUALIFY row_number() OVER (PARTITION BY segment_no ORDER BY s DESC, tid DESC) <= 3),
+rt AS (SELECT r.* FROM r JOIN ls USING (segment_no, tid) WHERE fill >= 0.86 AND NOT EXISTS (SELECT 1 FROM nw WHERE nw.segment_no = r.segment_no AND nw.tid = r.tid)), bl AS ({_best.format(src='rt', ref='gref')}),
+al AS (SELECT bl.segment_no, bl.tid, b.idx AS idx, NULL::INTEGER AS cur FROM bl JOIN ss USING (segment_no) WHERE b.amp >= 0.40 * greatest(gref, 1e-12)), {in_order('al', 'nw', 'ok2')}
+SELECT segment_no, idx, change FROM nw UNION ALL SELECT segment_no, idx, 'tail' FROM ok2""")
 RES = RAW + f""", rm AS (SELECT * FROM raw WHERE prom >= 0.5 AND tid % 3 <> 1), rcand AS (SELECT * FROM raw WHERE NOT (prom >= 0.5 AND tid % 3 <> 1)), {BND}, {BES.format(s='rm')},
 nb AS (SELECT segment_no, count(*) AS k, max(tr_no) AS last FROM bnd GROUP BY 1),
 pc AS (SELECT mi.segment_no, ibi, 55 AS win, greatest(1, round_even(greatest(0.08::DOUBLE, 0.16::DOUBLE * ibi) * 250, 0)) AS sep, greatest(55, round_even(2.0::DOUBLE * ibi * 250, 0)) AS span FROM mi JOIN nb USING (segment_no) WHERE ibi > 0 AND k >= 2),
@@ -402,10 +491,15 @@ gz AS (SELECT segment_no, unnest(ki) AS idx FROM (SELECT * FROM gf_ QUALIFY row_
 sql("p16f_greedy_accept", f"WITH RECURSIVE {GRD} SELECT segment_no, idx FROM gz")
 sql("p16_rescue_peaks", f"""WITH RECURSIVE {GRD} SELECT segment_no, idx, round(amp, 8) AS amp, round(prom, 8) AS prom, round(width_s, 8) AS width_s, type AS rescue_type, round(gb, 8) AS gap_before_s, round(gf, 8) AS gap_after_s,
  round(ar, 8) AS amp_rel, round(pr_, 8) AS prom_rel, round(wr, 8) AS width_rel FROM ac JOIN gz USING (segment_no, idx)""")
+sql("p12_mains_replaced_by_rescue", f"""WITH RECURSIVE {GRD.replace("prom >= 0.5 AND tid % 3 <> 1", "prom >= 0.85 AND tid % 3 <> 1")}, m AS (SELECT segment_no, idx, amp * f AS amp, prom * f AS prom, width_s * f AS width_s FROM (SELECT *, CASE WHEN idx % 2 = 0 THEN 0.4::DOUBLE ELSE 1 END AS f FROM rm)), rs AS (SELECT ac.segment_no, ac.idx, amp, prom FROM ac JOIN gz USING (segment_no, idx)), g AS (SELECT segment_no, median(prom) AS gp, median(width_s) AS gw FROM m GROUP BY 1),
+c AS (SELECT r.segment_no, r.idx AS ri, r.amp AS ramp, r.prom AS rprom, max(m.idx) FILTER (m.idx < r.idx) AS pm, min(m.idx) FILTER (m.idx > r.idx) AS nm FROM rs r JOIN m USING (segment_no) GROUP BY ALL),
+u AS (SELECT *, pm AS mm FROM c UNION ALL SELECT *, nm FROM c)
+SELECT DISTINCT u.segment_no, m.idx FROM u JOIN m ON m.segment_no = u.segment_no AND m.idx = u.mm JOIN g ON g.segment_no = u.segment_no JOIN mi ON mi.segment_no = u.segment_no
+WHERE abs(ri - m.idx) <= greatest(1, round_even(CASE WHEN ibi > 0 THEN least(0.90::DOUBLE, 0.90::DOUBLE * ibi) ELSE 0.90::DOUBLE END * 250, 0)) AND m.prom <= 0.45 * greatest(rprom, gp, 1e-12) AND m.width_s <= 0.75 * greatest(gw, 1e-12) AND m.amp <= 0.55 * greatest(ramp, 1e-12)""")
 RCOLS = ["rescue_gap_before_s", "rescue_gap_after_s", "rescue_amp_rel", "rescue_prom_rel", "rescue_width_rel"]
-sql("p17_build_events", f"""WITH {RAW} SELECT segment_no, round(2.5 + idx / 250.0::DOUBLE, 8) AS time_s, 'Main Beat' AS type, round(amp, 8) AS amp, round(prom, 8) AS prom, round(width_s, 8) AS width_s, tid + 1 AS transient, '' AS rescue_type,
- {', '.join(f'NULL::DOUBLE AS {c}' for c in RCOLS)} FROM raw WHERE prom >= 0.5 UNION ALL
-SELECT segment_no, round(2.5 + idx / 250.0::DOUBLE, 8), 'Rescue', round(amp, 8), round(prom, 8), round(width_s, 8), CASE WHEN idx % 2 = 0 THEN tid + 1 END, 'boundary', {', '.join('round(prom, 8)' for _ in RCOLS)} FROM raw WHERE prom < 0.5 AND idx % 5 = 0""")
+sql("p17_build_events", f"""WITH RECURSIVE {GRD} SELECT segment_no, round(2.5 + idx / 250.0::DOUBLE, 8) AS time_s, 'Main Beat' AS type, round(amp, 8) AS amp, round(prom, 8) AS prom, round(width_s, 8) AS width_s, tid + 1 AS transient, '' AS rescue_type,
+ {', '.join(f'NULL::DOUBLE AS {c}' for c in RCOLS)} FROM rm UNION ALL
+SELECT segment_no, round(2.5 + idx / 250.0::DOUBLE, 8), 'Rescue', round(amp, 8), round(prom, 8), round(width_s, 8), tid + 1, type, {', '.join(f'round({c}, 8)' for c in ('gb', 'gf', 'ar', 'pr_', 'wr'))} FROM ac JOIN gz USING (segment_no, idx)""")
 AUD = RAW + """, f AS (SELECT *, idx % 7 <> 0 AS sv, idx % 14 = 0 AS ig, prom >= 0.45 AND idx % 7 <> 0 AS ca, prom >= 0.55 AND idx % 7 <> 0 AS de, prom >= 0.6 AND idx % 7 <> 0 AS fi, idx % 11 = 1 AS re, idx % 13 = 2 AS rv, idx % 17 = 3 AS pg, idx % 19 = 4 AS pt,
  row_number() OVER (PARTITION BY segment_no ORDER BY idx) AS rn FROM raw),
 au AS (SELECT *, CASE WHEN ca AND prom >= 0.5 THEN 'above_strong_threshold' WHEN ca THEN 'above_weak_threshold' WHEN pg THEN 'gap_fill_promotion' WHEN pt THEN 'transient_coherence_promotion' ELSE 'raw_detected' END AS sf,
@@ -414,7 +508,7 @@ au AS (SELECT *, CASE WHEN ca AND prom >= 0.5 THEN 'above_strong_threshold' WHEN
   WHEN rv THEN 'replaced_by_rescue' ELSE 'dropped_after_rescue_stage' END AS rr FROM f)"""
 sql("p18_peak_trace", f"""WITH {AUD} SELECT segment_no, rn::INTEGER AS peak_index_raw, round(idx / 250.0::DOUBLE, 8) AS time_s, round(amp, 8) AS amplitude, round(prom, 8) AS prominence, round(width_s, 8) AS width_s, tid AS transient_index, sf AS stage_first_seen, sv AS survived_raw_filter,
  ca AS survived_main_candidate_stage, de AS survived_dedup_stage, de AS survived_short_gap_prune, de AS survived_local_weak_prune, de AS survived_interbeat_tiny_filter, fi OR re AS survived_rescue_stage, fl AS final_label, rr AS rejection_reason, ig AS in_stitched_gap_region, '' AS notes FROM au""")
-sql("p19_beat_totals", f"""WITH {RAW}, u AS (SELECT *, prom >= 0.5 AS m, idx % 5 = 0 AS r FROM raw WHERE prom >= 0.5 OR idx % 5 = 0), {IBI.format(s='u')}, c AS (SELECT segment_no, CASE WHEN count(*) >= 3 THEN stddev_pop(g) / avg(g) END AS ibi_cv FROM ig GROUP BY 1),
+sql("p19_beat_totals", f"""WITH RECURSIVE {GRD}, u AS (SELECT segment_no, idx, amp, prom, TRUE AS m, FALSE AS r FROM rm UNION ALL SELECT segment_no, ac.idx, amp, prom, FALSE, TRUE FROM ac JOIN gz USING (segment_no, idx)), {IBI.format(s='u')}, c AS (SELECT segment_no, CASE WHEN count(*) >= 3 THEN stddev_pop(g) / avg(g) END AS ibi_cv FROM ig GROUP BY 1),
 t AS (SELECT segment_no, count(*) AS n_main, count(*) FILTER (m) AS n_main_primary, count(*) FILTER (r) AS n_rescue, count(*) FILTER (NOT m) AS n_rescue_only, median(prom) FILTER (m) AS pm, median(amp) FILTER (m) AS am FROM u GROUP BY 1)
 SELECT segment_no, n_main, n_main_primary, n_rescue, n_rescue_only, round(ibi_cv, 9) AS ibi_cv, round(pm, 9) AS main_prom_med, round(am, 9) AS main_amp_med, 0.05::DOUBLE AS noise_mad, 2.4::DOUBLE AS duration_s, round(n_main / 2.4::DOUBLE * 60, 9) AS bpm,
  round(coalesce(pm / 0.05::DOUBLE, 0), 9) AS prom_snr, round({QS.format(s='coalesce(pm / 0.05::DOUBLE, 0)', n='n_main', c='ibi_cv')}, 9) AS quality_score FROM t JOIN c USING (segment_no)""")
@@ -438,7 +532,11 @@ def beat_peaks(lower: str, upper: str) -> str:
 {found('wx', 'segment_no, beat', 'wp', '12', 'prom >= 0.01 AND width BETWEEN 2 AND 100')}, wc AS (SELECT wp.segment_no, beat, idx, t_s, amp, prom, width / 250.0::DOUBLE AS width_s FROM wp JOIN wx USING (segment_no, beat, idx) WHERE amp BETWEEN lower AND upper AND width / 250.0 BETWEEN 0.01 AND 0.4)"""
 
 
-sql("r3_window_candidates", f"WITH {RV}, {beat_peaks('0.1', 'upper')} SELECT segment_no, beat::INTEGER AS beat, idx, round(t_s, 7) AS t_s, round(amp, 7) AS amp, round(prom, 7) AS prom, round(width_s, 7) AS width_s FROM wc")
+_r3 = f"WITH {RV}, {beat_peaks('0.1', 'upper')} SELECT segment_no, beat::INTEGER AS beat, idx, round(t_s, 7) AS t_s, round(amp, 7) AS amp, round(prom, 7) AS prom, round(width_s, 7) AS width_s FROM wc"
+# every step computed once; samples meet their windows by index (a window ends 138 samples after its main)
+_r3 = _r3.replace("row_number() OVER (PARTITION BY segment_no ORDER BY t_s) - 1 AS beat,", "row_number() OVER (PARTITION BY segment_no ORDER BY t_s) - 1 AS beat, idx AS mi,")
+_r3 = _r3.replace("FROM rs JOIN bw ON bw.segment_no = rs.segment_no AND rs.t_s BETWEEN", "FROM (SELECT *, mi + unnest(range(1, 140)) AS at FROM bw) bw JOIN rs ON rs.segment_no = bw.segment_no AND rs.idx = bw.at WHERE rs.t_s BETWEEN")
+sql("r3_window_candidates", _r3.replace(" AS (SELECT", " AS MATERIALIZED (SELECT"))
 sql("r4_beat_items", f"""WITH {RV}, {beat_peaks('lower', 'upper')}, n AS (SELECT segment_no, beat, count(*) AS c FROM wc GROUP BY 1, 2) SELECT segment_no, beat::INTEGER AS beat, {', '.join(f'round({c}, 9) AS {c}' for c in ('main_t', 'main_amp', 'start_s', 'end_s', 'lower', 'upper'))},
  coalesce(c, 0)::INTEGER AS n_candidates, 'pending' AS status FROM bw LEFT JOIN n USING (segment_no, beat)""")
 sql("r5_refresh_beat_items", f"""WITH {RV}, {beat_peaks('0.2', '0.95')}, n AS (SELECT segment_no, beat, count(*) AS c, sum(t_s) AS ts FROM wc GROUP BY 1, 2)
