@@ -107,16 +107,21 @@ sql("s3b_frequent_sample_id", f"""WITH {IDS}, n AS (SELECT segment_no, v, count(
 b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY segment_no ORDER BY n DESC, r) = 1) SELECT segment_no, {NORM} AS sample_id FROM b""")
 UD = EV + """, ud AS (SELECT segment_no, 'PixelCorrelation Segment ' || segment_no AS segment_name, list(t_s ORDER BY t_s) AS t, list(x ORDER BY t_s) AS a,
  CASE WHEN segment_no % 5 = 0 THEN 'skipped' ELSE 'saved' END AS status FROM ev WHERE event_type = 'error' GROUP BY 1)"""
-sql("s4_session_json", f"""WITH {UD} SELECT segment_no::INTEGER AS segment_index, segment_name, status, 'afc_segment_manual_v3' AS schema_version, 1.0::DOUBLE AS afc_lower_left_value,
- 2.0::DOUBLE AS afc_lower_right_value, CASE WHEN segment_no % 2 = 1 THEN len(t) ELSE 0 END::INTEGER AS n_points FROM ud""")
+UDR = "[round(v, 6) FOR v IN t]"
+sql("s4_session_json", f"""WITH {UD}, k AS (SELECT *, segment_no % 2 = 1 AS odd, {UDR} AS rt, [round(v, 6) FOR v IN a] AS ra, []::DOUBLE[] AS no FROM ud)
+SELECT kind, segment_no::INTEGER AS segment_index, segment_name, status, 'afc_segment_manual_v3' AS schema_version, 1.0::DOUBLE AS afc_lower_left_value, 2.0::DOUBLE AS afc_lower_right_value, 30.0::DOUBLE AS afc_upper_left_value, 40.0::DOUBLE AS afc_upper_right_value,
+ 0.0::DOUBLE AS x_start_s, 10.0::DOUBLE AS x_end_s, CASE WHEN odd THEN rt ELSE no END AS manual_afc_times_s, CASE WHEN odd AND kind = 'decision' THEN ra ELSE no END AS manual_afc_amps,
+ CASE WHEN kind = 'item' THEN CASE WHEN odd THEN rt ELSE no END WHEN odd THEN no ELSE rt END AS manual_added_times_s FROM k, (VALUES ('item'), ('decision')) v(kind)""")
 sql("s5_afc_events_csv", f"""WITH {EV} SELECT 'Segment ' || segment_no AS segment_name, segment_no AS segment_index, 0::INTEGER AS main_peak_index, t_s AS time_s, x AS amplitude,
  'manual_curated' AS source, segment_no::VARCHAR AS review_id FROM ev WHERE event_type = 'error'""")
 sql("s6_review_log_csv", f"""WITH {UD} SELECT segment_name, segment_no::INTEGER AS segment_index, 1.5::DOUBLE AS afc_lower_left_value, 2.0::DOUBLE AS afc_lower_right_value, 9.0::DOUBLE AS afc_upper_left_value,
  9.0::DOUBLE AS afc_upper_right_value, 0.0::DOUBLE AS x_start_s, 10.0::DOUBLE AS x_end_s, array_to_string([printf('%.6f', v) FOR v IN t], ',') AS manual_afc_times_s,
  array_to_string([printf('%.6f', v) FOR v IN a], ',') AS manual_afc_amps, status FROM ud""")
-sql("s8_result_set", f"""WITH {US}, {UE.replace('ev AS', 'ev AS', 1)}, d AS (SELECT DISTINCT segment_no FROM ev WHERE event_type = 'error')
-SELECT 'summary' AS table_name, (SELECT count(*) FROM us) AS n_rows, 9::BIGINT AS n_cols UNION ALL SELECT 'main_events', (SELECT count(*) FROM ue), 8
-UNION ALL SELECT 'afc_events', (SELECT count(*) FROM ue WHERE type = 'Rescue'), 8 UNION ALL SELECT 'review_log', (SELECT count(*) FROM d), 2""")
+sql("s8_result_set", f"""WITH {US}, {UE}, d AS (SELECT segment_no FROM ev WHERE event_type = 'error' GROUP BY 1)
+SELECT 'summary' AS table_name, segment, n_main::BIGINT AS n, round(n_main / 10.0::DOUBLE * 60, 6) AS total, CASE WHEN qc_pass THEN 'PASS ' ELSE 'REJECT ' END || qc_reason AS label FROM us
+UNION ALL SELECT 'main_events', 'PixelCorrelation Segment ' || segment_no, count(*), round(sum(amp), 6), type FROM ue GROUP BY segment_no, type
+UNION ALL SELECT 'afc_events', 'PixelCorrelation Segment ' || segment_no, count(*), round(sum(prom), 6), type FROM ue WHERE type = 'Rescue' GROUP BY segment_no, type
+UNION ALL SELECT 'review_log', 'PixelCorrelation Segment ' || segment_no, 1, 0.0::DOUBLE, CASE WHEN segment_no % 5 = 0 THEN 'skipped 2' ELSE 'saved 2' END FROM d""")
 sql("s9_failure_routing", """SELECT DISTINCT label::BIGINT AS segment_no, CASE label WHEN 1 THEN 'runtime_error_ValueError' WHEN 2 THEN 'empty_signal' WHEN 3 THEN 'runtime_error_ZeroDivisionError' ELSE 'ok' END AS qc_reason FROM embeddings""")
 
 # ---- stitching ------------------------------------------------------------------
@@ -491,7 +496,7 @@ gz AS (SELECT segment_no, unnest(ki) AS idx FROM (SELECT * FROM gf_ QUALIFY row_
 sql("p16f_greedy_accept", f"WITH RECURSIVE {GRD} SELECT segment_no, idx FROM gz")
 sql("p16_rescue_peaks", f"""WITH RECURSIVE {GRD} SELECT segment_no, idx, round(amp, 8) AS amp, round(prom, 8) AS prom, round(width_s, 8) AS width_s, type AS rescue_type, round(gb, 8) AS gap_before_s, round(gf, 8) AS gap_after_s,
  round(ar, 8) AS amp_rel, round(pr_, 8) AS prom_rel, round(wr, 8) AS width_rel FROM ac JOIN gz USING (segment_no, idx)""")
-sql("p12_mains_replaced_by_rescue", f"""WITH RECURSIVE {GRD.replace("prom >= 0.5 AND tid % 3 <> 1", "prom >= 0.85 AND tid % 3 <> 1")}, m AS (SELECT segment_no, idx, amp * f AS amp, prom * f AS prom, width_s * f AS width_s FROM (SELECT *, CASE WHEN idx % 2 = 0 THEN 0.4::DOUBLE ELSE 1 END AS f FROM rm)), rs AS (SELECT ac.segment_no, ac.idx, amp, prom FROM ac JOIN gz USING (segment_no, idx)), g AS (SELECT segment_no, median(prom) AS gp, median(width_s) AS gw FROM m GROUP BY 1),
+sql("p12_mains_replaced_by_rescue", f"""WITH RECURSIVE {GRD.replace("prom >= 0.5 AND tid % 3 <> 1", "prom >= 0.94 AND tid % 3 <> 1")}, m AS (SELECT segment_no, idx, amp * f AS amp, prom * f AS prom, width_s * f AS width_s FROM (SELECT *, CASE WHEN idx % 2 = 0 THEN 0.4::DOUBLE ELSE 1 END AS f FROM rm)), rs AS (SELECT ac.segment_no, ac.idx, amp, prom FROM ac JOIN gz USING (segment_no, idx)), g AS (SELECT segment_no, median(prom) AS gp, median(width_s) AS gw FROM m GROUP BY 1),
 c AS (SELECT r.segment_no, r.idx AS ri, r.amp AS ramp, r.prom AS rprom, max(m.idx) FILTER (m.idx < r.idx) AS pm, min(m.idx) FILTER (m.idx > r.idx) AS nm FROM rs r JOIN m USING (segment_no) GROUP BY ALL),
 u AS (SELECT *, pm AS mm FROM c UNION ALL SELECT *, nm FROM c)
 SELECT DISTINCT u.segment_no, m.idx FROM u JOIN m ON m.segment_no = u.segment_no AND m.idx = u.mm JOIN g ON g.segment_no = u.segment_no JOIN mi ON mi.segment_no = u.segment_no
@@ -512,9 +517,11 @@ sql("p19_beat_totals", f"""WITH RECURSIVE {GRD}, u AS (SELECT segment_no, idx, a
 t AS (SELECT segment_no, count(*) AS n_main, count(*) FILTER (m) AS n_main_primary, count(*) FILTER (r) AS n_rescue, count(*) FILTER (NOT m) AS n_rescue_only, median(prom) FILTER (m) AS pm, median(amp) FILTER (m) AS am FROM u GROUP BY 1)
 SELECT segment_no, n_main, n_main_primary, n_rescue, n_rescue_only, round(ibi_cv, 9) AS ibi_cv, round(pm, 9) AS main_prom_med, round(am, 9) AS main_amp_med, 0.05::DOUBLE AS noise_mad, 2.4::DOUBLE AS duration_s, round(n_main / 2.4::DOUBLE * 60, 9) AS bpm,
  round(coalesce(pm / 0.05::DOUBLE, 0), 9) AS prom_snr, round({QS.format(s='coalesce(pm / 0.05::DOUBLE, 0)', n='n_main', c='ibi_cv')}, 9) AS quality_score FROM t JOIN c USING (segment_no)""")
-for g in ("g7_peak_trace_summary", "s7_peak_trace_tables"):
-    sql(g, f"""WITH {AUD} SELECT segment_no, count(*) AS raw_peaks, count(*) FILTER (ca) AS main_candidates, count(*) FILTER (fl = 'main') AS final_main, count(*) FILTER (fl = 'rescue') AS final_rescue,
- count(*) FILTER (fl = 'dropped') AS dropped, count(*) FILTER (fl = 'raw_only') AS raw_only FROM au GROUP BY 1""")
+_g7 = """SELECT segment_no, count(*) AS raw_peaks, count(*) FILTER (ca) AS main_candidates, count(*) FILTER (fl = 'main') AS final_main, count(*) FILTER (fl = 'rescue') AS final_rescue,
+ count(*) FILTER (fl = 'dropped') AS dropped, count(*) FILTER (fl = 'raw_only') AS raw_only FROM au GROUP BY 1"""
+sql("g7_peak_trace_summary", f"WITH {AUD} {_g7}")
+sql("s7_peak_trace_tables", f"""WITH {AUD}, tot AS ({_g7}) SELECT segment_no, rn::INTEGER AS peak_index_raw, round(idx / 250.0::DOUBLE, 8) AS time_s, round(amp, 8) AS amplitude, tid AS transient_index, sf AS stage_first_seen, fl AS final_label, rr AS rejection_reason,
+ raw_peaks, main_candidates, final_main, final_rescue, dropped, raw_only FROM au JOIN tot USING (segment_no)""")
 sql("g8_label_counts", f"WITH {AUD} SELECT segment_no, fl AS final_label, count(*) AS n FROM au GROUP BY 1, 2")
 sql("g6_peak_trace_table", f"""WITH {AUD} SELECT segment_no, 'Segment ' || segment_no AS segment_name, rn::INTEGER AS peak_index_raw, round(idx / 250.0::DOUBLE, 6) AS time_s, fl AS final_label, rr AS rejection_reason, '' AS notes FROM au""")
 
@@ -590,6 +597,7 @@ sql("r18_upgrade_decisions", f"""WITH {UPG} SELECT segment_index, CASE g WHEN 0
 sql("r19_resume_session", f"""WITH {UPG}, c AS (SELECT *, segment_index % 4 <> 1 AS has, segment_index % 4 <> 1 AND g = 0 AS same FROM up) SELECT segment_index, CASE WHEN same THEN v ELSE 0 END AS afc_lower_left_value, CASE WHEN same THEN NULL ELSE 1.0::DOUBLE END AS afc_lower_right_value,
  CASE WHEN same THEN NULL ELSE 2.0::DOUBLE END AS afc_upper_left_value, CASE WHEN same THEN NULL ELSE 3.0::DOUBLE END AS afc_upper_right_value, CASE WHEN same THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END AS x_start_s, CASE WHEN same THEN 9.0::DOUBLE ELSE 5.0::DOUBLE END AS x_end_s,
  CASE WHEN has AND g = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN NOT has THEN 0 WHEN g = 1 THEN 2 ELSE 1 END::INTEGER AS n_manual, 1::INTEGER AS n_main FROM c""")
+sql("r19_resume_decisions", "SELECT * REPLACE (" + ", ".join(f"CASE WHEN segment_index % 3 = 0 THEN {c} END AS {c}" for c in CORN) + f") FROM ({ORACLE['r18_upgrade_decisions']}) q")
 sql("r20_apply_status", "SELECT DISTINCT user_id AS segment_no, CASE WHEN user_id % 3 = 0 THEN 'pending' WHEN user_id % 2 = 0 THEN 'skipped' ELSE 'completed' END AS status FROM events")
 
 # ---- reports ----------------------------------------------------------------------

@@ -185,12 +185,18 @@ def _session_rows(spark, sf):
 def s4_session_json(spark, sf):
     d = _session_rows(spark, sf)
     path = _fresh(spark, "session")
-    items = d.select("segment_no", "segment_index", "segment_name", *J.CORNERS, "status")
+    items = d.select("segment_no", "segment_index", "segment_name", *J.CORNERS, "status", F.col("manual_afc_times_s").alias("manual_added_times_s"))
     doc = J.session_documents(items, d.drop("segment_no").withColumn("segment_no", F.col("segment_index")), F.lit("events"), ["segment_no"])
     J.write_sessions(doc, path)
     back = J.read_sessions(spark, path, multi_line=False)
-    dec = J.upgrade_decisions(back, [])
-    return dec.select("segment_index", "segment_name", "status", "schema_version", *J.CORNERS[:2], F.size("manual_afc_times_s").alias("n_points"))
+    out = None
+    for kind, rows in (("item", J.upgrade_items(back, [])), ("decision", J.upgrade_decisions(back, []))):
+        one = rows.select(
+            F.lit(kind).alias("kind"), "segment_index", "segment_name", "status", "schema_version", *J.CORNERS,
+            *[F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("manual_afc_times_s", "manual_afc_amps", "manual_added_times_s")],
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -220,7 +226,9 @@ def s7_peak_trace_tables(spark, sf):
     tr = _audit_rows(spark, sf)
     root = _fresh(spark, "trace")
     IO.write_peak_trace(tr, G.peak_trace_summary(tr, SEG), root, None)
-    return spark.read.parquet(f"{root}/peak_debug_summary")
+    rows, total = spark.read.parquet(f"{root}/peak_debug"), spark.read.parquet(f"{root}/peak_debug_summary")
+    rows = rows.select("segment_no", "peak_index_raw", F.round("time_s", 8).alias("time_s"), F.round("amplitude", 8).alias("amplitude"), "transient_index", "stage_first_seen", "final_label", "rejection_reason")
+    return rows.join(total, "segment_no")
 
 
 @query
@@ -231,10 +239,18 @@ def s8_result_set(spark, sf):
     root = _fresh(spark, "results")
     IO.write_result_set(root, G.segment_summary(seg, 1.0, 10.0), e, e.where("type = 'Rescue'"), d.select("segment_no", "manual_afc_times_s", "status"))
     back = IO.read_result_set(spark, root)
+    none, name = F.lit(0.0), F.concat(F.lit("PixelCorrelation Segment "), F.col("segment_no"))
+    one = F.count(F.lit(1))
+    parts = {
+        "summary": back["summary"].select("segment", F.col("total_detected_events").alias("n"), F.round("bpm_user", 6).alias("total"), F.concat_ws(" ", "qc", "qc_reason").alias("label")),
+        "main_events": back["main_events"].groupBy(name.alias("segment"), F.col("type").alias("label")).agg(one.alias("n"), F.round(F.sum("amp"), 6).alias("total")),
+        "afc_events": back["afc_events"].groupBy(name.alias("segment"), F.col("type").alias("label")).agg(one.alias("n"), F.round(F.sum("prom"), 6).alias("total")),
+        "review_log": back["review_log"].groupBy(name.alias("segment"), F.concat(F.col("status"), F.lit(" "), F.lit(len(back["review_log"].columns))).alias("label")).agg(one.alias("n"), none.alias("total")),
+    }
     out = None
-    for n, df in back.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"))
-        out = one if out is None else out.unionByName(one)
+    for n, df in parts.items():
+        df = df.select(F.lit(n).alias("table_name"), "segment", "n", "total", "label")
+        out = df if out is None else out.unionByName(df)
     return out
 
 
@@ -685,7 +701,7 @@ def p11_prune_interbeat_tiny(spark, sf):
 
 @query
 def p12_mains_replaced_by_rescue(spark, sf):
-    s, raw, m, c, b, lay = _rescue_inputs(spark, sf, "prom >= 0.85 and tid % 3 <> 1")
+    s, raw, m, c, b, lay = _rescue_inputs(spark, sf, "prom >= 0.94 and tid % 3 <> 1")
     rescues = settle(S.rescue_peaks(c, m, b, SEG, lay))
     f = F.when(F.col("idx") % 2 == 0, 0.4).otherwise(1.0)  # every other main is weak
     return S.mains_replaced_by_rescue(m.withColumns({n: F.col(n) * f for n in ("amp", "prom", "width_s")}), rescues, SEG, lay)
@@ -1115,6 +1131,12 @@ def r19_resume_session(spark, sf):
     return d.select("segment_index", *J.CORNERS, "status", F.size("manual_afc_times_s").alias("n_manual"), F.size("main_peak_times_s").alias("n_main"))
 
 
+@query
+def r19_resume_decisions(spark, sf):
+    d = R.resume_decisions(J.upgrade_decisions(_parsed(spark, sf), []))
+    return d.select("segment_index", "status", *J.CORNERS, F.size("manual_afc_times_s").alias("n_manual"), F.size("accepted_times_s").alias("n_accepted"))
+
+
 @query
 def r20_apply_status(spark, sf):
     i = user_features(spark, sf).select("segment_no")

@@ -1,5 +1,6 @@
 """Whole analysis on waveforms with known beats."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,12 +23,13 @@ def result(spark):
     t = parts[0]
     for p in parts[1:]:
         t = t.unionByName(p)
-    r = analyze_traces(settle(t.orderBy(F.rand(7))))
-    return r, {x.segment_no: x for x in r.segments.collect()}
+    t = settle(t.orderBy(F.rand(7)))
+    r = analyze_traces(t)
+    return r, {x.segment_no: x for x in r.segments.collect()}, t
 
 
 def test_beats_recovered(result):
-    r, seg = result
+    r, seg, _ = result
     for n in (0, 1, 2):
         assert seg[n].qc_pass and seg[n].n_main == 10
     assert seg[0].polarity == 1 and seg[1].polarity == -1
@@ -35,13 +37,13 @@ def test_beats_recovered(result):
 
 
 def test_inversion_gives_the_same_events(result):
-    r, _ = result
+    r = result[0]
     t = [[(round(e.time_s, 6), round(e.amp, 9)) for e in r.events.where(f"segment_no = {n}").orderBy("time_s").collect()] for n in (0, 1)]
     assert t[0] == t[1] and [round(v, 1) for v, _ in t[0]] == [i + 0.5 for i in range(10)]
 
 
 def test_missing_trace_leaves_a_gap(result):
-    r, seg = result
+    r, seg, _ = result
     assert seg[3].n_main == 9 and seg[3].gap_samples > 0
     assert r.samples.where("segment_no = 3 and in_gap").count() == seg[3].gap_samples
 
@@ -58,10 +60,23 @@ def test_rejections(result):
 
 
 def test_audit_adds_up(result):
-    r, _ = result
+    r = result[0]
     for x in r.peak_trace.groupBy("segment_no").agg(
         F.count("*").alias("n"), F.count_if(F.col("final_label").isin("main", "rescue", "dropped", "raw_only")).alias("k"),
         F.count_if((F.col("final_label") == "main") & (F.col("rejection_reason") != "")).alias("bad"),
     ).collect():
         assert x.n == x.k and x.bad == 0
     assert r.candidates.where("selected").count() == r.candidates.select("segment_no").distinct().count()
+
+
+def test_cut_segments_give_the_same_tables(result):
+    """The whole analysis with segments cut into chunks of 200 samples, row by row."""
+    whole, _, traces = result
+    cut = analyze_traces(traces, size=200)
+    for name in ("segments", "events", "peak_trace", "candidates", "gaps", "samples"):
+        a, b = getattr(whole, name).toPandas(), getattr(cut, name).toPandas()
+        cols = sorted(a.columns)
+        by = [c for c in ("segment_no", "polarity", "idx", "peak_index_raw", "time_s", "s") if c in cols]
+        a, b = (d[cols].sort_values(by).reset_index(drop=True) for d in (a, b))
+        assert len(a) > 0
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-7, atol=1e-9)

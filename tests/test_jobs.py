@@ -88,8 +88,6 @@ def test_kernel_error_is_a_row(spark):
 
 def test_failing_segment_leaves_the_others(spark, monkeypatch):
     traces = beating_traces(spark, 2, beats=8, fs=100.0)
-    real = detect.Q.trace_correlation
-
     def failing(t, keys):
         def fn(c):
             if c["_n"][0] == 1:
@@ -100,10 +98,7 @@ def test_failing_segment_leaves_the_others(spark, monkeypatch):
         return arrow_groups(d, keys, keys, [("corr_med", "double")], fn)
 
     monkeypatch.setattr(detect.Q, "trace_correlation", failing)
-    with pytest.raises(Exception, match="broken segment"):
-        detect.analyze_traces(traces)
     r = detect.analyze_traces(traces, isolate=True)
     seg = {x.segment_no: x for x in r.segments.collect()}
     assert seg[0].qc_pass and seg[0].n_main == 8 and not seg[1].qc_pass and seg[1].qc_reason == "runtime_error_KeyError" and seg[1].n_main == 0
     assert r.events.where("segment_no = 1").count() == 0 and r.events.where("segment_no = 0").count() == 8
-    assert real is not failing
