@@ -618,3 +618,5 @@ SELECT segment_no, x AS x_start_s, coalesce('r' || idx, 'not_reviewed') AS statu
 sql("g12_sample_id", f"WITH {IDS} SELECT segment_no, row_no, {NORM} AS sample_id FROM ids")
 sql("g13_number_text", """SELECT event_id, CASE WHEN event_id % 6 < 2 THEN '' ELSE printf('%.3f', event_id / 8) END AS text, CASE WHEN event_id % 6 < 2 THEN -1.0::DOUBLE ELSE event_id / 8 END AS number FROM events""")
 sql("g14_candidate_metrics", f"""WITH {UF} SELECT segment_no, CASE WHEN n_main % 2 = 0 THEN 'invert_false' ELSE 'invert_true' END AS candidate_selected, 'invert_false' AS first_label, 2::INTEGER AS n_tested, n_main % 2 = 1 AS inverted_pass, n_main AS n_as_is FROM uf""")
+
+from . import analysis_sql  # noqa: E402, F401  (registers the whole analysis, made of the parts above)

@@ -837,7 +837,7 @@ def p19_beat_totals(spark, sf):
 @query
 def p20_detection_candidates(spark, sf):
     r = analyze_traces(beating_embedding_traces(spark, sf), SEG)
-    return r.candidates
+    return rounded(r.candidates, 6, "quality_score", "periodicity", "ibi_cv", "prom_snr")
 
 
 def beating_embedding_traces(spark, sf):
