@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from beatframe.operators.layout import settle
 from beatframe.operators.peaks import arrow_groups, collected_errors
-from beatframe.plans import detect
+from beatframe.params import DETECTOR
+from beatframe.plans import detect, jobs
 from beatframe.plans.jobs import analyze_sheets, review_sheets
 from beatframe.plans.waveforms import beating_traces
 from beatframe.sources import sessions as J, tables as IO
@@ -29,7 +30,9 @@ def sheets(spark):
                            F.col("fs").alias("Sampling Frequency"), F.col("begin_s").alias("Begin"), F.lit("7.0").alias("Sample ID")))
 
 
-def test_automatic_and_review_jobs(spark, sheets, tmp_path):
+def test_automatic_and_review_jobs(spark, sheets, tmp_path, monkeypatch):
+    prepared = jobs._prepare(sheets, 1.0, 8.0, DETECTOR)  # one analysis for the three jobs below
+    monkeypatch.setattr(jobs, "_prepare", lambda *a: prepared)
     auto = {(r.recording_id, r.segment_no): r for r in analyze_sheets(sheets, str(tmp_path / "auto"), 1.0, 8.0, with_trace=True).collect()}
     assert set(auto) == {("a", 1), ("a", 2), ("b", 1), ("b", 3)}
     for k in (("a", 1), ("a", 2)):
