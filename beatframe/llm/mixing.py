@@ -27,6 +27,8 @@ from .embedding_dedup import ROUNDS, spherical_kmeans
 SAMPLE, TOPICS, SPACE, CELLS = 2048, 8, 256, 1 << 16
 UNIT = 1 << 20  # vectors are summed as whole numbers of this part: the same in any order
 AXES = ("source", "lang", "topic")
+#: Columns that ``mixed`` adds.
+NEW = ["_source", "_lang", "_topic", "_tokens", "_weight", "_probability", "_kept"]
 LOOK = "_source string, _lang string, _topic int, _weight double, _probability double"
 
 
@@ -217,9 +219,11 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     ``targets``: by axis (source, lang, topic) the wanted share of each value; an axis without
     targets gets shares in proportion to its tokens to ``power``.  Text without words counts no
     tokens; a cell without tokens keeps all its rows.  Repeated rows decide alike, and so do
-    all rows without doc_id.
+    all rows without doc_id.  Columns of ``docs`` that have one of the new names are replaced
+    (:func:`mixture` returns all columns as they were).
     """
     spark, n = prepare(docs.sparkSession), F.col
+    docs = docs.drop(*NEW)
     text = docs.select(n("doc_id").cast("long").alias("doc_id"), n("text").cast("string").alias("text"))
     centres = topics(text)
     plain = docs.select("doc_id", n("text").cast("string").alias("text"), *(F.coalesce(n(c).cast("string"), F.lit("unknown")).alias(f"_{c}") for c in AXES[:2]))
@@ -236,5 +240,9 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are sampled."""
-    return mixed(docs, **how).where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that are sampled; other columns may have any name."""
+    used = ["doc_id", "text", *AXES[:2]]
+    others = [c for c in docs.columns if c not in used]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest") if others else F.lit(0).alias("rest")
+    kept = mixed(docs.select(*used, rest), **how).where("_kept")
+    return kept.select(*[F.col("rest").getField(c).alias(c) if c in others else c for c in docs.columns])

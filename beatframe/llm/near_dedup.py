@@ -234,6 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group; rows without doc_id all stay."""
-    kept = near_duplicates(docs, percent, size).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept_id"))
-    one = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    own = "_kept_id"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    kept = near_duplicates(docs, percent, size).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(own))
+    one = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

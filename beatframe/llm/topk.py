@@ -23,14 +23,18 @@ from .common import dealt, groups, prepare, settle, width
 from .vectors import NUM, matrix, packed, sound, unpacked, widened
 
 SAMPLE, PIVOTS, BLOCK, GROUP, SHARE = 4096, 64, 512, 16384, 65536
+#: Squared norms beyond this, and components beyond LARGEST, are outside the index's geometry.
+HUGE, LARGEST = 2.0**900, 1e300
 
 
 def _integers(scale: float):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                v = np.floor(scale * matrix(b.column("v"))) + 0.0
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), packed(v), pa.array((v * v).sum(axis=1))], names=["vec_id", "asks", "v", "norm2"])
+                with np.errstate(over="ignore"):
+                    v = np.clip(np.floor(scale * matrix(b.column("v"))), -LARGEST, LARGEST) + 0.0
+                    norm2 = (v * v).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), packed(v), pa.array(norm2)], names=["vec_id", "asks", "v", "norm2"])
 
     return run
 
@@ -57,9 +61,11 @@ def _place(pivots: np.ndarray, most: float, dim: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                n2 = b.column("norm2").to_numpy()
-                d = _apart(_lift(unpacked(b.column("v")), n2, most, dim), pivots)
+                n2, v = b.column("norm2").to_numpy(), unpacked(b.column("v"))
+                far = n2 > HUGE
+                d = _apart(_lift(np.where(far[:, None], 0.0, v), np.where(far, 0.0, n2), most, dim), pivots)
                 near = d.argmin(axis=1)
+                d[far], near = 0.0, np.where(far, -1, near)  # annuli of their own, which every query expands
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "asks", "v", "norm2")), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["vec_id", "asks", "v", "norm2", "pivot", "r"])
 
     return run
@@ -83,7 +89,7 @@ def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact inner products of integers as longs (held at the limits of a long beyond them)."""
     if q.size and v.size and np.abs(q).max() * np.abs(v).max() * q.shape[1] >= 2**53:
         big = np.vectorize(int, otypes=[object])(q) @ np.vectorize(int, otypes=[object])(v).T
-        return np.clip(big, -(2**63), 2**63 - 1).astype(np.int64)
+        return np.clip(big, -(2**63) + 1, 2**63 - 1).astype(np.int64)  # the least long means none
     return (q @ v.T).astype(np.int64)
 
 
@@ -98,8 +104,11 @@ def _search(k: int, pivots: np.ndarray, sample: np.ndarray, sample_ids: np.ndarr
             loaded = [load(int(i)) for i in asks]
             qid = np.concatenate([i for i, _ in loaded])
             q = np.concatenate([widened(v.reshape(len(i), -1), dim) for i, v in loaded])
-            n2 = (q * q).sum(axis=1)
-            far = _apart(np.column_stack([q, np.zeros(len(q))]), pivots)
+            with np.errstate(over="ignore"):
+                n2 = (q * q).sum(axis=1)
+            huge = n2 > HUGE
+            n2 = np.where(huge, 0.0, n2)
+            far = _apart(np.column_stack([np.where(huge[:, None], 0.0, q), np.zeros(len(q))]), pivots)
             # what the sample alone guarantees
             least = np.full(len(q), np.iinfo(np.int64).min)
             if len(sample) > k:
@@ -111,6 +120,7 @@ def _search(k: int, pivots: np.ndarray, sample: np.ndarray, sample_ids: np.ndarr
             bound = np.maximum(np.maximum(lo[None, :] - tt, tt - hi[None, :]), 0)
             top = (n2[:, None] + most - bound * bound) / 2
             top += 1e-9 * (n2[:, None] + most) + 1e-6  # rounding
+            top[huge], top[:, piv < 0] = np.inf, np.inf
             best_s, best_i = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
             for j in np.argsort(-top.max(axis=0), kind="stable").tolist():
                 on = np.flatnonzero(top[:, j] >= least)
@@ -147,13 +157,15 @@ def top_products(vectors: DataFrame, asks: Column, k: int = 20, scale: float = 6
     Components become floor(scale * x).  Vectors that are null or hold a null or non-finite
     component, and rows without vec_id, take no part.  Shorter vectors count as filled up with
     zeros.  Rows that repeat a vec_id are candidates each, but never of their own vec_id.
+    Components beyond 1e300 are held there, and scores at the limits of a long; such vectors
+    are compared without the index's bounds.
     """
     spark, n = prepare(vectors.sparkSession), F.col
     v = vectors.where(sound("embedding") & n("vec_id").isNotNull()).select(n("vec_id").cast("long").alias("vec_id"), F.coalesce(asks, F.lit(False)).alias("asks"), n("embedding").cast(NUM).alias("v"))
     v = settle(v.mapInArrow(_integers(scale), "vec_id long, asks boolean, v binary, norm2 double"), "integers")
-    count = v.agg(F.count("*").alias("n"), F.sum(n("asks").cast("long")).alias("q"), F.max("norm2").alias("most"), (F.max(F.octet_length("v")) / 8).cast("int").alias("dim")).first()
+    count = v.agg(F.count("*").alias("n"), F.sum(n("asks").cast("long")).alias("q"), F.max(F.when(n("norm2") <= HUGE, n("norm2"))).alias("most"), (F.max(F.octet_length("v")) / 8).cast("int").alias("dim")).first()
     most, dim = float(count.most or 0), int(count.dim or 0)
-    picked = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    picked = v.where(n("norm2") <= HUGE).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = np.array([np.pad(np.frombuffer(r.v, np.float64), (0, dim - len(r.v) // 8)) for r in picked]).reshape(len(picked), dim)
     ids = np.array([r.vec_id for r in picked], np.int64)
     if len(set(ids.tolist())) < len(ids):  # of rows that repeat an id one speaks for the sample

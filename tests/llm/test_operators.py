@@ -406,3 +406,36 @@ def test_warc_of_many_members(spark, tmp_path):
     assert [x for _, x in warc.parse(warc.inflated(members))] == [x for _, x in warc.parse(b"".join(data))]
     with pytest.raises(ValueError):
         list(warc.parse(warc.inflated(members[:-30])))
+
+
+def test_huge_vectors_take_part(spark):
+    from beatframe.llm.topk import top_products
+
+    r = np.random.default_rng(4)
+    vecs = [(i, [float(x) for x in r.normal(size=4)]) for i in range(60)]
+    vecs += [(60, [1e200, 0.0, 0.0, 0.0]), (61, [2e307, -2e307, 0.0, 0.0]), (62, [-1e160, 3.0, 0.0, 1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    whole = {i: [int(max(-1e300, min(1e300, np.floor(64 * np.longdouble(x))))) for x in v] for i, v in vecs}
+    clip = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    want = {}
+    for q in whole:
+        if q % 20 == 0:
+            scores = sorted(((-clip(sum(a * b for a, b in zip(whole[q], whole[c]))), c) for c in whole if c != q))
+            want[q] = [(k + 1, c, -s) for k, (s, c) in enumerate(scores[:5])]
+    got = {}
+    for x in top_products(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert got == want
+
+
+def test_clashing_names_in_mixing_and_dedup(spark, docs):
+    from beatframe.llm.mixing import mixed, mixture
+    from beatframe.llm.near_dedup import keep_one
+
+    odd = docs.withColumns({c: F.lit(f"own {c}") for c in ("_topic", "_tokens", "_weight", "_source", "_kept", "_kept_id", "rest", "tokens")})
+    for f in (mixture, lambda d: keep_one(d, 85)):
+        plain, out = f(docs), f(odd)
+        assert out.columns == odd.columns
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in plain.collect())
+        assert {tuple(r) for r in out.select("_topic", "_tokens", "_weight", "_source", "_kept_id", "rest").distinct().collect()} == {tuple(f"own {c}" for c in ("_topic", "_tokens", "_weight", "_source", "_kept_id", "rest"))}
+    assert mixed(odd).schema["_topic"].dataType.simpleString() == "int"
