@@ -868,7 +868,7 @@ def beating_sheets(spark, sf):
 def w1_automatic_job(spark, sf):
     from .jobs import analyze_sheets
 
-    return rounded(analyze_sheets(beating_sheets(spark, sf), _fresh(spark, "job"), 1.0, 60.0, with_trace=True), 6, "bpm_user", "detected_total_expected_ratio", "average_prom", "average_amp")
+    return rounded(analyze_sheets(settle(beating_sheets(spark, sf)), _fresh(spark, "job"), 1.0, 60.0, with_trace=True), 6, "bpm_user", "detected_total_expected_ratio", "average_prom", "average_amp")
 
 
 @query
