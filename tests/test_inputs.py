@@ -88,3 +88,18 @@ def test_corpus_operators_are_optional():
 
     code = "import sys; sys.modules['beatframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
+
+
+def test_dominant_period_takes_every_segment_whole(spark, tmp_path):
+    """Segments whose number ends in 0 or 1 are neither cut nor flattened; too short and constant ones have no period."""
+    import datetime
+
+    from beatframe.plans.queries import a7_dominant_period
+
+    day = datetime.date(1994, 1, 1)
+    price = {10: lambda i: 2e4 + 1e4 * math.sin(2 * math.pi * i / 80), 11: lambda i: 2e4 + 1e4 * math.sin(2 * math.pi * i / 120), 12: lambda i: 2e4}
+    rows = [(k, day + datetime.timedelta(i), i, 1, f(i)) for k, f in price.items() for i in range(600)] + [(13, day, i, 1, 1e4 + i) for i in range(60)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_shipdate date, l_orderkey bigint, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.segment_no: r for r in a7_dominant_period(spark, str(tmp_path)).collect()}
+    assert abs(got[10].period_s - 0.32) < 0.01 and abs(got[11].period_s - 0.48) < 0.01
+    assert [(got[k].period_s, got[k].score) for k in (12, 13)] == [(None, 0.0)] * 2
