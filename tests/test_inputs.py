@@ -103,3 +103,29 @@ def test_dominant_period_takes_every_segment_whole(spark, tmp_path):
     got = {r.segment_no: r for r in a7_dominant_period(spark, str(tmp_path)).collect()}
     assert abs(got[10].period_s - 0.32) < 0.01 and abs(got[11].period_s - 0.48) < 0.01
     assert [(got[k].period_s, got[k].score) for k in (12, 13)] == [(None, 0.0)] * 2
+
+
+def test_short_groups_share_a_kernel_call(spark):
+    """Beats are signals of one call, not groups of their own; a NaN in one segment leaves the others alone."""
+    from pyspark.sql import functions as F
+
+    from beatframe.functions import kernels as K
+    from beatframe.operators import peaks as P, review as R
+    from beatframe.operators.layout import Layout
+
+    def wave(k, i):
+        return math.nan if (k, i) == (2, 333) else math.sin(i * 0.37) + 0.3 * math.cos(i * i * 0.05 + k)
+
+    rows = [(k, i, i / 250.0, wave(k, i), 250.0) for k in range(1, 41) for i in range(700)]
+    s = spark.createDataFrame(rows, "segment_no int, idx int, t_s double, x double, fs double")
+    mains = s.where("idx % 60 = 7").selectExpr("segment_no", "t_s as time_s", "1.0D as amp")
+    run = lambda lay: R.window_candidates(s, R.beat_windows(mains, R.time_span(s, ["segment_no"]), ["segment_no"], lay).withColumn("lower", R.lit(-1.0)), ["segment_no"], lay)
+    got = run(Layout())
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()
+    key = lambda r: (r.segment_no, r.beat, r.idx, round(r.prom, 9), round(r.width_s, 9))
+    assert {key(r) for r in got.collect() if r.segment_no != 2} == {key(r) for r in run(Layout(size=128, long=True)).collect() if r.segment_no != 2}
+    found = {}
+    for r in P.find_peaks(s, ["segment_no", "fs"], Layout(), min_prom=F.lit(0.1), distance=F.lit(5), min_width=F.lit(2.0)).collect():
+        found.setdefault(r.segment_no, []).append(r.idx)
+    for k in range(1, 41):
+        assert sorted(found[k]) == K.find_peaks(np.array([wave(k, i) for i in range(700)]), 0.1, 5, 2.0)[0].tolist()
