@@ -207,14 +207,23 @@ def dominant_period(samples: DataFrame, keys: list[str], lay: Layout) -> DataFra
 
     @F.pandas_udf("period_s double, score double")
     def pick(acf: pd.Series, n: pd.Series, fs: pd.Series, sd: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, m, f, s in zip(acf, n, fs, sd):
-            if m < int(0.5 * f) or s < TINY:
-                out.append((None, 0.0))
+        out, parts, of = [(None, 0.0)] * len(n), [], []
+        for i, (a, m, f, s) in enumerate(zip(acf, n, fs, sd)):
+            lo, hi = max(2, int(0.15 * f)), min(int(m) - 1, int(2.0 * f))
+            if m < int(0.5 * f) or s < TINY or hi <= lo:
                 continue
             a = np.asarray(a, dtype=float)
-            lag, v = K.dominant_lag(a / max(a[0] / s**2, TINY) / s**2, max(2, int(0.15 * f)), min(int(m) - 1, int(2.0 * f)))
-            out.append((lag / f if lag >= 0 else None, v))
+            a = a / max(a[0] / s**2, TINY) / s**2
+            if not np.isfinite(a).all():  # by itself, it would reach into the others
+                lag, v = K.dominant_lag(a, lo, hi)
+                out[i] = (lag / f if lag >= 0 else None, v)
+                continue
+            parts.append(a[lo : hi + 1])
+            of.append((i, lo, f))
+        if parts:
+            for (i, lo, f), (pos, v) in zip(of, K.dominant_many(parts)):
+                if pos >= 0:
+                    out[i] = ((pos + lo) / f, v)
         return pd.DataFrame(out, columns=["period_s", "score"]).astype(float)
 
     got = part.select(*keys, pick("acf", "n", "fs", "sd").alias("r"))
@@ -290,7 +299,7 @@ def choose_polarity(samples: DataFrame, keys: list[str], lay: Layout, p: Detecto
     s = lay.with_quantiles(s, keys, F.col("trend"), {"_tm": 0.5})
     s = s.withColumn("x", F.col("x") - F.coalesce(F.col("trend") - F.col("_tm"), F.lit(0.0)))
     s = moving_average(s, keys, lay, p.orient_smooth_ms, 5)
-    s = s.withColumn("x", F.col("smooth")).drop("smooth")
+    s = settle(s.withColumn("x", F.col("smooth")).drop("smooth"))  # read by the scores and the vote
     both = s.withColumn("sgn", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("x", F.col("x") * F.col("sgn"))
     sc = polarity_score(both, keys + ["sgn"], lay, p)
     sc = sc.groupBy(*keys).pivot("sgn", [1, -1]).agg(F.first("polarity_score").alias("s"), F.first("n_peaks").alias("n"))
@@ -344,13 +353,19 @@ def mixed_direction_flip(samples: DataFrame, keys: list[str], lay: Layout, p: De
     s = settle(lay.with_aggs(s.withColumn("x", F.col("x") - F.col("_m")).drop("_m"), keys, _n=F.count(F.lit(1))))
     every = s.groupBy(*keys).agg(F.first("_n").alias("_n"))
     s = s.where(F.col("_n") >= F.greatest(F.lit(40), (0.8 * fs).cast("int")))
-    s = s.join(noise_mad(s, keys, lay), keys)
-    s = s.withColumn("sgn", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("x", F.col("x") * F.col("sgn"))
+    s = settle(s.join(noise_mad(s, keys, lay), keys))
     kk = keys + ["sgn"]
-    pk = find_peaks(
-        s, kk + ["fs", "_n"], lay, min_prom=F.greatest(F.lit(0.010), 2.8 * F.col("noise_mad")),
-        distance=samples_of(0.10, fs), min_width=F.lit(2.0),
-    )
+
+    def peaks(signed):
+        return find_peaks(
+            signed.withColumn("x", F.col("x") * F.col("sgn")), kk + ["fs", "_n"], lay, min_prom=F.greatest(F.lit(0.010), 2.8 * F.col("noise_mad")),
+            distance=samples_of(0.10, fs), min_width=F.lit(2.0),
+        )
+
+    if lay.long:
+        pk = peaks(s.withColumn("sgn", F.explode(F.array(F.lit(1), F.lit(-1)))))
+    else:  # tasks of their own, each of which sorts its rows once
+        pk = peaks(s.withColumn("sgn", F.lit(1))).unionByName(peaks(s.withColumn("sgn", F.lit(-1))))
     w = F.col("width") / F.greatest(fs, F.lit(1e-9))
     pk = settle(pk.where((w >= 0.014) & (w <= 0.80)))
     mid = F.floor(F.col("_n") / 2)

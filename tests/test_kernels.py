@@ -63,3 +63,10 @@ def test_trend_window_rules():
     assert K.trend_window(2500, 250.0, 6.0) == 1501
     assert K.trend_window(100, 250.0, 6.0) == 75
     assert K.trend_window(35, 1.0, 6.0) == 31
+
+
+def test_dominant_lags_of_many_segments_at_once():
+    r = np.random.default_rng(3)
+    parts = [r.normal(size=n) for n in (40, 3, 90, 2, 61)] + [np.zeros(20)]
+    want = [K.dominant_lag(p, 0, len(p) - 1) for p in parts]
+    assert K.dominant_many(parts) == want and want[-1] == (-1, 0.0)
