@@ -299,7 +299,8 @@ def choose_polarity(samples: DataFrame, keys: list[str], lay: Layout, p: Detecto
     s = lay.with_quantiles(s, keys, F.col("trend"), {"_tm": 0.5})
     s = s.withColumn("x", F.col("x") - F.coalesce(F.col("trend") - F.col("_tm"), F.lit(0.0)))
     s = moving_average(s, keys, lay, p.orient_smooth_ms, 5)
-    s = settle(s.withColumn("x", F.col("smooth")).drop("smooth"))  # read by the scores and the vote
+    # read by the scores and the vote; rows of a short segment stay in order
+    s = settle(s.withColumn("x", F.col("smooth")).drop("smooth"), None if lay.long else keys)
     both = s.withColumn("sgn", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("x", F.col("x") * F.col("sgn"))
     sc = polarity_score(both, keys + ["sgn"], lay, p)
     sc = sc.groupBy(*keys).pivot("sgn", [1, -1]).agg(F.first("polarity_score").alias("s"), F.first("n_peaks").alias("n"))
