@@ -19,6 +19,9 @@ a table keyed by context and byte (the counts of a byte's bits follow from those
 after a context): each block asks once for every context and byte that it has and says how
 often it saw it, buckets of contexts add up what all blocks saw and answer.  The table has all
 contexts of all words and grows with the vocabulary; nothing of it is broadcast or collected.
+Units get costs in the same way: each asks once for every word that it has, in the classes in
+which it has it, and buckets of words answer in the order of its words.
+What is written goes as compressed columns of numbers, sorted hashes as their distances.
 Words are told apart by 64-bit hashes, contexts by 56-bit hashes.
 """
 
@@ -28,15 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _power_tables, chunks, dealt, groups, mix, prepare, settle, signed, words
+from .common import _power_tables, chunks, dealt, groups, mix, prepare, settle, signed, width, words
 from .quality import held_out as held
 
 #: Bytes of items (a word in a class) in a block.
 UNIT, CLASSES, BLOCK_BYTES = 2_000_000, 4, 500_000
 #: Distinct bytes at a time: while the weights are learned (one update for each piece), and after.
 LEARN_STEP, STEP = 6_000, 100_000
-#: Predictors; buckets of contexts at least, and the bytes asked for that a bucket has about.
-PREDICTORS, BUCKETS, BUCKET_ROWS = 6, 64, 4_000_000
+#: Predictors; buckets of contexts or words at least, and the bytes asked for, or words, that a bucket has about.
+PREDICTORS, BUCKETS, BUCKET_ROWS, BUCKET_WORDS = 6, 64, 4_000_000, 1_000_000
 END = np.uint64(0x9D8F_37A1_55C3_0E21)  # stands for the end of a text among the words' hashes
 PRIOR, MAP_PRIOR, FORGET, LEVELS = 0.3, 16.0, 0.95, 33
 
@@ -50,12 +53,55 @@ START = 2
 
 # ---- units -------------------------------------------------------------------
 def _zip(x: np.ndarray) -> bytes:
-    return pa.Codec("zstd", compression_level=6).compress(x.tobytes(), asbytes=True)
+    """Numbers as their first bytes, their second bytes and so on: those that are alike come together."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return pa.Codec("zstd", compression_level=3).compress(planes.tobytes(), asbytes=True)
 
 
 def _unzip(col, dtype) -> np.ndarray:
     size, data = col
-    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), dtype) if size else np.zeros(0, dtype)
+    if not size:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    out = np.empty(planes.shape[::-1], np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view(dtype).ravel()
+
+
+def _zip_counts(x: np.ndarray) -> bytes:
+    """Numbers from 0, in as many bytes as the largest needs (told by the first byte)."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + _zip(x.astype(kind))
+
+
+def _unzip_counts(n: int, data: bytes) -> np.ndarray:
+    return _unzip((n * data[0], data[1:]), f"u{data[0]}")
+
+
+def _zip_sorted(x: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit numbers as their distances."""
+    return _zip(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unzip_sorted(n: int, data: bytes) -> np.ndarray:
+    return np.cumsum(_unzip((8 * n, data), np.uint64), dtype=np.uint64)
+
+
+def _cut(sorted_hashes: np.ndarray, buckets: int):
+    """(bucket, range) of sorted hashes: buckets are their first bits."""
+    bucket = (sorted_hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            yield int(bucket[a]), slice(a, b)
+
+
+def _row(values: list, shape: str) -> pa.RecordBatch:
+    """One row of the columns that a schema names."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [x.split() for x in shape.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, columns)], names=[c for c, _ in columns])
 
 
 UNITS = "unit long, docs binary, n_docs int, codes binary, n_codes int, hashes binary, counts binary, bytes binary, n_bytes int, n_words int"
@@ -80,7 +126,7 @@ def _pack(name: int, parts: list) -> pa.RecordBatch:
     text = buf[_spread(at, size)]
     docs = np.concatenate([ids, flag.astype(np.int64), n])
     body = np.concatenate([np.frombuffer(size.astype(np.int32).tobytes(), np.uint8), text])
-    row = {"unit": name, "docs": _zip(docs), "n_docs": len(ids), "codes": _zip(code.astype(np.int32)), "n_codes": len(code), "hashes": distinct.tobytes(), "counts": _zip(counts), "bytes": _zip(body), "n_bytes": len(body), "n_words": len(distinct)}
+    row = {"unit": name, "docs": _zip(docs), "n_docs": len(ids), "codes": _zip(code.astype(np.int32)), "n_codes": len(code), "hashes": _zip_sorted(distinct), "counts": _zip_counts(counts), "bytes": _zip(body), "n_bytes": len(body), "n_words": len(distinct)}
     types = {"unit": pa.int64(), **{k: pa.int32() for k in ("n_docs", "n_codes", "n_bytes", "n_words")}}
     return pa.RecordBatch.from_pydict({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
 
@@ -129,8 +175,8 @@ def _distinct(batches):
     for b in batches:
         for r in b.to_pylist():
             n = r["n_words"]
-            h = np.frombuffer(r["hashes"], np.int64)
-            counts = _unzip((n * CLASSES * 16, r["counts"]), np.int64).reshape(n, CLASSES, 2)
+            h = signed(_unzip_sorted(n, r["hashes"]))
+            counts = _unzip_counts(n * CLASSES * 2, r["counts"]).astype(np.int64).reshape(n, CLASSES, 2)
             body = _unzip((r["n_bytes"], r["bytes"]), np.uint8)
             size = body[: 4 * n].view(np.int32)
             off = np.concatenate([[0], np.cumsum(size)])
@@ -142,13 +188,48 @@ def _distinct(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h[z]), word[z], *(pa.array(counts[z, k, 0]) for k in range(CLASSES)), pa.array(mask[z])], names=["h", "word", *(f"c{k}" for k in range(CLASSES)), "mask"])
 
 
-def _places(batches):
+WANTED = "bucket int, unit long, n int, hashes binary, mask binary, counts binary, cost binary"
+FOUND = "unit long, bucket int, n int, mask binary, counts binary, cost binary"
+
+
+def _wanted(buckets: int):
+    """Words of units by bucket, with the classes in which a unit has them."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                n = r["n_words"]
+                h = _unzip_sorted(n, r["hashes"])
+                counts = _unzip_counts(n * CLASSES * 2, r["counts"]).astype(np.int64).reshape(n, CLASSES, 2)
+                mask = ((counts[:, :, 1] > 0) << np.arange(CLASSES)).sum(axis=1).astype(np.uint8)
+                for bucket, z in _cut(h, buckets):
+                    yield _row([bucket, r["unit"], z.stop - z.start, _zip_sorted(h[z]), _zip(mask[z]), None, None], WANTED)
+
+    return run
+
+
+def _in_classes(mask: np.ndarray) -> np.ndarray:
+    return ((mask[:, None] >> np.arange(CLASSES)) & 1).astype(bool)
+
+
+def _found(batches):
+    """Training counts and costs of the words that units want, from buckets that have their own words first (unit -1)."""
+    now, parts, table = None, [], None
     for b in batches:
         for r in b.to_pylist():
-            h = np.frombuffer(r["hashes"], np.int64)
-            for a in range(0, len(h), 100_000):
-                part = h[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), r["unit"])), pa.array(np.arange(a, a + len(part), dtype=np.int32))], names=["h", "unit", "i"])
+            if r["bucket"] != now:
+                now, parts, table = r["bucket"], [], None
+            n, h = r["n"], _unzip_sorted(r["n"], r["hashes"])
+            if r["unit"] < 0:
+                parts.append((h, _unzip_counts(n, r["counts"]).astype(np.int64), _unzip((4 * CLASSES * n, r["cost"]), np.float32).reshape(n, CLASSES)))
+                continue
+            if table is None:
+                table = [np.concatenate(x) for x in zip(*parts)]
+                order = np.argsort(table[0])
+                parts, table = [], [x[order] for x in table]
+            at = np.searchsorted(table[0], h)
+            cost = table[2][at][_in_classes(_unzip((n, r["mask"]), np.uint8))]
+            yield _row([r["unit"], now, n, r["mask"], _zip_counts(table[1][at]), _zip(cost)], FOUND)
 
 
 # ---- bits --------------------------------------------------------------------
@@ -178,7 +259,10 @@ def _once(value: np.ndarray, ctx: list):
     """Items that begin alike share their first bytes: the distinct bytes (with what stands before
     them) in the order of a hash, the number among these of every byte, and their contexts."""
     key = mix(ctx[-1] ^ ((value.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(key)  # any of equal ones stands for all
+    new = np.concatenate([[True], np.diff(key[order]) != 0])[: len(key)]
+    first, number = order[new], np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
     return value[first], number, [c[first] for c in ctx]
 
 
@@ -224,15 +308,14 @@ def _blocks(batches):
 def _block(name: int, parts: list) -> pa.RecordBatch:
     h, counts, size, mask, text = (np.concatenate(x) for x in zip(*parts))
     body = np.concatenate([np.frombuffer(size.tobytes(), np.uint8), mask, text])
-    row = [name, h.tobytes(), len(h), _zip(counts), _zip(body), len(body)]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+    row = [name, h.tobytes(), len(h), _zip_counts(counts), _zip(body), len(body)]
+    return _row(row, BLOCKS)
 
 
 def _items(r: dict):
     """Items of a block: word, class; training counts of words by class; bytes and sizes of items."""
     n = r["n_words"]
-    counts = _unzip((n * CLASSES * 8, r["counts"]), np.int64).reshape(n, CLASSES)
+    counts = _unzip_counts(n * CLASSES, r["counts"]).astype(np.int64).reshape(n, CLASSES)
     body = _unzip((r["n_bytes"], r["bytes"]), np.uint8)
     size, mask = body[: 4 * n].view(np.int32).astype(np.int64), body[4 * n : 5 * n]
     row, cls = np.nonzero((mask[:, None] >> np.arange(CLASSES)) & 1)
@@ -258,18 +341,14 @@ def _open(r: dict):
 
 def _ask(buckets: int):
     """What blocks saw of each pair, by bucket of contexts (their first bits)."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 *_, weight, pairs, where = _open(r)
                 seen = np.bincount(where.ravel(), np.tile(weight, PREDICTORS), len(pairs)).astype(np.int64)
-                bucket = (pairs >> shift).astype(np.int32)
-                for z in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(bucket)) + 1):
-                    row = [int(bucket[z[0]]), r["block"], len(z), _zip(pairs[z]), _zip(seen[z])]
-                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+                for bucket, z in _cut(pairs, buckets):
+                    yield _row([bucket, r["block"], z.stop - z.start, _zip_sorted(pairs[z]), _zip_counts(seen[z])], ASKED)
 
     return run
 
@@ -293,15 +372,13 @@ def _counted(pairs: np.ndarray, seen: np.ndarray) -> np.ndarray:
 def _answer(batches):
     for t in groups(batches, ["bucket"]):
         n = t.column("n").to_numpy()
-        asked = np.concatenate([_unzip((8 * m, x.as_py()), np.uint64) for m, x in zip(n.tolist(), t.column("pairs"))])
-        seen = np.concatenate([_unzip((8 * m, x.as_py()), np.int64) for m, x in zip(n.tolist(), t.column("seen"))])
+        asked = np.concatenate([_unzip_sorted(m, x.as_py()) for m, x in zip(n.tolist(), t.column("pairs"))])
+        seen = np.concatenate([_unzip_counts(m, x.as_py()).astype(np.int64) for m, x in zip(n.tolist(), t.column("seen"))])
         pairs, where = np.unique(asked, return_inverse=True)
         counted = _counted(pairs, np.bincount(where, seen, len(pairs)).astype(np.int64))
         at = 0
         for m, block, bucket in zip(n.tolist(), t.column("block").to_pylist(), t.column("bucket").to_pylist()):
-            row = [block, bucket, m, _zip(counted[:, where[at : at + m]])]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t_) for x, t_ in zip(row, kinds)], names=[x.split()[0] for x in ANSWERED.split(", ")])
+            yield _row([block, bucket, m, _zip_counts(counted[:, where[at : at + m]])], ANSWERED)
             at += m
 
 
@@ -325,7 +402,7 @@ def _seen(n: np.ndarray, levels: int) -> np.ndarray:
 def _said(r: dict, every: np.ndarray, learning: bool):
     """Of each bit of a block's distinct bytes, the last first: step, node, bit, and of every pair the
     log odds of the bit and how much its context has seen (while learning without one sighting)."""
-    said = np.concatenate([_unzip((36 * n, x), np.float32).reshape(9, -1) for n, x in zip(r["n"], r["answer"])], axis=1)
+    said = np.concatenate([_unzip_counts(9 * n, x).reshape(9, -1).astype(np.float32) for n, x in zip(r["n"], r["answer"])], axis=1)
     same = said[0].astype(np.float64)
     for step, node, y in reversed(list(_bits(every))):
         own, other = np.maximum(same - 1, 0) if learning else same, said[step + 1]
@@ -335,11 +412,13 @@ def _said(r: dict, every: np.ndarray, learning: bool):
 
 def _inputs(odds: np.ndarray, seen: np.ndarray, where: np.ndarray, step: int, y: np.ndarray):
     """Log odds of every predictor in the order of their gates; that order; and (gate, from, to) of each."""
-    x = np.where(y == 1, odds[where], -odds[where]).T
     gate = _seen(seen[where[4]], 6) * np.uint8(4) + _seen(seen[where[2]] / 4, 4)
     order = np.argsort(gate, kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=24))]).tolist()
-    return x[order], order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
+    sign, x = (2 * y[order] - 1).astype(np.float32), np.empty((len(y), PREDICTORS), np.float32)
+    for k in range(PREDICTORS):
+        x[:, k] = odds[where[k][order]] * sign
+    return x, order, [(step * 24 + g, cuts[g], cuts[g + 1]) for g in range(24) if cuts[g] < cuts[g + 1]]
 
 
 def _pieces(total: int, size: int):
@@ -360,7 +439,7 @@ def _learn(batches):
     and what bits followed each mixed probability."""
     w = np.full((GATES, PREDICTORS), 1.5 / PREDICTORS)
     curve = np.tile(np.eye(PREDICTORS), (GATES, 1, 1))  # what the words so far say of the weights
-    seen = np.zeros((GATES, PREDICTORS))
+    seen, ridge = np.zeros((GATES, PREDICTORS)), 1e-3 * np.eye(PREDICTORS)
     after = np.zeros((256 * LEVELS, 2))
     for r in (r for b in batches for r in b.to_pylist()):
         *_, every, weight, _, where = _open(r)
@@ -376,7 +455,7 @@ def _learn(batches):
                     z[a:b] = xs @ w[gate]
                     p = _squash(z[a:b])
                     push, h = (cs[a:b] * (ys[a:b] - p)) @ xs, cs[a:b] * p * (1 - p)
-                    curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + 1e-3 * np.eye(PREDICTORS)
+                    curve[gate] = FORGET * curve[gate] + xs.T @ (xs * h[:, None]) + ridge
                     w[gate] = np.clip(w[gate] + np.linalg.solve(curve[gate], push), -8, 8)
                     seen[gate] += cs[a:b].sum()
                 at = node[part][order] * LEVELS + _level(z)
@@ -385,8 +464,8 @@ def _learn(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "v"])
 
 
-def _predict(w: np.ndarray, after: np.ndarray):
-    """Cost of each word in each class that it occurs in, and its training count."""
+def _predict(w: np.ndarray, after: np.ndarray, buckets: int):
+    """Cost of each word in each class that it occurs in, and its training count, by bucket of words."""
     follow = after.sum(axis=1)
 
     def run(batches):
@@ -405,27 +484,27 @@ def _predict(w: np.ndarray, after: np.ndarray):
                     bits[part] += np.log10(np.where(y[part] == 1, p, 1 - p))
             cost = np.zeros((len(counts), CLASSES))
             cost[row, cls] = np.bincount(item, bits[number], len(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["hashes"], np.int64)), pa.array(counts.sum(axis=1)), pa.array([x.tobytes() for x in cost.astype(np.float32)], pa.binary())], names=["h", "c", "cost"])
+            h = np.frombuffer(r["hashes"], np.uint64)
+            order = np.argsort(h)
+            h, c, cost = h[order], counts.sum(axis=1)[order], cost.astype(np.float32)[order]
+            for bucket, z in _cut(h, buckets):
+                yield _row([bucket, -1, z.stop - z.start, _zip_sorted(h[z]), None, _zip_counts(c[z]), _zip(cost[z])], WANTED)
 
     return run
 
 
 def _texts(total: int, distinct: int):
-    unknown = np.log10(0.1) - np.log10(total + 0.1 * (distinct + 1))
-
     def run(batches):
         for t in groups(batches, ["unit"]):
-            i = t.column("i").to_numpy()
-            head = int(np.flatnonzero(i < 0)[0])
-            r = {k: t.column(k)[head].as_py() for k in ("docs", "n_docs", "codes", "n_codes", "n_words")}
-            d, n = _unzip((r["n_docs"] * 24, r["docs"]), np.int64).reshape(3, -1), r["n_words"]
+            r = {k: t.column(k)[0].as_py() for k in ("docs", "n_docs", "codes", "n_codes")}  # the unit itself has bucket -1
+            d = _unzip((r["n_docs"] * 24, r["docs"]), np.int64).reshape(3, -1)
             code = _unzip((r["n_codes"] * 4, r["codes"]), np.int32)
-            on = i >= 0
-            base, known, cost = np.full(n, unknown), np.zeros(n, bool), np.zeros((n, CLASSES))
-            c = t.column("c").to_numpy()[on]
-            base[i[on]] = np.log10(c + 0.1) - np.log10(total + 0.1 * (distinct + 1))
-            known[i[on]] = c > 0
-            cost[i[on]] = np.frombuffer(b"".join(x.as_py() for x in t.column("cost").filter(pa.array(on))), np.float32).reshape(-1, CLASSES)
+            found = t.slice(1).select(["n", "mask", "counts", "cost"]).to_pylist()
+            c = np.concatenate([_unzip_counts(x["n"], x["counts"]).astype(np.int64) for x in found])
+            mask = _in_classes(np.concatenate([_unzip((x["n"], x["mask"]), np.uint8) for x in found]))
+            base, known, cost = np.log10(c + 0.1) - np.log10(total + 0.1 * (distinct + 1)), c > 0, np.zeros(mask.shape)
+            sizes = [int(m.sum()) for m in np.split(mask, np.cumsum([x["n"] for x in found])[:-1])]
+            cost[mask] = np.concatenate([_unzip((4 * k, x["cost"]), np.float32) for k, x in zip(sizes, found)])
             at = np.concatenate([[0], np.cumsum(d[2])[:-1]])
             word = code // CLASSES
             sums = lambda x: np.add.reduceat(x, at) if len(at) else x
@@ -450,14 +529,15 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     units = settle(rows.mapInArrow(_units, UNITS), "units")
     counts = [f"c{k}" for k in range(CLASSES)]
     shape = "h long, word binary, " + "".join(f"{c} long, " for c in counts) + "mask long"
-    found = units.select("hashes", "counts", "bytes", "n_bytes", "n_words").mapInArrow(_distinct, shape)
-    vocabulary = settle(found.groupBy("h").agg(F.first("word").alias("word"), *(F.sum(c).alias(c) for c in counts), F.bit_or("mask").alias("mask")), "vocabulary")
+    seen = units.select("hashes", "counts", "bytes", "n_bytes", "n_words").mapInArrow(_distinct, shape)
+    vocabulary = settle(seen.groupBy("h").agg(F.first("word").alias("word"), *(F.sum(c).alias(c) for c in counts), F.bit_or("mask").alias("mask")), "vocabulary")
     c = sum(n(x) for x in counts)
     # bytes of items times predictors: as many pairs at most
     asks = PREDICTORS * (F.octet_length("word") + 1) * F.bit_count("mask")
-    row = vocabulary.agg(F.sum(c).alias("n"), F.sum((c > 0).cast("long")).alias("v"), F.sum(asks).alias("asks")).first()
+    row = vocabulary.agg(F.sum(c).alias("n"), F.sum((c > 0).cast("long")).alias("v"), F.sum(asks).alias("asks"), F.count("*").alias("words")).first()
     total, distinct = int(row.n or 0), int(row.v or 0)
     buckets = max(BUCKETS, 1 << ((row.asks or 0) // BUCKET_ROWS).bit_length())
+    shelves = max(BUCKETS, 1 << (row.words // BUCKET_WORDS).bit_length())
     blocks = settle(vocabulary.mapInArrow(_blocks, BLOCKS), "blocks")
     answers = dealt(blocks.mapInArrow(_ask(buckets), ASKED), "bucket").mapInArrow(_answer, ANSWERED)
     both = blocks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
@@ -469,11 +549,10 @@ def language_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     ws, seen = flat[: 2 * GATES * PREDICTORS].reshape(2, GATES, PREDICTORS)
     w = np.divide(ws, seen, out=np.full_like(ws, 1.5 / PREDICTORS), where=seen > 0)
     after = flat[2 * GATES * PREDICTORS :].reshape(-1, 2)
-    costs = settle(told.mapInArrow(_predict(w, after), "h long, c long, cost binary"), "costs")
-    places = units.select("unit", "hashes").mapInArrow(_places, "h long, unit long, i int")
-    back = places.join(costs, "h").select("unit", "i", "c", "cost")
-    nothing = {k: F.lit(None).cast(t) for k, t in (("docs", "binary"), ("n_docs", "int"), ("codes", "binary"), ("n_codes", "int"), ("n_words", "int"))}
-    heads = units.select("unit", F.lit(-1).alias("i"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("cost"), *nothing)
-    both = heads.unionByName(back.withColumns(nothing))
+    costs = settle(told.mapInArrow(_predict(w, after, shelves), WANTED), "costs")
+    wanted = units.select("unit", "hashes", "counts", "n_words").mapInArrow(_wanted(shelves), WANTED)
+    found = costs.unionByName(wanted).repartition(width(spark), "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(_found, FOUND)
+    heads = units.select("unit", F.lit(-1).alias("bucket"), "docs", "n_docs", "codes", "n_codes")
+    both = heads.unionByName(found, allowMissingColumns=True).repartition(width(spark), "unit").sortWithinPartitions("unit", "bucket")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(both, "unit").mapInArrow(_texts(total, distinct), out)
+    return both.mapInArrow(_texts(total, distinct), out)

@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,3 +441,50 @@ def test_clashing_names_in_mixing_and_dedup(spark, docs):
         assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in plain.collect())
         assert {tuple(r) for r in out.select("_topic", "_tokens", "_weight", "_source", "_kept_id", "rest").distinct().collect()} == {tuple(f"own {c}" for c in ("_topic", "_tokens", "_weight", "_source", "_kept_id", "rest"))}
     assert mixed(odd).schema["_topic"].dataType.simpleString() == "int"
+
+
+def test_language_model_numbers_are_small():
+    """What units and blocks write: sorted hashes lose the bits that their order gives, counts the bytes that none needs."""
+    from beatframe.llm import lm
+
+    r = np.random.default_rng(6)
+    for kind in (np.uint8, np.int32, np.float32, np.int64):
+        x = r.integers(0, 200, 1000).astype(kind)
+        for part in (x, x[:1], x[:0]):
+            assert (lm._unzip((part.nbytes, lm._zip(part)), kind) == part).all()
+    h = np.unique(r.integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    assert (lm._unzip_sorted(len(h), lm._zip_sorted(h)) == h).all() and len(lm._zip_sorted(h)) < 6.5 * len(h)
+    assert [z.start for _, z in lm._cut(h, 64)] == [int((h < np.uint64(k << 58)).sum()) for k in range(64)] and not list(lm._cut(h[:0], 64))
+    for top in (1, 255, 256, 1 << 20, 1 << 40):
+        c = r.integers(0, top, 1000, endpoint=True)
+        c[0] = top
+        assert (lm._unzip_counts(1000, lm._zip_counts(c)) == c).all()
+    few = r.geometric(0.5, (9, 10_000))
+    assert len(lm._zip_counts(few)) < 0.8 * len(pa.compress(few.astype(np.float32).tobytes(), codec="zstd", asbytes=True))
+
+
+def test_language_scores_written_bytes(spark, monkeypatch):
+    """Tables between the steps, on 240,000 words of 30,000; scores add up where words share the class before them."""
+    from beatframe.llm import lm
+
+    r = np.random.default_rng(7)
+    word = np.array(["".join(x) + "." for x in r.choice(list("abcdefghijklmnop"), (30_000, 7))])
+    texts = [" ".join(word[r.integers(0, 30_000, 600)]) for _ in range(400)]
+    pairs = [(texts[2 * k], texts[2 * k + 1]) for k in range(5)]
+    rows = [*enumerate(texts), (1000, ""), *((1001 + k, " ".join(p)) for k, p in enumerate(pairs)), (1001, " ".join(pairs[0])), (None, texts[0])]
+    written = {}
+
+    def settle(df, what):
+        out = settled(df, what)
+        written[what] = sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles())
+        return out
+
+    settled = lm.settle
+    monkeypatch.setattr(lm, "settle", settle)
+    got = lm.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    score = {x.doc_id: x.score for x in got}
+    for k in range(5):
+        assert abs(score[1001 + k] + score[1000] - score[2 * k] - score[2 * k + 1]) < 1e-6
+    assert score[None] == score[0] and len({x.score for x in got if x.doc_id == 1001}) == 1
+    assert sum(written.values()) < 5_350_000, written
