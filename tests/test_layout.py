@@ -84,3 +84,55 @@ def test_refractory_dedup(signal):
 def test_measure_switches(signal):
     assert not Layout.measure(signal, K).long
     assert Layout.measure(signal, K, 100).long
+
+
+@pytest.fixture(scope="module")
+def odd(signal):
+    """Nulls, NaN and an infinite sample among the samples of one segment, nothing but nulls in another."""
+    from functools import reduce
+
+    i = F.col("idx")
+    x = F.when(i % 23 == 5, F.lit(None)).when(i == 60, F.lit(float("nan"))).when(i == 90, F.lit(float("inf"))).when(i % 31 == 9, F.col("x") + 9).otherwise(F.col("x"))
+    kinds = [F.col("x"), F.when(i % 23 != 5, F.col("x")), x, F.lit(None).cast("double"), F.lit(1.0), F.when(i % 31 == 9, F.col("x") + 9).otherwise(F.col("x"))]
+    parts = [signal.where("segment_no = 1").select(F.lit(n).alias("segment_no"), "idx", v.alias("x"), "fs") for n, v in enumerate(kinds)]
+    return settle(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+@pytest.mark.parametrize("make", [A.global_snr, A.spike_fraction, V.discontinuity_candidates, V.vertical_line_candidates])
+def test_whole_segments_are_measured_by_kernels(odd, make):
+    """No percentile over the rows of a segment (the cost of p21), the same rows as from cut ones."""
+    assert "percentile" not in make(odd, K, WHOLE)._jdf.queryExecution().optimizedPlan().toString()
+    if make is not V.vertical_line_candidates:  # none in signals this short
+        same(lambda lay: make(odd.where("segment_no <> 3"), K, lay), *(["idx"] if make is V.discontinuity_candidates else []))
+
+
+def test_segments_without_samples_keep_their_row(odd):
+    r = {x.segment_no: x for x in A.global_snr(odd, K, WHOLE).join(A.spike_fraction(odd, K, WHOLE), K).collect()}
+    assert len(r) == 6 and r[3].snr is None and r[3].signal_mad is None and r[3].noise_mad == 1e-12 and r[3].spike_fraction == 0.0
+
+
+def test_needles_of_whole_segments(odd):
+    peaks = odd.where("x is not null and x = x").select(*K, "idx", F.abs("x").alias("prom"), (F.col("idx") % 5 / 100).alias("width_s"))
+    assert "percentile" not in V.mark_needles(peaks, odd, K, WHOLE)._jdf.queryExecution().optimizedPlan().toString()
+    assert V.mark_needles(peaks, odd, K, WHOLE).where("needle").count() > 0
+    same(lambda lay: V.mark_needles(peaks, odd, K, lay), "idx")
+
+
+def test_flips_and_periods_of_whole_segments(odd, monkeypatch):
+    fair = odd.where("segment_no in (0, 4, 5)")
+    written = []
+    monkeypatch.setattr(A, "settle", lambda *a: written.append(1) or settle(*a))
+    assert A.mixed_direction_flip(fair, K, WHOLE) is not None and len(written) == 1
+    same(lambda lay: A.mixed_direction_flip(fair, K, lay))
+    same(lambda lay: A.dominant_period(fair, K, lay))
+
+
+def test_drift_of_whole_segments(odd, monkeypatch):
+    """One table is written; nulls stay null, a constant signal has no correlation."""
+    slow = settle(odd.where("segment_no not in (2, 3)").withColumns({"x": F.col("x") + F.col("idx") * 0.05 * (F.col("segment_no") % 2), "tag": F.col("idx").cast("string")}))
+    written = []
+    monkeypatch.setattr(A, "settle", lambda *a: written.append(1) or settle(*a))
+    assert len(A.remove_drift(slow, K, WHOLE)) == 2 and len(written) == 1
+    same(lambda lay: A.remove_drift(slow, K, lay)[0], "idx")
+    same(lambda lay: A.remove_drift(slow, K, lay)[1])
+    assert {r.applied for r in A.remove_drift(slow, K, WHOLE)[1].collect()} == {True, False}
