@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatframe.operators import artifacts as V, peaks as P, select as S, stats as A
-from beatframe.operators.layout import Layout, Scan, settle
+from beatframe.operators.layout import Jobs, Layout, Scan, drop, private, settle, steady
 
 K = ["segment_no"]
 WHOLE, CUT = Layout(max_fs=20.0), Layout(size=25, long=True, max_fs=20.0)
@@ -136,3 +136,45 @@ def test_drift_of_whole_segments(odd, monkeypatch):
     same(lambda lay: A.remove_drift(slow, K, lay)[0], "idx")
     same(lambda lay: A.remove_drift(slow, K, lay)[1])
     assert {r.applied for r in A.remove_drift(slow, K, WHOLE)[1].collect()} == {True, False}
+
+
+def _files(spark):
+    from pathlib import Path
+
+    from beatframe.operators.layout import scratch_root
+
+    return {p for p in Path(scratch_root(spark)).glob("beatframe_*")}
+
+
+def test_tables_on_the_way_are_dropped(spark, signal):
+    """Cut segments write tables in every step; only the result stays, with the tables that others read."""
+    before = _files(spark)
+    out = settle(lambda: A.spike_fraction(signal, K, CUT))
+    assert len(_files(spark) - before) == 1 and out.count() == 2 and signal.count() == 311
+    before = _files(spark)
+    a, b, rest = private(lambda: (settle(signal, K), settle(settle(signal).limit(3)), signal))
+    assert len(_files(spark) - before) == 2 and (a.count(), b.count(), rest.count()) == (311, 3, 311)
+    drop(a, b)
+    assert _files(spark) == before
+
+
+def test_jobs_drop_what_they_wrote(spark, signal):
+    before = _files(spark)
+    with Jobs() as jobs:
+        a, b = private(lambda: tuple(jobs.all(lambda: settle(lambda: settle(signal).where("idx < 9")), lambda: settle(signal.where("idx < 5"), K))))
+        jobs.narrow()
+        later = jobs.start(lambda: settle(signal.limit(2)))
+    assert (a.count(), b.count(), later().count()) == (18, 10, 2) and len(_files(spark) - before) == 3
+
+
+def test_plain_selections_are_not_written_again(spark, signal):
+    before = _files(spark)
+    assert steady(signal.where("idx > 3").select("idx", (F.col("x") * 2).alias("y"))).count() == 303
+    assert _files(spark) == before
+    assert steady(signal.groupBy("segment_no").count()).count() == 2 and len(_files(spark) - before) == 1
+
+
+def test_shuffles_of_a_write_go_with_it(spark, signal):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    d = signal.groupBy("segment_no").agg(F.sum("idx").alias("n"))
+    assert sorted(d.collect()) == sorted(d.collect())  # a frame can be read again
